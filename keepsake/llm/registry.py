@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import byte_pairs, fingerprints, language_id, line_dedup, near_dedup
+from keepsake.llm import byte_pairs, fingerprints, language_id, line_dedup, near_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_language_id": language_id.op2_language_id,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op5_token_files": token_files.op5_token_files,
         "op7_byte_bpe": byte_pairs.op7_byte_bpe,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
