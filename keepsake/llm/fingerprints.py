@@ -45,62 +45,77 @@ def _order_buckets(keyed: DataFrame, key: str, buckets: int) -> Column | None:
     return at * side + within
 
 
-def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Columns key, doc_id, text, digest and next_text, next_digest: those of the next document by descending doc_id.
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
+def with_next(docs: DataFrame, marks: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """Columns key, doc_id, text, digest, next_text, next_digest, first_key: next means by descending doc_id.
 
     Ids are dealt to quantile buckets; every bucket also gets a copy of the row that follows its last one, so that
-    `lead` never leaves the bucket and no task holds more than its share of the order.
+    `lead` never leaves the bucket and no task holds more than its share of the order. `marks` (key, digest,
+    first_key) travel to the same buckets and set first_key on their rows without another shuffle of texts.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = _order_buckets(rows, "key", buckets)
+    rows = _keyed(docs)
+    bucket = _order_buckets(rows, "key", buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("canon", canonical(F.col("text"))).withColumn("digest", wide_digest(F.col("canon"))).drop("canon")
     if bucket is None:
-        empty = rows.withColumn("next_text", F.lit("")).withColumn("next_digest", F.col("digest"))
+        empty = rows.select("*", F.lit("").alias("next_text"), F.col("digest").alias("next_digest"), F.lit(0).cast("long").alias("first_key"))
         return empty.where(F.lit(False))
     # at most `buckets` rows: the largest key of each bucket
     firsts = rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.max("key").alias("key")).collect()
     firsts = sorted((r["bucket"], r["key"]) for r in firsts)
-    follows = [(b, firsts[i - 1][1], i == 0) for i, (b, _) in enumerate(firsts)]
-    edge = spark.createDataFrame(follows, "bucket int, key long, wraps boolean")
+    edge = spark.createDataFrame([(b, firsts[i - 1][1]) for i, (b, _) in enumerate(firsts)], "bucket int, key long")
     head = rows.join(F.broadcast(edge.select("key").distinct()), "key", "left_semi")
     head = head.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("digest"))).where("n = 1").drop("n")
-    extra = head.join(F.broadcast(edge), "key").select("bucket", F.lit(1).alias("extra"), "key", "doc_id", "text", "digest")
-    every = rows.select(bucket.alias("bucket"), F.lit(0).alias("extra"), "key", "doc_id", "text", "digest").unionByName(extra)
+    order = ["bucket", "extra", "key", "doc_id", "text", "digest", "first_key"]
+    none = F.lit(None).cast("long")
+    every = rows.select(bucket.alias("bucket"), F.lit(0).alias("extra"), "*", none.alias("first_key")).select(order)
+    every = every.unionByName(head.join(F.broadcast(edge), "key").select("*", F.lit(1).alias("extra"), none.alias("first_key")).select(order))
+    if marks is not None:
+        marked = marks.select(bucket.alias("bucket"), F.lit(2).alias("extra"), "key", none.alias("doc_id"), F.lit(None).cast("string").alias("text"), "digest", "first_key")
+        every = every.withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(marked)
     w = Window.partitionBy("bucket").orderBy("extra", F.desc("key"), "digest")
     ahead = every.withColumn("next_text", F.lead("text").over(w)).withColumn("next_digest", F.lead("digest").over(w))
-    return ahead.where("extra = 0").drop("bucket", "extra")
+    same = Window.partitionBy("bucket", "key", "digest")
+    return ahead.withColumn("first_key", F.max("first_key").over(same)).where("extra = 0").drop("bucket", "extra")
+
 
+def shared_digests(docs: DataFrame, digest=wide_digest) -> DataFrame:
+    """(key, digest, first_key) of the texts whose digest occurs more than once; first_key is the smallest of them."""
+    rows = _keyed(docs).select("key", canonical(F.col("text")).alias("canon")).select("key", digest(F.col("canon")).alias("digest"))
+    rows = written(rows, "digests")
+    bucket = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
+    return written(rows.join(bucket, "digest").select("key", "digest", "first_key").distinct(), "shared-digests")
 
-def exact_groups(docs: DataFrame, digests: DataFrame | None = None, digest=wide_digest) -> DataFrame:
-    """(key, digest, group_key, group_size) of every text whose canonical bytes occur more than once.
 
-    `digests` (key, digest) spares the first pass. Buckets of one digest are counted first; only their texts are
-    compared, each with the text of the bucket's smallest key, and the few that differ are ranked by their bytes.
+def compare_bytes(found: DataFrame) -> DataFrame:
+    """(key, digest, group_key, group_size) from (key, digest, first_key, canon) of all rows with shared digests.
+
+    Each text is compared with that of its bucket's smallest key; the few that differ are ranked by their bytes.
     """
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"),
-        canonical(F.coalesce("text", F.lit(""))).alias("canon"),
-    ).withColumn("digest", digest(F.col("canon")))
-    digests = texts.select("key", "digest") if digests is None else digests
-    bucket = digests.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
-    members = digests.join(bucket, "digest").select("key", "first_key", F.col("digest").alias("d")).distinct()
-    found = texts.join(members, (texts["key"] == members["key"]) & (texts["digest"] == members["d"]))
-    found = found.select(texts["key"], "digest", "canon", "first_key")
     first = found.where("key = first_key").groupBy("digest").agg(F.min("canon").alias("first_canon"))
-    same = found.join(first, "digest").withColumn("same", F.col("canon") == F.col("first_canon"))
-    slim = same.select("key", "digest", "same", F.when(~F.col("same"), F.col("canon")).alias("canon"))
-    odd = slim.where("not same").select("digest", "canon").distinct()
-    odd = odd.withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
-    parts = slim.join(odd, ["digest", "canon"], "left").select("key", "digest", F.coalesce("part", F.lit(0)).alias("part"))
+    same = F.col("canon") == F.col("first_canon")
+    slim = written(found.join(first, "digest").select("key", "digest", F.when(~same, F.col("canon")).alias("odd")), "byte-compare")
+    odd = slim.where("odd is not null").select("digest", "odd").distinct()
+    odd = odd.withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("odd")))
+    parts = slim.join(odd, ["digest", "odd"], "left").select("key", "digest", F.coalesce("part", F.lit(0)).alias("part"))
     sizes = parts.groupBy("digest", "part").agg(F.min("key").alias("group_key"), F.count("*").alias("group_size"))
     return parts.distinct().join(sizes, ["digest", "part"]).select("key", "digest", "group_key", "group_size")
 
 
+def exact_groups(docs: DataFrame, digest=wide_digest) -> DataFrame:
+    """(key, digest, group_key, group_size) of every text whose canonical bytes share their digest with another's."""
+    marks = shared_digests(docs, digest)
+    texts = _keyed(docs).join(marks.select("key").distinct(), "key").select("key", canonical(F.col("text")).alias("canon"))
+    texts = texts.select("*", digest(F.col("canon")).alias("digest"))
+    return compare_bytes(written(texts.join(marks, ["key", "digest"]), "shared-texts"))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row per document: its digest, that of its edited text, the likenesses, and its exact group.
 
@@ -108,7 +123,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = with_next(docs).select("*", edited.alias("edited"))
+    rows = with_next(docs, shared_digests(docs)).select("*", edited.alias("edited"))
     rows = rows.select("*", canonical(F.col("edited")).alias("edited_canon"))
     rows = rows.select("*", wide_digest(F.col("edited_canon")).alias("edited_digest"))
     alike = lambda d, other: F.when(F.col("digest") != F.col(d), 0.0).when(canonical(F.col("text")) == other, 1.0).otherwise(0.0)
@@ -117,12 +132,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             "doc_id", "key", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha"), "digest", "edited_digest",
             alike("edited_digest", F.col("edited_canon")).alias("near_edited"),
             alike("next_digest", canonical(F.col("next_text"))).alias("near_next"),
+            "first_key", F.when(F.col("first_key").isNotNull(), canonical(F.col("text"))).alias("canon"),
         ),
         "fingerprints",
     )
-    groups = exact_groups(docs, base.select("key", "digest"))
+    groups = compare_bytes(base.where("first_key is not null").select("key", "digest", "first_key", "canon"))
     text = lambda c: F.lower(F.hex(c))
-    return base.join(groups, ["key", "digest"], "left").select(
+    return base.drop("canon").join(groups, ["key", "digest"], "left").select(
         "doc_id", "n_chars", text("edited_sha").alias("edited_sha256"), text("digest").alias("fingerprint"),
         text("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next",
         F.coalesce("group_key", "key").alias("group_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
