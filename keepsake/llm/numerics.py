@@ -50,3 +50,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+@cache
+def word_signs() -> np.ndarray:
+    """Whether each code point is a letter or digit to str.isalnum()."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def polynomial_sums(codes: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of codes times powers of an odd base, and the inverse powers, modulo 2^64.
+
+    (sums[e] - sums[s]) * inverse[s] is then a hash of codes[s:e] that does not depend on the place.
+    """
+    with np.errstate(over="ignore"):
+        up, down = np.full(len(codes) + 1, base, np.uint64), np.full(len(codes) + 1, pow(base, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
+    return sums, down

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import byte_pairs, fingerprints, language_id, line_dedup, near_dedup, token_files
+from keepsake.llm import byte_pairs, fingerprints, language_id, licenses, line_dedup, mixing, near_dedup, quality, token_files, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,11 +14,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": fingerprints.op1_fingerprints,
         "op2_language_id": language_id.op2_language_id,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_license_scan": licenses.op4_license_scan,
         "op5_token_files": token_files.op5_token_files,
+        "op6_mix_sources": mixing.op6_mix_sources,
         "op7_byte_bpe": byte_pairs.op7_byte_bpe,
+        "op8_top_k": topk.op8_top_k,
+        "op9_quality": quality.op9_quality,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op4_license_scan": licenses.OP4_SQL, "op8_top_k": topk.OP8_SQL}
