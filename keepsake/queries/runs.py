@@ -44,12 +44,12 @@ def window_from_prompt(spark, d):
     return runs.from_prompt(c, prompts).select("conv_id", "turn")
 
 
-@query("excerpt_search", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations), t AS (SELECT conv_id, 'r' || CAST(conv_id AS VARCHAR) AS id, upper(substr(max(text), 1, 30)) AS needle FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+@query("excerpt_search", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations), t AS (SELECT conv_id, 'r' || CAST(conv_id AS VARCHAR) AS id, substr(max(text), 1, 30) AS needle FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
  h AS (SELECT id, p.conv_id, min(p.p) AS place FROM p JOIN t USING (conv_id) WHERE contains(lower(text), lower(needle)) GROUP BY id, p.conv_id)
 SELECT id, h.conv_id, substr(string_agg(text, chr(10) ORDER BY p.p), 1, 8000) AS excerpt FROM h JOIN p ON p.conv_id = h.conv_id AND abs(p.p - place) <= 3 GROUP BY id, h.conv_id""")
 def excerpt_search(spark, d):
     c = table(spark, d, "conversations")
-    texts = c.where("role = 'assistant'").groupBy("conv_id").agg(F.upper(F.substring(F.max("text"), 1, 30)).alias("needle"))
+    texts = c.where("role = 'assistant'").groupBy("conv_id").agg(F.substring(F.max("text"), 1, 30).alias("needle"))
     return runs.excerpts(c, texts.withColumn("id", F.concat(F.lit("r"), F.col("conv_id").cast("string"))))
 
 
