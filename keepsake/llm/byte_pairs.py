@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.chunks import ChunkCache
+from keepsake.llm.chunks import ChunkCache, joinable
 from keepsake.llm.numerics import mix64, ragged, slices
 from keepsake.runtime import table
 
@@ -166,14 +166,15 @@ class Vocabulary:
         return out, lengths
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks in turn, number of ids of each): chunks that begin with a blank are split in one go."""
-        first = [c for c in chunks if c[:1] != " "]
+        """(ids of all chunks in turn, number of ids of each): chunks that may follow each other are split in one go."""
+        follows = np.array([joinable(c) for c in chunks], bool)
+        first = [c for c, f in zip(chunks, follows, strict=True) if not f]
         pieces, counts = [], {}
         for c in first:
             found = self.pattern.findall(c)
             counts[c] = len(found)
             pieces += found
-        joined = [c for c in chunks if c[:1] == " "]
+        joined = [c for c, f in zip(chunks, follows, strict=True) if f]
         found = self.pattern.findall("".join(joined))
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         cuts = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
@@ -184,7 +185,7 @@ class Vocabulary:
         edges = np.concatenate(([0], np.cumsum(per)))
         n_ids = np.diff(tokens[edges])
         # back to the order in which the chunks came
-        order = np.argsort(np.array([c[:1] == " " for c in chunks], bool), kind="stable")
+        order = np.argsort(follows, kind="stable")
         back = np.empty(len(chunks), np.int64)
         back[order] = np.arange(len(chunks))
         return ids[ragged(tokens[edges[:-1]][back], n_ids[back])], n_ids[back]

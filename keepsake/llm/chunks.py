@@ -36,8 +36,13 @@ def split(text: str) -> list[str]:
     return out
 
 
+def joinable(chunk: str) -> bool:
+    """Whether the chunk may follow any other in one text without changing how either is split."""
+    return chunk[:1] == " " and chunk[1:2] != "" and not chunk[1].isspace()
+
+
 class ChunkCache:
-    """Ids of chunks, by `encode` (chunks to arrays of ids); it starts anew when it holds more than `limit` chunks."""
+    """Ids of chunks, by `encode` (chunks to arrays of ids); above `limit` chunks only those used more than once stay."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
@@ -46,6 +51,18 @@ class ChunkCache:
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.lengths, self.flat = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        self.uses = np.zeros(0, np.int32)
+
+    def _shrink(self) -> None:
+        """Keeps the most used half of `limit`, but no chunk that was used once; uses are halved."""
+        names = list(self.slots)
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.limit // 2:
+            keep = keep[np.argpartition(-self.uses[keep], self.limit // 2)[: self.limit // 2]]
+        lengths = self.lengths[keep]
+        self.flat = self.flat[ragged(self.starts[keep], lengths)]
+        self.starts, self.lengths, self.uses = np.cumsum(lengths) - lengths, lengths, self.uses[keep] // 2
+        self.slots = {names[k]: i for i, k in enumerate(keep)}
 
     def _learn(self, fresh: list[str]) -> None:
         ids, lengths = self.encode(fresh)
@@ -54,17 +71,19 @@ class ChunkCache:
         self.starts = np.concatenate((self.starts, ends - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
         self.flat = np.concatenate((self.flat, ids.astype(np.uint32)))
+        self.uses = np.concatenate((self.uses, np.zeros(len(fresh), np.int32)))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each text)."""
         if len(self.slots) > self.limit:
-            self.clear()
+            self._shrink()
         split_texts = [split(t) for t in texts]
         every = [c for chunks in split_texts for c in chunks]
         fresh = list(set(every).difference(self.slots))
         if fresh:
             self._learn(fresh)
         slots = np.fromiter(map(self.slots.__getitem__, every), np.int64, len(every))
+        self.uses += np.bincount(slots, minlength=len(self.slots)).astype(np.int32)
         lengths = self.lengths[slots]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         cuts = np.concatenate(([0], np.cumsum([len(c) for c in split_texts]))).astype(np.int64)

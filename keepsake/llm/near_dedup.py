@@ -8,8 +8,8 @@ order of time and a process stops at the largest value of its document's compone
 
 BANDS bands of ROWS components make candidates: at similarity 0.8 a pair misses every band with probability
 (1 - 0.8^5)^24 = 7e-5. Texts with equal multisets are one node. Each member of a bucket is first verified with the
-bucket's leader (smallest node). Buckets in which several components remain are then compared in blocks: members
-outside the leader's component with all members. Verification is exact multiset overlap in both steps. Members are
+bucket's leader (smallest node), then, in buckets where several components remain, with two more members. Buckets
+that still hold several components are compared in blocks: members outside the leader's component with all members. Verification is exact multiset overlap in both steps. Members are
 dealt to salted groups and blocks of bounded size, and only links that join something are returned, so no group
 meets in one task and none is expanded into all its pairs as rows.
 
@@ -36,7 +36,8 @@ from keepsake.runtime import table, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-BLOCK = 128
+GROUP_TEXTS, GROUP_CHARS = 512, 1_000_000  # of one side of a verification
+PIVOTS = (1, 2)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,7 +154,7 @@ def _key() -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """key, d1, d2 (digest of the shingle multiset) and bands of every row."""
+    """key, chars, d1, d2 (digest of the shingle multiset) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +168,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                         np.add.at(d, doc, mix64(hashed ^ np.uint64(salt)) * count.astype(np.uint64))
                 bands = band_hashes(bag_minhash(n, doc, hashed, count))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, n), *[pa.array(d.view(np.int64)) for d in digest], lists], ["key", "d1", "d2", "bands"])
+                known = [batch.column(c).slice(start, n) for c in ("key", "chars")]
+                yield pa.RecordBatch.from_arrays([*known, *[pa.array(d.view(np.int64)) for d in digest], lists], ["key", "chars", "d1", "d2", "bands"])
 
-    return docs.select(_key().alias("key"), "text").mapInArrow(run, "key long, d1 long, d2 long, bands array<long>")
+    rows = docs.select(_key().alias("key"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), "text")
+    return rows.mapInArrow(run, "key long, chars int, d1 long, d2 long, bands array<long>")
 
 
 def overlaps(left: tuple, right: tuple, n_left: int, n_right: int) -> np.ndarray:
@@ -222,37 +225,73 @@ def near_classes(docs: DataFrame) -> DataFrame:
     signed = written(signatures(docs), "signatures")
     node_of = signed.groupBy("d1", "d2").agg(F.min("key").alias("node"))
     keys = written(signed.select("key", "d1", "d2").join(node_of, ["d1", "d2"]).select("key", "node").distinct(), "nodes")
-    first = signed.join(keys.where("key = node").select("key").distinct(), "key").select(F.col("key").alias("node"), F.explode("bands").alias("band"))
-    bands = written(first.distinct(), "bands")
+    first = signed.join(keys.where("key = node").select("key").distinct(), "key").select(F.col("key").alias("node"), "chars", F.explode("bands").alias("band"))
+    bands = written(first.groupBy("node", "band").agg(F.max("chars").alias("chars")), "bands")
     buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("who"))
     buckets = buckets.where("n > 1")
     held = written(bands.join(buckets, "band"), "buckets")
-    pairs = held.where("node <> leader").select("node", "leader").distinct()
+    pairs = held.where("node <> leader").select("node", "chars", F.col("leader").alias("with")).distinct()
     # the texts of all candidates, once
     wanted = held.select("node").distinct()
     texts = docs.select(_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    members = pairs.join(sizes, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"))
-    leaders = members.select(F.col("leader").alias("node"), "leader", "part", F.lit(1).alias("role")).distinct()
-    placed = members.unionByName(leaders).withColumn("label", F.col("node"))
-    links = written(_links(placed.join(texts, "node"), ["leader", "part"]), "leader-links")
+    texts = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = written(texts, "candidate-texts")
+    links = written(_pair_links(pairs, texts), "leader-links")
+    for seed in PIVOTS:
+        links = written(links.unionByName(_pair_links(_pivot_pairs(held, components(links), seed), texts)), "pivot-links")
     links = links.unionByName(_rest_links(held, texts, components(links)))
     labels = components(written(links, "near-links"))
     whole = keys.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     return _merge_keys(whole)
 
 
+def _groups(texts: str, chars: str) -> Column:
+    """Into how many groups so many texts of so many characters are dealt."""
+    return F.greatest(F.ceil(F.col(texts) / GROUP_TEXTS), F.ceil(F.col(chars) / GROUP_CHARS), F.lit(1)).cast("int")
+
+
+def _pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links of pairs (node, chars, with): all nodes of one `with` are compared with it, in salted groups."""
+    sized = pairs.groupBy("with").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    sized = sized.select("with", _groups("n", "chars").alias("parts"))
+    members = pairs.join(sized, "with").select("node", "with", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"))
+    heads = sized.select(F.col("with").alias("node"), "with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"))
+    placed = members.unionByName(heads).withColumn("label", F.col("node"))
+    return _links(placed.join(texts, "node"), ["with", "part"])
+
+
+def _open_members(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets of three or more with their labels and that of the leader, `led`."""
+    known = held.where("n > 2").join(labels, "node", "left").select("band", "node", "chars", "leader", "n", "who", F.coalesce("label", "node").alias("label"))
+    known = known.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader", "left")
+    return known.withColumn("led", F.coalesce("led", "leader"))
+
+
+def _pivot_pairs(held: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """(node, chars, with): in buckets of several components, all members outside the component of the bucket's pivot.
+
+    The pivot is the member of least seeded hash, so buckets with about the same members have the same one.
+    """
+    known = written(_open_members(held, labels), "open-members")
+    pivots = known.groupBy("band").agg(
+        F.min(F.struct(F.xxhash64(F.lit(seed), "node"), F.col("node").alias("with"), F.col("label").alias("with_label"))).alias("x"),
+        F.sum((F.col("label") != F.col("led")).cast("int")).alias("out"),
+    )
+    found = known.join(pivots.where("out > 0").select("band", "x.with", "x.with_label"), "band")
+    return found.where(F.col("label") != F.col("with_label")).select("node", "chars", "with").distinct()
+
+
 def _rest_links(held: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """Links in buckets that still hold several components, between members outside the leader's and all members."""
-    known = held.where("n > 2").join(labels, "node", "left").select("band", "node", "leader", "n", "who", F.coalesce("label", "node").alias("label"))
-    known = known.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader", "left")
-    known = written(known.withColumn("led", F.coalesce("led", "leader")), "bucket-labels")
-    open_buckets = known.groupBy("band").agg(F.max("n").alias("n"), F.max("who").alias("who"), F.sum((F.col("label") != F.col("led")).cast("int")).alias("out"))
+    known = written(_open_members(held, labels), "rest-members")
+    away = F.col("label") != F.col("led")
+    sizes = known.groupBy("band").agg(
+        F.max("n").alias("n"), F.max("who").alias("who"), F.sum("chars").alias("chars"),
+        F.sum(away.cast("int")).alias("out"), F.sum(F.when(away, F.col("chars")).otherwise(0)).alias("out_chars"),
+    )
     # buckets of different bands with the same members are compared once
-    open_buckets = open_buckets.where("out > 0").groupBy("n", "who", "out").agg(F.min("band").alias("band"))
-    chunks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    rows = known.select("band", "node", "label", "led").join(open_buckets.select("band", chunks("out").alias("ni"), chunks("n").alias("nj")), "band")
+    sizes = sizes.where("out > 0").groupBy("n", "who", "chars", "out", "out_chars").agg(F.min("band").alias("band"))
+    rows = known.select("band", "node", "label", "led").join(sizes.select("band", _groups("out", "out_chars").alias("ni"), _groups("n", "chars").alias("nj")), "band")
     mine = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     left = rows.where("label <> led").select("band", "node", "label", mine("ni").alias("i"), every("nj").alias("j"), F.lit(0).alias("role"))

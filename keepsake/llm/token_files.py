@@ -10,7 +10,7 @@ documents and scaled to 2^SCALE, at least 1 for every id that occurs.
 Coding works on all blocks of a batch at once: a numpy step codes one token of every lane of every block.
 
 Defined cases: a null text counts as empty (only the end id); rows of equal doc_id stay separate documents, ordered
-by their ids' bytes; a null doc_id sorts below all others and counts first; an empty table gives an empty result;
+by a checksum; a null doc_id sorts below all others and counts first; an empty table gives an empty result;
 very long texts span blocks; further columns are ignored.
 """
 
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.chunks import ChunkCache
+from keepsake.llm.chunks import ChunkCache, joinable
 from keepsake.llm.numerics import ragged, slices
 from keepsake.runtime import shared_folder, table, written
 
@@ -50,35 +50,27 @@ def _worker(model: str) -> ChunkCache:
 
     tokenizer = Tokenizer.from_str(model)
     tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab()
+    bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        bytes_of[i] = len(token)  # a byte-level token has a sign for each of its bytes
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks that begin with a blank are encoded in runs, since ids never reach across such a blank."""
-        blank = [i for i, c in enumerate(chunks) if c[:1] == " "]
-        runs, own, held, size = [], [], [], 0
-        for i in blank:
-            held.append(i)
-            size += len(chunks[i])
-            if size > 20_000:
-                runs.append(held)
-                held, size = [], 0
-        runs += [held] if held else []
-        runs += [[i] for i, c in enumerate(chunks) if c[:1] != " "]
-        found = tokenizer.encode_batch(["".join(chunks[i] for i in run) for run in runs], add_special_tokens=False)
-        lengths = np.zeros(len(chunks), np.int64)
-        for run, e in zip(runs, found, strict=True):
-            ids = np.array(e.ids, np.int64)
-            own.append(ids)
-            if len(run) == 1:
-                lengths[run[0]] = len(ids)
-            else:
-                ends = np.cumsum([len(chunks[i]) for i in run])
-                at = np.array([o[0] for o in e.offsets], np.int64)
-                lengths[run] = np.diff(np.searchsorted(at, ends, side="left"), prepend=0)
-        flat = np.concatenate(own) if own else np.zeros(0, np.int64)
-        came = np.concatenate([np.array(r, np.int64) for r in runs]) if runs else np.zeros(0, np.int64)
-        starts = np.zeros(len(chunks), np.int64)
-        starts[came] = np.cumsum(lengths[came]) - lengths[came]
-        return flat[ragged(starts, lengths)], lengths
+        """Chunks that may follow each other are encoded in runs."""
+        blank = np.array([joinable(c) for c in chunks], bool)
+        order = np.argsort(~blank, kind="stable")
+        came = [chunks[i] for i in order]
+        n = int(blank.sum())
+        sizes = np.fromiter((len(c.encode()) for c in came), np.int64, len(came))
+        run = np.concatenate((np.cumsum(sizes[:n]) // 20_000, np.arange(len(came) - n) + 1e9)).astype(np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [len(came)])) if came else np.zeros(1, np.int64)
+        found = tokenizer.encode_batch_fast(["".join(came[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.int64) for e in found]) if found else np.zeros(0, np.int64)
+        upto = np.searchsorted(np.cumsum(bytes_of[flat]), np.cumsum(sizes), side="right")
+        lengths = np.diff(upto, prepend=0)
+        back = np.empty(len(came), np.int64)
+        back[order] = np.arange(len(came))
+        return flat[ragged((upto - lengths)[back], lengths[back])], lengths[back]
 
     return ChunkCache(encode)
 
@@ -109,8 +101,14 @@ def frequencies(ids: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                np.add.at(total, unpack(value.as_py(), kind), 1)
+            held: list[np.ndarray] = []
+            for value in batch.column("ids").to_pylist():
+                held.append(unpack(value, kind))
+                if sum(map(len, held)) > 500_000:
+                    total += np.bincount(np.concatenate(held), minlength=vocabulary)
+                    held = []
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
@@ -235,7 +233,7 @@ def write_files(ids: DataFrame, freq: np.ndarray, path: str, parts: int, kind: s
         if held:
             yield segment()
 
-    ranged = ids.repartitionByRange(parts, "key", "ids").sortWithinPartitions("key", "ids")
+    ranged = ids.withColumn("tie", F.crc32("ids")).repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").drop("tie")
     ranged.mapInArrow(run, "keys array<long>, lengths array<long>, blocks array<binary>").write.option("compression", "uncompressed").parquet(path)
 
 
