@@ -1,7 +1,9 @@
 import hashlib
+import math
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -213,6 +215,24 @@ def test_mixture_is_pfair(spark):
     assert mixing.schedule(nothing(spark)).count() == 0
 
 
+def mixture_by_hand(blocks, weights):
+    """(source, block) by slot, with exact fractions of the weights: the released block of earliest deadline."""
+    left, first, order = dict(blocks), dict.fromkeys(blocks, 0), []
+    while live := {s: Fraction(str(weights[s])) for s in left if left[s]}:
+        total, done, t = sum(live.values()), dict.fromkeys(live, 0), 0
+        share = {s: w / total for s, w in live.items()}
+        while all(left.get(s, 0) for s in live):
+            ready = [s for s in live if math.floor(done[s] / share[s]) <= t]
+            s = min(ready, key=lambda s: (math.ceil((done[s] + 1) / share[s]), s))
+            order.append((s, first[s] + done[s]))
+            done[s] += 1
+            left[s] -= 1
+            t += 1
+        for s in live:
+            first[s] += done[s]
+    return order
+
+
 def test_mix_keeps_all_documents(spark):
     docs = awkward(spark)
     out = mixing.mix(docs)
@@ -367,3 +387,30 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert 80 < docs.count() <= 120
+
+
+def test_pipeline_result_holds_the_mixture(spark, tmp_path):
+    """run() against brute force: every text left after stage 3, the library's ids of it, and its place in the mixture."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = real(spark, 150).withColumn("source", F.when(F.col("doc_id") % 10 < 7, "hot").when(F.col("doc_id") % 10 < 9, "b"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    left = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        left = spark.createDataFrame((out := stage(spark, left, str(tmp_path))).collect(), out.schema)
+    rows = left.withColumn("h", F.xxhash64(F.lit(11), "doc_id")).collect()
+    assert set(got) == {r["doc_id"] for r in rows}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    queues = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["h"] % mixing.BUCKETS, r["h"], r["doc_id"])):
+        queues[r["source"] or ""].append(r["doc_id"])
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        assert bytes(got[r["doc_id"]]["ids"]) == np.array(ids, "<u4").tobytes()
+    order = mixture_by_hand({s: -(-len(q) // mixing.BLOCK_DOCS) for s, q in queues.items()}, {s: len(q) ** mixing.TEMPER for s, q in queues.items()})
+    expected = {}
+    for slot, (s, k) in enumerate(order):
+        for place, doc in enumerate(queues[s][k * mixing.BLOCK_DOCS : (k + 1) * mixing.BLOCK_DOCS]):
+            expected[doc] = (slot, place)
+    assert {d: (r["mix_slot"], r["mix_place"]) for d, r in got.items()} == expected
