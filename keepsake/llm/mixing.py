@@ -1,73 +1,91 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source's documents are put in a hashed order and cut into blocks of `block_docs`. A source of weight w (a share of
-PERIOD) gives its block k the release time floor(k PERIOD / w) and the deadline ceil((k + 1) PERIOD / w); one block is
-placed a slot, always the released one of earliest deadline (ties: the source's name). Weights sum to PERIOD, so every
-block is placed inside its window, and after any slot each source is less than one block from its target.
+Each source's documents are put in a hashed order and cut into blocks of `block_docs`. A source of weight w (its share of
+all weights, exact: the decimal number the given weight prints as) gives its block k the release time floor(k / w) and the
+deadline ceil((k + 1) / w); one block is placed a slot, always the released one of earliest deadline (ties: the source's
+name). Shares sum to 1, so every block is placed inside its window, and after any slot each source is less than one block
+from its target, however many slots there are. When a source has no block left, a new phase begins with the weights of
+those that have; the bound holds within each phase. Sources of weight 0 come after all others, in equal shares.
 
-The schedule repeats every PERIOD slots and depends on the weights alone, so it is worked out once for a period
-(sources x PERIOD small steps on the driver) and applied to all documents by broadcast joins. When a source has no
-block left, a new phase begins with the weights of those that have; the deviation bound holds within each phase.
+The order of blocks depends on the weights and the numbers of blocks alone. Exact weights have no short period, so it is
+worked out once for all blocks: a step of the driver in whole numbers for `block_docs` documents. At most `period` slots
+and one open run a source are held there at a time; runs go to files in the shared folder, which documents are joined to.
 
 No document is dropped or repeated. Ranks inside a source come from hash buckets and their running counts, so a
 source that holds most rows is still ordered by many tasks.
 
 Defined cases: a null source is a source of its own, named ''; repeated rows keep all their places; an empty table gives
 an empty result; sources without a given weight get the mean of the given ones; further columns pass through `mix`.
-Sources number at most MAX_SOURCES, which bounds what is broadcast.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepsake.runtime import table
-
-PERIOD, BLOCK_DOCS, BUCKETS, MAX_SOURCES, TEMPER = 1000, 16, 1024, 500, 0.7
-
-
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares of `period`, at least 1 each, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    rest = sorted(weights, key=lambda s: (math.floor(exact[s]) - exact[s], s))
-    for s in rest[: period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def one_period(parts: dict[str, int], period: int) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among released blocks."""
-    done = dict.fromkeys(parts, 0)
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(period):
-        ready = [s for s in parts if done[s] < parts[s] and done[s] * period // parts[s] <= t]
-        s = min(ready, key=lambda s: (-(-(done[s] + 1) * period // parts[s]), s))
-        slots[s].append(t)
-        done[s] += 1
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """Per phase: first slot, shares, slots in a period, and each source's first block and its number of blocks."""
-    left, first, at, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while live := {s: weights[s] for s in left if left[s]}:
-        parts = shares(live, period)
-        slots = one_period(parts, period)
-        slot = lambda s, k: k // parts[s] * period + slots[s][k % parts[s]]  # noqa: B023, E731
-        length = min(slot(s, left[s] - 1) for s in live) + 1
-        whole, over = divmod(length, period)
-        took = {s: whole * parts[s] + sum(t < over for t in slots[s]) for s in live}
-        out.append({"at": at, "parts": parts, "slots": slots, "first": {s: first[s] for s in live}, "took": took})
-        for s in live:
-            left[s] -= took[s]
-            first[s] += took[s]
-        at += length
-    return out
+from keepsake.runtime import shared_folder, table
+
+PERIOD, BLOCK_DOCS, BUCKETS, TEMPER = 250_000, 16, 1024, 0.7
+RUN = 64  # blocks of one source in a row of the files
+RUNS = "__s string, __run long, __phases array<int>, __slots array<long>, __releases array<long>, __deadlines array<long>"
+
+
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError("a weight is negative")
+    scale = math.lcm(*[w.denominator for w in exact.values()])
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def turns(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, slot, release, deadline) by slot: earliest deadline first among released blocks."""
+    left, done, at, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, 0
+    while live := [s for s in left if left[s]]:
+        parts = {s: weights[s] for s in live if weights[s]} or dict.fromkeys(live, 1)
+        total, first, t, going = sum(parts.values()), {s: done[s] for s in parts}, 0, True
+        ready: list[tuple] = [(-(-total // w), s, 0, 0) for s, w in parts.items()]
+        waiting: list[tuple] = []
+        heapify(ready)
+        while going:
+            while waiting and waiting[0][0] <= t:
+                release, s, k = heappop(waiting)
+                heappush(ready, (-(-(k + 1) * total // parts[s]), s, k, release))
+            deadline, s, k, release = heappop(ready)
+            yield s, first[s] + k, phase, at + t, at + release, at + deadline
+            heappush(waiting, ((k + 1) * total // parts[s], s, k + 1))
+            done[s] += 1
+            left[s] -= 1
+            t, going = t + 1, left[s] > 0
+        at, phase = at + t, phase + 1
+
+
+def write_turns(spark: SparkSession, found: Iterator[tuple], period: int) -> DataFrame:
+    """`found` in rows of RUN blocks of a source, written every `period` slots and read back."""
+    path = f"{shared_folder(spark).rstrip('/')}/turns-{uuid.uuid4().hex}"
+    rows: list[tuple] = []
+    runs: dict[str, list[tuple]] = {}
+    close = lambda s: rows.append((s, runs[s][0][0] // RUN, *[[x[i] for x in runs[s]] for i in (1, 2, 3, 4)]))
+    write = lambda: spark.createDataFrame(rows, RUNS).write.mode("append").parquet(path)
+    for s, *turn in found:
+        runs.setdefault(s, []).append(tuple(turn))
+        if len(runs[s]) == RUN:
+            close(s)
+            del runs[s]
+            if len(rows) * RUN >= period:
+                write()
+                rows.clear()
+    for s in runs:
+        close(s)
+    write()
+    return spark.read.schema(RUNS).parquet(path)
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 11) -> DataFrame:
@@ -83,31 +101,19 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_doc
     counts = rows.groupBy("__s", "__b").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("__s", "__b", "n", F.coalesce(before, F.lit(0)).alias("__before"))  # sources x BUCKETS rows
-    totals = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    given = weights or {s: n**TEMPER for s, n in totals.items()}
+    totals = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).collect()}  # one row a source
+    given = {s: Fraction(str(w)) for s, w in (weights or {s: n**TEMPER for s, n in totals.items()}).items()}
     mean = sum(given.values()) / max(1, len(given))
-    plan = phases({s: -(-n // block_docs) for s, n in totals.items()}, {s: given.get(s, mean) for s in totals}, period)
-    spans = [(s, i, p["at"], p["first"][s], p["first"][s] + p["took"][s], p["parts"][s]) for i, p in enumerate(plan) for s in p["took"]]
-    turns = [(s, i, j, t) for i, p in enumerate(plan) for s, ts in p["slots"].items() for j, t in enumerate(ts)]
-    spans_df = spark.createDataFrame(spans, "__s string, mix_phase int, __at long, __first long, __end long, __parts int")
-    turns_df = spark.createDataFrame(turns, "__s string, mix_phase int, __turn int, __offset int")
-    spans_df = spans_df.groupBy("__s").agg(F.sort_array(F.collect_list(F.struct("__first", "__end", "mix_phase", "__at", "__parts"))).alias("__spans"))
+    parts = whole({s: given.get(s, mean) for s in totals})
+    runs = write_turns(spark, turns({s: -(-n // block_docs) for s, n in totals.items()}, parts), period)
     w = Window.partitionBy("__s", "__b").orderBy("__h", "doc_id")
-    ranked = rows.withColumn("__rank", F.row_number().over(w)).join(F.broadcast(counts.drop("n")), ["__s", "__b"])
+    ranked = rows.withColumn("__rank", F.row_number().over(w)).join(counts.drop("n"), ["__s", "__b"])
     ranked = ranked.withColumn("__rank", F.col("__rank") - 1 + F.col("__before"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block_docs)).join(F.broadcast(spans_df), "__s")
-    span = F.get(F.filter("__spans", lambda x: (x["__first"] <= F.col("mix_block")) & (F.col("mix_block") < x["__end"])), F.lit(0))
-    ranked = ranked.withColumn("__span", span).withColumn("mix_phase", F.col("__span.mix_phase"))
-    own, parts = F.col("mix_block") - F.col("__span.__first"), F.col("__span.__parts")
-    ranked = ranked.withColumn("__own", own).withColumn("__turn", F.pmod(own, parts).cast("int"))
-    placed = ranked.join(F.broadcast(turns_df), ["__s", "mix_phase", "__turn"])
-    at, k = F.col("__span.__at"), F.col("__own")
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block_docs)).withColumn("__run", F.floor(F.col("mix_block") / RUN))
+    placed, at = ranked.join(runs, ["__s", "__run"]), F.pmod("mix_block", F.lit(RUN)).cast("int")
     return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "mix_phase", "mix_block",
-        (at + F.floor(k / parts) * period + F.col("__offset")).alias("mix_slot"),
-        (at + F.floor(k * period / parts)).alias("mix_release"), (at + F.ceil((k + 1) * period / parts)).alias("mix_deadline"),
+        *[F.col(f"`{c}`") for c in docs.columns], F.get("__phases", at).alias("mix_phase"), "mix_block",
+        F.get("__slots", at).alias("mix_slot"), F.get("__releases", at).alias("mix_release"), F.get("__deadlines", at).alias("mix_deadline"),
         F.pmod("__rank", F.lit(block_docs)).cast("int").alias("mix_place"),
     )
 

@@ -233,6 +233,35 @@ def mixture_by_hand(blocks, weights):
     return order
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.97, "b": 0.01, "c": 0.01, "d": 0.01}, {"a": 40013**0.7, "b": 977**0.7, "c": 311**0.7, "d": 7**0.7}])
+def test_mixture_keeps_to_uneven_weights_over_long_runs(weights):
+    exact = mixing.whole(weights)
+    total, seen = sum(exact.values()), Counter()
+    assert all(Fraction(exact[s], total) == Fraction(str(w)) / sum(Fraction(str(x)) for x in weights.values()) for s, w in weights.items())
+    found = mixing.turns(dict.fromkeys(weights, 10**9), exact)
+    for t, (s, k, _, slot, release, deadline) in zip(range(30_000), found, strict=False):
+        assert slot == t and k == seen[s] and release <= t < deadline
+        seen[s] += 1
+        assert all(abs(seen[x] * total - exact[x] * (t + 1)) < total for x in exact)
+    assert list(mixing.turns({"a": 3, "b": 2}, {"a": 1, "b": 0}))[3][:4] == ("b", 0, 1, 3)
+
+
+def test_mixture_equals_brute_force(spark):
+    """Uneven weights, more sources than 500, and blocks of one document, so that every slot of a long run is seen."""
+    docs = spark.createDataFrame([(i, "hot" if i % 4 else f"s{i % 2400}") for i in range(6000)], "doc_id long, source string")
+    weights = {"hot": 0.937} | {f"s{i}": 0.0001 + i / 1e7 for i in range(0, 2400, 4)}
+    got = mixing.schedule(docs, weights, block_docs=1, period=500).collect()
+    sizes = Counter(r["source"] for r in got)
+    assert len(sizes) == 601 and len(got) == 6000
+    order = [x[:2] for x in mixing.turns(sizes, mixing.whole(weights))]
+    assert [(r["source"], r["mix_block"]) for r in sorted(got, key=lambda r: r["mix_slot"])] == order
+    small = docs.where("doc_id < 400").withColumn("source", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.when(F.col("doc_id") % 20 < 17, 1).when(F.col("doc_id") % 20 < 19, 2).otherwise(3)))
+    given = {"a": 0.97, "b": 0.02, "c": 0.01}
+    got = mixing.schedule(small, given, block_docs=1, period=64).collect()
+    order = mixture_by_hand(Counter(r["source"] for r in got), given)
+    assert [(r["source"], r["mix_block"]) for r in sorted(got, key=lambda r: r["mix_slot"])] == order
+
+
 def test_mix_keeps_all_documents(spark):
     docs = awkward(spark)
     out = mixing.mix(docs)
