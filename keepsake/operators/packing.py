@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.runtime import written
+
 
 def stop_at_overflow(df: DataFrame, size: Column, budget: int, order: list[Column], by: list[str] | None = None, most: int | None = None) -> DataFrame:
     """The longest prefix in `order` whose sizes sum to at most `budget`; what follows the first overflow is out.
@@ -19,6 +21,24 @@ def stop_at_overflow(df: DataFrame, size: Column, budget: int, order: list[Colum
     return rows if most is None else rows.where(F.col("place") <= most)
 
 
+def ranked(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
+    """`columns` of all rows with their `place` in a total order, counted from 1.
+
+    Rows are dealt to ascending ranges of the order and numbered inside them, from the sizes of the ranges before, so
+    no task holds more than its range.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    base, total = [], 0
+    for r in sorted(dealt.groupBy("__range").count().collect()):  # one number a range
+        base.append((r["__range"], total))
+        total += r["count"]
+    bases = spark.createDataFrame(base, "__range int, __base long")
+    place = F.col("__base") + F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(F.broadcast(bases), "__range").withColumn("place", place).select(*columns, "place")
+
+
 def newest_within(df: DataFrame, size: Column, budget: int, order: list[Column], by: list[str]) -> DataFrame:
     """The longest suffix (`order` is newest first) within the budget, and the newest row in any case."""
     w = Window.partitionBy(*by).orderBy(*order)

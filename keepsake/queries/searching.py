@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keepsake import filters, records
@@ -162,6 +161,6 @@ def needle_distinct(spark, d):
 
 @query("usage_rank", f"WITH {MEM} SELECT id, CAST(row_number() OVER (ORDER BY usage_count DESC, last_used DESC, ts_ms DESC, id) AS INT) AS place FROM mem WHERE project = '/p/2'")
 def usage_rank(spark, d):
-    w = Window.orderBy(F.desc("usage_count"), F.desc("last_used"), F.desc("ts_ms"), "id")
-    rows = mem(spark, d).where("project = '/p/2'").orderBy(F.desc("usage_count"), F.desc("last_used"), F.desc("ts_ms"), "id").limit(10_000)
-    return rows.select("id", F.row_number().over(w).alias("place"))
+    rows = mem(spark, d).where("project = '/p/2'").select("id", "usage_count", "last_used", "ts_ms")
+    found = packing.ranked(rows, [F.desc("usage_count"), F.desc("last_used"), F.desc("ts_ms"), F.col("id")], ["id"])
+    return found.select("id", F.col("place").cast("int").alias("place"))

@@ -127,6 +127,19 @@ def test_star_clusters_follow_time(spark):
     assert rows(clusters.star_clusters(df, 0.8, 8, 12, ["project"]), "cluster", "id") == [("b", "a"), ("b", "b"), ("c", "c")]
 
 
+def test_usage_rank_has_no_limit(spark, tmp_path):
+    from keepsake.queries.base import mem
+    from keepsake.queries.searching import usage_rank
+
+    ids = spark.range(0, 10_900)
+    ids.select(F.col("id").alias("vec_id"), F.when(F.col("id") < 10_500, 2).otherwise(3).alias("label"), F.array(F.lit(1.0)).alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    ids.select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = mem(spark, str(tmp_path)).where("project = '/p/2'").select("id", "usage_count", "last_used", "ts_ms").collect()
+    expected = sorted(found, key=lambda r: (-r["usage_count"], -r["last_used"], -r["ts_ms"], r["id"]))
+    got = usage_rank(spark, str(tmp_path)).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [(r["id"], i) for i, r in enumerate(expected, 1)] and len(got) == 10_500
+
+
 def test_capped_cross_type_swaps_the_last(spark):
     c = spark.createDataFrame([("k", "a", 1.0, "x"), ("k", "b", 0.9, "x"), ("k", "c", 0.8, "y")], "cluster string, id string, similarity double, type string")
     assert rows(clusters.capped(c, 2, cross_type=True), "id") == [("a",), ("c",)]
