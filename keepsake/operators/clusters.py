@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.operators import graph, vectors
+from keepsake.runtime import written
 from keepsake.settings import DAY_MS, Settings
 
+TAIL = 20_000  # open pairs of star clusters that one task settles
 TYPE_PRIORITY = {"procedure": 4, "warning": 3, "error": 2, "discovery": 1, "command": 0}
 
 
@@ -105,30 +107,49 @@ def settled_verdict(verdict: Column, candidate_ms: Column, existing_ms: Column)
     return F.when((verdict == "deprecate_existing") & (candidate_ms < existing_ms), "keep_both").otherwise(verdict)
 
 
-def star_clusters(df: DataFrame, threshold: float, most: int, near: int, by: list[str]) -> DataFrame:
+def star_clusters(df: DataFrame, threshold: float, most: int, near: int, by: list[str], tail: int = TAIL) -> DataFrame:
     """(cluster, id): in (ts_ms, id) order an unused row seeds a cluster of itself and its unused near rows.
 
-    A seed looks at its `near` nearest rows at or above the threshold and takes up to most - 1 of them. The order makes
-    this sequential inside one `by` group; groups are projects or project and type. A group is read whole.
+    A seed looks at its `near` nearest rows at or above the threshold and takes up to most - 1 of them. The nearest rows
+    come from cells of bounded size; only the pairs of a row with later ones count, as earlier rows are used by then.
+    A round settles all rows that no open earlier row lists and that are the first to list each of their near rows;
+    the rows they take, and pairs with these, drop out. At most `tail` open pairs are settled in one task in order.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ms", "id"]).reset_index(drop=True)
-        x = np.stack([np.asarray(v, float) for v in rows["embedding"]])
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-        ids, used, out = rows["id"].to_numpy(object), np.zeros(len(rows), bool), []
-        rank = np.argsort(np.argsort(ids))
-        for i in range(len(rows)):
-            if used[i]:
-                continue
-            close = x @ x[i]
-            close[i] = -np.inf
-            found = np.flatnonzero(close >= threshold)
-            found = found[np.lexsort((rank[found], -close[found]))][:near]
-            members = [i, *[int(j) for j in found if not used[j]][: most - 1]]
-            used[members] = True
-            out += [(ids[i], ids[j]) for j in members]
+    pairs = vectors.neighbours(df, df, near, threshold, same=tuple(by)).select("id", "other", "rank")
+    at = df.select(F.col("id").alias("other"), F.struct("ts_ms", "id").alias("later"))
+    pairs = pairs.join(df.select("id", F.struct("ts_ms", "id").alias("at")), "id").join(at, "other")
+    pairs = written(pairs.where(F.col("at") < F.col("later")).select("id", "other", "rank", "at"), "star-pairs")
+    names = df.select("id")
+    taken = []
+    while (open_pairs := pairs.count()) > tail:
+        first = pairs.groupBy("other").agg(F.min("at").alias("first"))
+        held = pairs.join(first, "other").withColumn("waits", (F.col("at") != F.col("first")).cast("int"))
+        ready = held.groupBy("id").agg(F.max("waits").alias("waits")).where("waits = 0").select("id")
+        ready = written(ready.join(first.select(F.col("other").alias("id")), "id", "left_anti"), "star-seeds")
+        w = Window.partitionBy("id").orderBy("rank")
+        found = pairs.join(ready, "id", "left_semi").withColumn("place", F.row_number().over(w)).where(F.col("place") < most)
+        found = written(found.select(F.col("id").alias("cluster"), F.col("other").alias("id")), "star-members")
+        taken.append(found)
+        done = written(ready.unionByName(found.select("id")), "star-done")
+        pairs = pairs.join(done, "id", "left_anti").join(found.select(F.col("id").alias("other")), "other", "left_anti")
+        pairs = written(pairs.select("id", "other", "rank", "at"), "star-pairs")
+
+    def rest(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts_ms", "id", "rank"])
+        used: set[str] = set()
+        out = []
+        for seed, others in rows.groupby(["ts_ms", "id"], sort=True)["other"]:
+            if seed[1] not in used:
+                members = [x for x in others if x not in used][: most - 1]
+                used.update(members)
+                out += [(seed[1], x) for x in members]
         return pd.DataFrame(out, columns=["cluster", "id"])
 
-    return df.select(*by, "id", "ts_ms", "embedding").groupBy(*by).applyInPandas(run, "cluster string, id string")
+    if open_pairs:
+        last = pairs.select("id", "other", "rank", F.col("at.ts_ms").alias("ts_ms"), F.lit(0).alias("all"))
+        taken.append(last.groupBy("all").applyInPandas(rest, "cluster string, id string"))
+    if not taken:
+        return names.select(F.col("id").alias("cluster"), "id")
+    members = written(reduce(DataFrame.unionByName, taken), "star-members")
+    seeds = names.join(members.select("id"), "id", "left_anti").select(F.col("id").alias("cluster"), "id")
+    return seeds.unionByName(members)

@@ -1,5 +1,7 @@
 import json
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,27 @@ def test_star_clusters_follow_time(spark):
     assert rows(clusters.star_clusters(df, 0.8, 8, 12, ["project"]), "cluster", "id") == [("b", "a"), ("b", "b"), ("c", "c")]
 
 
+@pytest.mark.parametrize("tail", [0, clusters.TAIL])
+def test_star_clusters_equal_brute_force_without_whole_groups(spark, monkeypatch, tail):
+    """One hot project and small ones, copies among them, in cells of 50 rows."""
+    monkeypatch.setattr(vectors, "GROUP", 50)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (180, 3)).astype(float)
+    x[20:50] = [1.0, 2.0, -1.0]
+    data = [("hot" if i < 120 else f"p{i % 3}", f"r{i:03d}", int(rng.integers(0, 60)), x[i].tolist()) for i in range(180)]
+    df = spark.createDataFrame(data, "project string, id string, ts_ms long, embedding array<double>").repartition(4).cache()
+    near = defaultdict(list)
+    for r in vectors.neighbours(df, df, 12, 0.7, same=("project",)).orderBy("id", "rank").collect():
+        near[r["id"]].append(r["other"])
+    used, expected = set(), []
+    for _, i in sorted((t, i) for _, i, t, _ in data):
+        if i not in used:
+            members = [i, *[j for j in near[i] if j not in used][:4]]
+            used |= set(members)
+            expected += [(i, j) for j in members]
+    assert rows(clusters.star_clusters(df, 0.7, 5, 12, ["project"], tail), "cluster", "id") == sorted(expected)
+
+
 def test_usage_rank_has_no_limit(spark, tmp_path):
     from keepsake.queries.base import mem
     from keepsake.queries.searching import usage_rank
