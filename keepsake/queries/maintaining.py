@@ -256,7 +256,7 @@ def expand_relations(spark, d):
 @query("expand_two_hops", None)
 def expand_two_hops(spark, d):
     m = mem(spark, d)
-    found = vectors.top_k(m.where("not deprecated and n < 100"), vector_of(m, "m000000"), 5).select("id", F.col("similarity").alias("score"), "similarity")
+    found = vectors.top_k(m.where("not deprecated"), vector_of(m, "m000000"), 5).select("id", F.col("similarity").alias("score"), "similarity")
     pad = lambda c: F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 6, "0")).alias(c)
     edges = _edges(spark, d).select(pad("source"), pad("target"), "kind", F.least(F.lit(1.0), F.col("reinforcement") / 100).alias("weight"))
     return graph.expand(found, edges, m, hops=2, most=8, entity_edges=True)

@@ -150,6 +150,20 @@ def test_star_clusters_equal_brute_force_without_whole_groups(spark, monkeypatch
     assert rows(clusters.star_clusters(df, 0.7, 5, 12, ["project"], tail), "cluster", "id") == sorted(expected)
 
 
+def test_two_hops_search_all_records(spark, tmp_path, monkeypatch):
+    """The nearest records have ids from 100 on."""
+    from keepsake.queries import maintaining
+
+    ids = spark.range(0, 150)
+    near = (F.col("id") == 0) | (F.col("id") >= 140)
+    ids.select(F.col("id").alias("vec_id"), F.lit(2).alias("label"), F.array(F.lit(1.0), F.when(near, 0.0).otherwise(1.0)).alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    ids.select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    edges = spark.createDataFrame([(140, 7, "relates_to", 50), (1, 8, "relates_to", 50)], "source long, target long, kind string, reinforcement long")
+    monkeypatch.setattr(maintaining, "_edges", lambda *_: edges)
+    got = maintaining.expand_two_hops(spark, str(tmp_path))
+    assert rows(got, "id", "parent") == [("m000007", "m000140")]
+
+
 def test_usage_rank_has_no_limit(spark, tmp_path):
     from keepsake.queries.base import mem
     from keepsake.queries.searching import usage_rank
