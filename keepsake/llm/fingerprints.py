@@ -7,7 +7,8 @@ the likeness of two fingerprints is 1 where they (and the canonical bytes) are e
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; rows may repeat (they share
 a group); rows with equal doc_id are ordered by fingerprint; a null doc_id sorts below all others; further
-columns of the input are ignored. Everything here is DataFrame functions.
+columns of the input are ignored. Everything here is DataFrame functions; NFKC is a method of a class in Spark's own jars,
+called in the JVM by reflection (outside code generation), as Spark has no function for it.
 """
 
 from __future__ import annotations
@@ -60,9 +61,10 @@ def with_next(docs: DataFrame, marks: DataFrame | None = None, buckets: int | No
     first_key) travel to the same buckets and set first_key on their rows without another shuffle of texts.
     """
     spark = docs.sparkSession
-    rows = _keyed(docs)
-    bucket = _order_buckets(rows, "key", buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.withColumn("canon", canonical(F.col("text"))).withColumn("digest", wide_digest(F.col("canon"))).drop("canon")
+    plain = _keyed(docs)
+    bucket = _order_buckets(plain, "key", buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    digested = lambda df: df.withColumn("canon", canonical(F.col("text"))).withColumn("digest", wide_digest(F.col("canon"))).drop("canon")
+    rows = digested(plain)
     if bucket is None:
         empty = rows.select("*", F.lit("").alias("next_text"), F.col("digest").alias("next_digest"), F.lit(0).cast("long").alias("first_key"))
         return empty.where(F.lit(False))
@@ -70,7 +72,7 @@ def with_next(docs: DataFrame, marks: DataFrame | None = None, buckets: int | No
     firsts = rows.select("key", bucket.alias("bucket")).groupBy("bucket").agg(F.max("key").alias("key")).collect()
     firsts = sorted((r["bucket"], r["key"]) for r in firsts)
     edge = spark.createDataFrame([(b, firsts[i - 1][1]) for i, (b, _) in enumerate(firsts)], "bucket int, key long")
-    head = rows.join(F.broadcast(edge.select("key").distinct()), "key", "left_semi")
+    head = digested(plain.join(F.broadcast(edge.select("key").distinct()), "key", "left_semi"))
     head = head.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("digest"))).where("n = 1").drop("n")
     order = ["bucket", "extra", "key", "doc_id", "text", "digest", "first_key"]
     none = F.lit(None).cast("long")
@@ -90,21 +92,24 @@ def shared_digests(docs: DataFrame, digest=wide_digest) -> DataFrame:
     rows = _keyed(docs).select("key", canonical(F.col("text")).alias("canon")).select("key", digest(F.col("canon")).alias("digest"))
     rows = written(rows, "digests")
     bucket = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first_key")).where("n > 1")
-    return written(rows.join(bucket, "digest").select("key", "digest", "first_key").distinct(), "shared-digests")
+    # written first, so that the join alone is dealt by digest and a hot one can be split
+    return written(rows.join(written(bucket, "digest-counts"), "digest").select("key", "digest", "first_key").distinct(), "shared-digests")
 
 
 def compare_bytes(found: DataFrame) -> DataFrame:
     """(key, digest, group_key, group_size) from (key, digest, first_key, canon) of all rows with shared digests.
 
     Each text is compared with that of its bucket's smallest key; the few that differ are ranked by their bytes.
+    What is joined by digest is counted and written before, so that the joins of hot digests can be split.
     """
-    first = found.where("key = first_key").groupBy("digest").agg(F.min("canon").alias("first_canon"))
+    first = written(found.where("key = first_key").groupBy("digest").agg(F.min("canon").alias("first_canon")), "first-texts")
     same = F.col("canon") == F.col("first_canon")
     slim = written(found.join(first, "digest").select("key", "digest", F.when(~same, F.col("canon")).alias("odd")), "byte-compare")
     odd = slim.where("odd is not null").select("digest", "odd").distinct()
-    odd = odd.withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("odd")))
+    odd = written(odd.withColumn("part", F.row_number().over(Window.partitionBy("digest").orderBy("odd"))), "odd-texts")
     parts = slim.join(odd, ["digest", "odd"], "left").select("key", "digest", F.coalesce("part", F.lit(0)).alias("part"))
-    sizes = parts.groupBy("digest", "part").agg(F.min("key").alias("group_key"), F.count("*").alias("group_size"))
+    parts = written(parts, "parts")
+    sizes = written(parts.groupBy("digest", "part").agg(F.min("key").alias("group_key"), F.count("*").alias("group_size")), "group-sizes")
     return parts.distinct().join(sizes, ["digest", "part"]).select("key", "digest", "group_key", "group_size")
 
 
