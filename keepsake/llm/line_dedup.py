@@ -3,7 +3,7 @@
 Lines are keyed (white space stripped at both ends, A-Z lower-cased) and hashed to 128 bits. Each distinct line
 hash is counted over documents; the hashes are dealt to shards of bounded size, and each shard gets a minimal
 perfect hash (levels of bit sets without collisions, ranked by running popcounts) that indexes compact arrays:
-a fingerprint, the count of documents (up to 255) and the largest doc_id. Documents send packed probes (hash and
+a fingerprint, the count of documents and the largest doc_id. Documents send packed probes (hash and
 place) to the shards and look the arrays up; lines themselves are never joined. Shards with very many probes are
 copied under several salts, so one common line does not meet in one task.
 
@@ -87,7 +87,7 @@ def pack_index(h1: np.ndarray, h2: np.ndarray, n_docs: np.ndarray, last: np.ndar
     parts = [struct.pack("<qqq", len(levels), len(order), in_levels)]
     for bits in levels:
         parts += [struct.pack("<q", len(bits)), np.packbits(bits).tobytes()]
-    parts += [h2[at].tobytes(), np.minimum(n_docs[at], 255).astype(np.uint8).tobytes(), last[at].tobytes(), order[in_levels:].tobytes()]
+    parts += [h2[at].tobytes(), n_docs[at].astype(np.int64).tobytes(), last[at].tobytes(), order[in_levels:].tobytes()]
     return b"".join(parts)
 
 
@@ -99,9 +99,9 @@ def unpack_index(blob: bytes) -> tuple:
         levels.append(np.unpackbits(np.frombuffer(blob, np.uint8, size // 8, at + 8)).astype(bool))
         at += 8 + size // 8
     marks = np.frombuffer(blob, np.uint64, n, at)
-    counts = np.frombuffer(blob, np.uint8, n, at + 8 * n)
-    last = np.frombuffer(blob, np.int64, n, at + 9 * n)
-    return levels, np.frombuffer(blob, np.uint64, n - in_levels, at + 17 * n), marks, counts, last
+    counts = np.frombuffer(blob, np.int64, n, at + 8 * n)
+    last = np.frombuffer(blob, np.int64, n, at + 16 * n)
+    return levels, np.frombuffer(blob, np.uint64, n - in_levels, at + 24 * n), marks, counts, last
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
