@@ -3,8 +3,8 @@
 Pieces (matches of the split pattern) are bucketed by length and laid out as padded matrices of token ids, one
 piece a row. In each round every row merges its leftmost pair of minimum rank: the rank matrix is looked up by
 hashed pairs, rows are compacted by one column, and only the two ranks beside the merge are looked up again. Rows
-without a mergeable pair leave the matrix. Pieces over LONG bytes, whose rows would need as many rounds as bytes,
-merge in the same order from a heap.
+without a mergeable pair leave the matrix. A row over LONG bytes is a matrix of its own in which a round merges all
+places of its least pair from the left; where a merge makes a pair of lower rank, that round merges the leftmost alone.
 
 Decoding gathers the bytes of the ids from one flat table.
 
@@ -15,9 +15,8 @@ very long texts are encoded whole; further columns pass through, and columns nam
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +24,40 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.chunks import ChunkCache, joinable
-from keepsake.llm.numerics import mix64, ragged, slices
+from keepsake.llm.batches import map_batches
+from keepsake.llm.chunks import SLICE_CHARS, ChunkCache
+from keepsake.llm.numerics import mix64, ragged, text_slices
 from keepsake.runtime import table
 
 NONE = np.int32(2**31 - 1)
-LONG = 2048
+LONG = 512
 
 
-class Vocabulary:
-    """Ranks of a rank file, with a hash table from pairs of ids to the id of their join."""
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
-    def __init__(self, data: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
-        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
+
+class Decoder:
+    """The bytes of all tokens in one flat table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
             tokens[rank] = token
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.bytes[ragged(self.starts[ids], self.lengths[ids])].tobytes()
+
+
+class Vocabulary:
+    """Ranks of a rank file, with a hash table from pairs of ids to the id of their join."""
+
+    def __init__(self, data: bytes, pattern: str):
+        self.ranks = read_ranks(data)
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         pairs = [
             (self.ranks[t[:i]], self.ranks[t[i:]], rank)
@@ -112,34 +124,44 @@ class Vocabulary:
                 ranks[r, c] = self.pair_ranks(ids[r, c], ids[r, c + 1])
 
     def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """The same merges for one long piece: a heap of (rank, place) over a linked list."""
-        ids = ids.tolist()
-        ranks = [*self.pair_ranks(np.array(ids[:-1]), np.array(ids[1:])).tolist(), int(NONE)]
-        heap = [(r, i) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if ranks[i] != rank:
-                continue
-            j = after[i]
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            ranks[j] = NONE
-            if after[j] < len(ids):
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0:
-                    ranks[k] = int(NONE)
-                    if after[k] < len(ids):
-                        ranks[k] = int(self.pair_ranks(np.array([ids[k]]), np.array([ids[after[k]]]))[0])
-                        if ranks[k] != NONE:
-                            heapq.heappush(heap, (ranks[k], k))
-        return np.array([i for i in ids if i >= 0])
-
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same merges for one long row: a round merges all places of the least pair that the leftmost leaves open."""
+        ids = ids.astype(np.int32)
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == least)
+            # in a run of overlapping places every second one is taken, from the left
+            run = np.cumsum(np.diff(at, prepend=-2) != 1)
+            first = np.flatnonzero(np.diff(run, prepend=0))
+            at = at[(np.arange(len(at)) - first[run - 1]) % 2 == 0]
+            new, beside = self._merge_all(ids, at, least)
+            between = self.pair_ranks(np.array([least, least]), np.array([ids[at[0]], least]))
+            if len(at) > 1 and min(beside.min(initial=NONE), between.min()) < least:
+                at = at[:1]
+                new, beside = self._merge_all(ids, at, least)
+            # every place taken shifts what follows by one; only the pairs beside a merge are looked up again
+            keep = np.ones(len(ranks), bool)
+            keep[at] = False
+            ranks = ranks[keep]
+            place = at - np.arange(len(at))
+            for side, values in ((place - 1, beside[: len(at)]), (place, beside[len(at) :])):
+                ok = (side >= 0) & (side < len(ranks))
+                ranks[side[ok]] = values[ok]
+            ids = new
+        return ids
+
+    def _merge_all(self, ids: np.ndarray, at: np.ndarray, joined: np.int32) -> tuple[np.ndarray, np.ndarray]:
+        """(ids after the merges at `at`, ranks of the pairs left of each merge and then right of each)."""
+        new = ids.copy()
+        new[at] = joined
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        new = new[keep]
+        place = at - np.arange(len(at))
+        padded = np.concatenate(([-1], new, [-1]))
+        return new, self.pair_ranks(np.concatenate((padded[place], padded[place + 1])), np.concatenate((padded[place + 1], padded[place + 2])))
+
+    def encode_pieces(self, raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in turn, number of ids of each)."""
-        raw = [p.encode() for p in pieces]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = self.single[np.frombuffer(b"".join(raw), np.uint8)]
         starts = np.cumsum(sizes) - sizes
         whole = np.array([self.ranks.get(p, -1) for p in raw], np.int64)
@@ -165,39 +187,34 @@ class Vocabulary:
             out[ragged(begins[at], n)] = ids
         return out, lengths
 
-    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_chunks(self, chunks: list[bytes], follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in turn, number of ids of each): chunks that may follow each other are split in one go."""
-        follows = np.array([joinable(c) for c in chunks], bool)
-        first = [c for c, f in zip(chunks, follows, strict=True) if not f]
-        pieces, counts = [], {}
-        for c in first:
-            found = self.pattern.findall(c)
-            counts[c] = len(found)
-            pieces += found
-        joined = [c for c, f in zip(chunks, follows, strict=True) if f]
-        found = self.pattern.findall("".join(joined))
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        cuts = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
-        upto = np.searchsorted(ends, cuts, side="right")
-        ids, lengths = self.encode_pieces(pieces + found)
-        per = np.concatenate((np.array([counts[c] for c in first], np.int64), np.diff(upto, prepend=0)))
-        tokens = np.concatenate(([0], np.cumsum(lengths)))
-        edges = np.concatenate(([0], np.cumsum(per)))
-        n_ids = np.diff(tokens[edges])
-        # back to the order in which the chunks came
         order = np.argsort(follows, kind="stable")
-        back = np.empty(len(chunks), np.int64)
-        back[order] = np.arange(len(chunks))
-        return ids[ragged(tokens[edges[:-1]][back], n_ids[back])], n_ids[back]
+        apart = len(chunks) - int(follows.sum())
+        came = [chunks[i] for i in order]
+        found = [self.pattern.findall(c.decode()) for c in came[:apart]]
+        run = self.pattern.findall(b"".join(came[apart:]).decode())
+        raw = [p.encode() for p in [*(p for f in found for p in f), *run]]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids, lengths = self.encode_pieces(raw, sizes)
+        # pieces never reach across chunks, so the chunks' sizes tell where each one's pieces end
+        cuts = np.cumsum(np.fromiter(map(len, came), np.int64, len(came)))
+        upto = np.searchsorted(np.cumsum(sizes), cuts, side="right")
+        tokens = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], upto))]
+        n_ids = np.diff(tokens)
+        back = np.empty(len(came), np.int64)
+        back[order] = np.arange(len(came))
+        return ids[ragged(tokens[:-1][back], n_ids[back])], n_ids[back]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return self.bytes[ragged(self.starts[ids], self.lengths[ids])].tobytes()
+
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, pattern: str) -> ChunkCache:
+    return ChunkCache(Vocabulary(data, pattern).encode_chunks)
 
 
-@cache
-def _worker(data: bytes, pattern: str) -> tuple[Vocabulary, ChunkCache]:
-    vocabulary = Vocabulary(data, pattern)
-    return vocabulary, ChunkCache(vocabulary.encode_chunks)
+@lru_cache(maxsize=1)
+def _decoder(data: bytes) -> Decoder:
+    return Decoder(read_ranks(data))
 
 
 def _schema(df: DataFrame) -> str:
@@ -211,37 +228,37 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((data, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, chunks = _worker(*shared.value)
+        chunks = _encoder(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, end in slices(texts):
-                ids, lengths = chunks.ids(texts[start:end])
+            for start, end, texts in text_slices(batch, SLICE_CHARS):
+                ids, lengths = chunks.ids(texts)
                 cuts = np.concatenate(([0], np.cumsum(lengths))) * 4
                 raw = ids.astype("<u4").tobytes()
                 rows = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, pa.array(rows, pa.binary())], [*batch.schema.names, "ids"])
+        chunks.clear()  # the worker may serve other tasks for long
 
-    return docs.mapInArrow(run, f"{_schema(docs)}, ids binary")
+    return map_batches(docs, run, f"{_schema(docs)}, ids binary")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """`encoded` with `decoded`: the bytes of its ids."""
     encoded = encoded.drop("decoded")
     data = open(ranks_path, "rb").read()  # noqa: SIM115
-    shared = encoded.sparkSession.sparkContext.broadcast((data, pattern))
+    shared = encoded.sparkSession.sparkContext.broadcast(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _ = _worker(*shared.value)
+        decoder = _decoder(shared.value)
         for batch in batches:
-            rows = [vocabulary.decode(np.frombuffer(i.as_buffer(), "<u4").astype(np.int64)) if i.is_valid else b"" for i in batch.column("ids")]
+            rows = [decoder.decode(np.frombuffer(i.as_buffer(), "<u4").astype(np.int64)) if i.is_valid else b"" for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{_schema(encoded)}, decoded binary")
+    return map_batches(encoded, run, f"{_schema(encoded)}, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to."""
-    both = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "ids"), ranks_path, pattern)
+    both = decode(encode(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "ids"), ranks_path)
     return both.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -20,6 +22,20 @@ def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def text_slices(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, texts with null as empty) of runs of a batch's rows of at most `chars` bytes of text, or of one longer text."""
+    column = batch.column("text")
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > chars:
+            yield start, i, [t or "" for t in column.slice(start, i - start).to_pylist()]
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes), [t or "" for t in column.slice(start).to_pylist()]
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 

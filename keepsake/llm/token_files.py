@@ -9,25 +9,32 @@ documents and scaled to 2^SCALE, at least 1 for every id that occurs.
 
 Coding works on all blocks of a batch at once: a numpy step codes one token of every lane of every block.
 
-Defined cases: a null text counts as empty (only the end id); rows of equal doc_id stay separate documents, ordered
-by a checksum; a null doc_id sorts below all others and counts first; an empty table gives an empty result;
+A document's start is its place in these files: the ids of the segments in front, from the lengths kept with them, and
+those in front of it in its own. Texts that hold an added token's string get that token's id, as the library gives it.
+
+Defined cases: a null text counts as empty (only the end id); rows of equal doc_id stay separate documents, in the
+files ordered by a checksum; a null doc_id sorts below all others and counts first; an empty table gives an empty result;
 very long texts span blocks; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keepsake.llm.chunks import ChunkCache, joinable
-from keepsake.llm.numerics import ragged, slices
+from keepsake.llm.batches import map_batches
+from keepsake.llm.chunks import SLICE_CHARS, ChunkCache
+from keepsake.llm.numerics import ragged, text_slices
 from keepsake.runtime import shared_folder, table, written
 
 LANES, BLOCK_TOKENS, SCALE = 32, 32_768, 20
@@ -35,44 +42,60 @@ LOW = np.uint64(2**31)  # states stay in [2^31, 2^63) between tokens, with 32-bi
 NO_ID = -(2**63)
 
 
-def pack(ids: np.ndarray, kind: str) -> bytes:
+class Packer:
     """A document's ids on their way to its range: little-endian integers of `kind`, compressed."""
-    return zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress(ids.astype(kind).tobytes())
 
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.compress = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False).compress
+        self.decompress = zstandard.ZstdDecompressor().decompress
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        return self.compress(ids.astype(self.kind).tobytes())
 
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind).astype(np.int64)
+    def unpack(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(self.decompress(data), self.kind).astype(np.int64)
 
 
-@cache
-def _worker(model: str) -> ChunkCache:
-    from tokenizers import Tokenizer
+class Encoder:
+    """The library's tokenizer behind a cache of chunks; texts that hold an added token are given to it whole."""
 
-    tokenizer = Tokenizer.from_str(model)
-    tokenizer.encode_special_tokens = True
-    vocabulary = tokenizer.get_vocab()
-    bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-    for token, i in vocabulary.items():
-        bytes_of[i] = len(token)  # a byte-level token has a sign for each of its bytes
+    def __init__(self, model: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks that may follow each other are encoded in runs."""
-        blank = np.array([joinable(c) for c in chunks], bool)
-        order = np.argsort(~blank, kind="stable")
+        self.tokenizer = Tokenizer.from_str(model)
+        vocabulary = self.tokenizer.get_vocab()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a byte-level token has a sign for each of its bytes
+        self.chunks = ChunkCache(self._encode)
+
+    def _encode(self, chunks: list[bytes], follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that may follow each other are encoded in runs and told apart by their numbers of bytes."""
+        order = np.argsort(~follows, kind="stable")
+        n = int(follows.sum())
         came = [chunks[i] for i in order]
-        n = int(blank.sum())
-        sizes = np.fromiter((len(c.encode()) for c in came), np.int64, len(came))
-        run = np.concatenate((np.cumsum(sizes[:n]) // 20_000, np.arange(len(came) - n) + 1e9)).astype(np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [len(came)])) if came else np.zeros(1, np.int64)
-        found = tokenizer.encode_batch_fast(["".join(came[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)
-        flat = np.concatenate([np.array(e.ids, np.int64) for e in found]) if found else np.zeros(0, np.int64)
-        upto = np.searchsorted(np.cumsum(bytes_of[flat]), np.cumsum(sizes), side="right")
-        lengths = np.diff(upto, prepend=0)
+        sizes = np.fromiter(map(len, came[:n]), np.int64, n)
+        run = np.cumsum(sizes) // 20_000
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), n] if n else [0]
+        runs = [b"".join(came[a:b]).decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        found = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(runs + [c.decode() for c in came[n:]], add_special_tokens=False)]
+        flat = np.concatenate([*found, np.zeros(0, np.int64)])
+        upto = np.searchsorted(np.cumsum(self.bytes_of[np.concatenate([*found[: len(runs)], np.zeros(0, np.int64)])]), np.cumsum(sizes), side="right")
+        lengths = np.concatenate((np.diff(upto, prepend=0), np.array([len(f) for f in found[len(runs) :]], np.int64)))
         back = np.empty(len(came), np.int64)
         back[order] = np.arange(len(came))
-        return flat[ragged((upto - lengths)[back], lengths[back])], lengths[back]
+        return flat[ragged((np.cumsum(lengths) - lengths)[back], lengths[back])], lengths[back]
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.chunks.ids(texts, np.array([any(a in t for a in self.added) for t in texts], bool))
 
-    return ChunkCache(encode)
+
+@lru_cache(maxsize=1)
+def _encoder(model: str) -> Encoder:
+    return Encoder(model)
 
 
 def encode_ids(docs: DataFrame, model: str, end_id: int, kind: str) -> DataFrame:
@@ -80,19 +103,19 @@ def encode_ids(docs: DataFrame, model: str, end_id: int, kind: str) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a tokenizer file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache_ = _worker(shared.value)
+        encoder, packer = _encoder(shared.value), Packer(kind)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, end in slices(texts):
-                ids, lengths = cache_.ids(texts[start:end])
+            for start, end, texts in text_slices(batch, SLICE_CHARS):
+                ids, lengths = encoder.ids(texts)
                 ends = np.cumsum(lengths)
                 ids = np.insert(ids, ends, end_id)
                 cuts = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
-                rows = [pack(ids[a:b], kind) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                rows = [packer.pack(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(start, end - start), pa.array(rows, pa.binary())], ["key", "ids"])
+        encoder.chunks.clear()  # the worker may serve other tasks for long
 
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), "text")
-    return keyed.mapInArrow(run, "key long, ids binary")
+    return map_batches(keyed, run, "key long, ids binary")
 
 
 def frequencies(ids: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
@@ -100,11 +123,12 @@ def frequencies(ids: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
+        packer = Packer(kind)
         for batch in batches:
             held: list[np.ndarray] = []
             for value in batch.column("ids").to_pylist():
-                held.append(unpack(value, kind))
-                if sum(map(len, held)) > 500_000:
+                held.append(packer.unpack(value))
+                if len(held) >= 200:
                     total += np.bincount(np.concatenate(held), minlength=vocabulary)
                     held = []
             if held:
@@ -112,7 +136,7 @@ def frequencies(ids: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_batches(ids.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(vocabulary, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return scale(counts)
@@ -137,7 +161,7 @@ def scale(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-@cache
+@lru_cache(maxsize=2)
 def _tables(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(frequency, cumulative frequency, id of each slot) of a frequency table."""
     freq = np.frombuffer(raw, "<i8")
@@ -208,37 +232,39 @@ def decode_blocks(coded: list[bytes], raw: bytes) -> list[np.ndarray]:
 
 
 def write_files(ids: DataFrame, freq: np.ndarray, path: str, parts: int, kind: str) -> None:
-    """Segments of consecutive documents, in files of ascending doc_id ranges: keys, lengths, coded blocks."""
+    """Segments of consecutive documents, in files of ascending doc_id ranges: range, number in it, keys, lengths, coded blocks."""
     raw = freq.astype("<i8").tobytes()
     shared = ids.sparkSession.sparkContext.broadcast(raw)
+    columns = {"part": pa.int32(), "segment": pa.int32(), "keys": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "blocks": pa.list_(pa.binary())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held, size = [], [], 0
+        packer, part = Packer(kind), TaskContext.get().partitionId()
+        keys, held, size, number = [], [], 0, 0
 
         def segment() -> pa.RecordBatch:
             stream = np.concatenate(held)
             coded = encode_blocks([stream[i : i + BLOCK_TOKENS] for i in range(0, len(stream), BLOCK_TOKENS)], shared.value)
-            columns = [[keys], [[len(h) for h in held]], [coded]]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["keys", "lengths", "blocks"])
+            values = [[part], [number], [keys], [[len(h) for h in held]], [coded]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, columns.values(), strict=True)], list(columns))
 
         for batch in batches:
             for key, value in zip(batch.column("key").to_pylist(), batch.column("ids"), strict=True):
                 keys.append(key)
-                held.append(unpack(value.as_py(), kind))
+                held.append(packer.unpack(value.as_py()))
                 size += len(held[-1])
                 if size >= 64 * BLOCK_TOKENS:
                     yield segment()
-                    keys, held, size = [], [], 0
+                    keys, held, size, number = [], [], 0, number + 1
         if held:
             yield segment()
 
     ranged = ids.withColumn("tie", F.crc32("ids")).repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie").drop("tie")
-    ranged.mapInArrow(run, "keys array<long>, lengths array<long>, blocks array<binary>").write.option("compression", "uncompressed").parquet(path)
+    coded = map_batches(ranged, run, "part int, segment int, keys array<long>, lengths array<long>, blocks array<binary>")
+    coded.write.option("compression", "uncompressed").parquet(path)
 
 
 def read_files(spark: SparkSession, path: str, freq: np.ndarray) -> DataFrame:
-    """(key, ids) of every document in the files."""
+    """(part, segment, before, key, ids) of every document in the files; `before` counts ids in front of it in its segment."""
     shared = spark.sparkContext.broadcast(freq.astype("<i8").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,37 +274,27 @@ def read_files(spark: SparkSession, path: str, freq: np.ndarray) -> DataFrame:
                 stream = np.concatenate(decode_blocks(batch.column("blocks")[row].as_py(), shared.value))
                 cuts = np.concatenate(([0], np.cumsum(lengths)))
                 ids = [stream[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["key", "ids"])
-
-    return spark.read.parquet(path).mapInArrow(run, "key long, ids binary")
-
+                place = [pa.array(np.full(len(keys), batch.column(c)[row].as_py(), np.int32)) for c in ("part", "segment")]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(cuts[:-1]), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["part", "segment", "before", "key", "ids"])
 
-def digests(documents: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the documents read back."""
-    rows = written(documents.select("key", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "token-digests")
-    return prefix_sums(rows)
+    return map_batches(spark.read.parquet(path), run, "part int, segment int, before long, key long, ids binary")
 
 
-def prefix_sums(rows: DataFrame) -> DataFrame:
-    """`start`: the sum of n_tokens over all rows before, by key and checksum, in quantile buckets of the key."""
-    from pyspark.sql import Window
+def segment_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, segment, base): the number of ids in all segments in front, from the lengths in the files."""
+    length = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    sizes = spark.read.parquet(path).select("part", "segment", length.alias("n"))
+    totals = sorted((r["part"], r["n"]) for r in sizes.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a number a file
+    ahead = spark.createDataFrame([(p, sum_) for (p, _), sum_ in zip(totals, accumulate((n for _, n in totals), initial=0), strict=False)], "part int, ahead long")
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumn("inside", inside).join(ahead, "part").select("part", "segment", (F.col("ahead") + F.col("inside")).alias("base"))
 
-    from keepsake.llm.fingerprints import _order_buckets
 
-    bucket = _order_buckets(rows, "key", 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if bucket is None:
-        return rows.select(F.col("key").alias("doc_id"), F.col("n_tokens").alias("start"), "n_tokens", "ids_crc32")
-    rows = rows.withColumn("bucket", bucket)
-    sums = sorted((r["bucket"], r["n"]) for r in rows.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect())
-    base, total = [], 0
-    for b, n in sums:  # one number a bucket
-        base.append((b, total))
-        total += n
-    bases = rows.sparkSession.createDataFrame(base, "bucket int, base long")
-    w = Window.partitionBy("bucket").orderBy("key", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    counted = rows.join(F.broadcast(bases), "bucket").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+def digests(spark: SparkSession, path: str, documents: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of the documents read back from the files at `path`."""
+    rows = documents.select("part", "segment", "before", "key", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
-    return counted.select(doc_id, "start", "n_tokens", F.col("ids_crc32").cast("long"))
+    return rows.join(segment_starts(spark, path), ["part", "segment"]).select(doc_id, (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, model: str, vocabulary: int, end_id: int, path: str) -> tuple[DataFrame, np.ndarray]:
@@ -301,4 +317,4 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = max(json.loads(model)["model"]["vocab"].values()) + 2
     path = f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     documents, _ = token_files(table(spark, sf_dir, "documents"), model, vocabulary, 2, path)
-    return digests(documents)
+    return digests(spark, path, documents)

@@ -137,6 +137,12 @@ def test_lines_equal_brute_force(spark, make):
     assert got == brute_lines(rows)
 
 
+def test_lines_of_more_than_255_documents(spark):
+    docs = spark.createDataFrame([(i, f"a line that all of the documents hold\nown {i}") for i in range(310)], "doc_id long, text string")
+    for least, dropped in ((300, 309), (310, 309), (311, 0)):
+        assert line_dedup.drop_lines(docs, min_docs=least).agg(F.sum("n_dropped")).first()[0] == dropped
+
+
 def test_perfect_hash_is_minimal():
     hashes = np.random.default_rng(0).integers(0, 2**63, 5000).astype(np.uint64)
     levels, order = line_dedup.build_index(hashes)
@@ -168,18 +174,22 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("make", [real, awkward, nothing])
 def test_token_files_round_trip(spark, tmp_path, make):
     docs = make(spark)
+    if make is awkward:  # an added token's string, alone, after blanks and inside words, and one id with several texts
+        odd = ["<|endoftext|>", "end  <|endoftext|> x", "a <|endoftext|>b   <|endoftext|>\n <|endoftext| >", "tail  ", "it's, 'tis. (x)\n\ny\u3000 z \u00a0q", "other text"]
+        more = [(8 if i % 2 else 30 + i, text, "en", "a", 1, "x") for i, text in enumerate(odd)]
+        docs = docs.unionByName(spark.createDataFrame(more, DOCS).toDF(*docs.columns))
     model = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
     back, freq = token_files.token_files(docs, model, 50258, 2, str(tmp_path / "f"))
-    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.digests(back).collect()]
+    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.digests(spark, str(tmp_path / "f"), back).collect()]
     encode, start, want = reference_ids(), 0, []
-    key = lambda r: (-(2**63) if r[0] is None else r[0], zlib.crc32(np.array(encode(r[1]), "<u4").tobytes()))
+    packer = token_files.Packer("<u2")
+    key = lambda r: (-(2**63) if r[0] is None else r[0], zlib.crc32(packer.pack(np.array(encode(r[1])))))
     for d, t in sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=key):
         ids = encode(t)
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -278,17 +288,18 @@ def test_byte_pairs_equal_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     v = byte_pairs.Vocabulary(open(path, "rb").read(), public_tokenizers.PATTERN)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
-    cache = chunks.ChunkCache(v.encode_chunks, limit=50)
+    cache = chunks.ChunkCache(v.encode_chunks, limit=5000)
     rng = np.random.default_rng(5)
     signs = list("ab T'sré  \n\t\x1c\x85日本12٣!?.-_\U0001f600ßİ'll\r\v\f　")
     for _ in range(300):
         texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(4)]
         ids, n = cache.ids(texts)
         assert [ids[a - k : a].tolist() for a, k in zip(np.cumsum(n), n, strict=True)] == [library.encode_ordinary(t) for t in texts]
-    for text in ("a" * 5000, " " * 3000, "éà" * 2000):
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH"), 20_000))
+    for text in ("a" * 5000, " " * 3000, "éà" * 2000, noise, "ab" * 700 + noise[:900] * 3, "日本語" * 900, "".join(rng.choice(list("the and ing ion"), 9000)).replace(" ", "")):
         assert cache.ids([text])[0].tolist() == library.encode_ordinary(text)
     docs = awkward(spark)
-    out = byte_pairs.decode(byte_pairs.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
+    out = byte_pairs.decode(byte_pairs.encode(docs, path, public_tokenizers.PATTERN), path).collect()
     for r in out:
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
@@ -382,6 +393,34 @@ def test_near_classes_equal_brute_force(spark):
     assert {r["key"]: r["class_id"] for r in got} == brute_classes(data)
 
 
+def test_texts_of_one_doc_id(spark):
+    """A doc_id with two texts links both, and neither is lost; equal rows stay once, the least of them."""
+    a, b = words(21, 80), words(22, 80)
+    data = [(1, a, "x"), (1, b, "x"), (2, a + " tail", "x"), (3, b + " tail", "x"), (4, words(23, 50), "z"), (4, words(23, 50), "y"), (5, words(24, 50), "x"), (5, words(25, 50), "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, node string")
+    assert {r["key"]: (r["class_id"], r["class_size"]) for r in near_dedup.classify(docs).collect()} == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 1), 5: (5, 1)}
+    kept = sorted(map(tuple, near_dedup.keep_first(docs).collect()))
+    assert kept == sorted([data[0], data[1], data[5], data[6], data[7]])
+
+
+def test_near_pairs_are_found_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.83, the hardest, against exact weighted Jaccard similarity: all but few are linked."""
+    rng, data = np.random.default_rng(12), []
+    for i in range(400):
+        w = [f"p{i}q{k}" for k in range(120)]
+        v = list(w)
+        for at in rng.choice(np.arange(3), 2, replace=False):
+            v[10 + 40 * at + int(rng.integers(0, 20))] = "changed"
+        data += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v[: 119 - int(rng.integers(0, 2))]))]
+    sets = [shingles_of(t) for _, t in data]
+    alike = [sum((a & b).values()) / sum((a | b).values()) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    hard = [i for i, s in enumerate(alike) if 0.8 <= s]
+    assert len(hard) > 300 and min(alike[i] for i in hard) < 0.83
+    got = {r["key"]: r["class_id"] for r in near_dedup.classify(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in hard) >= 0.99 * len(hard)
+    assert all(got[2 * i] != got[2 * i + 1] for i, s in enumerate(alike) if s < 0.8)
+
+
 def test_near_dedup_of_awkward_documents(spark):
     docs = awkward(spark)
     kept = near_dedup.keep_first(docs)
