@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.llm.numerics import code_points, letters
+from keepsake.llm.batches import map_batches
+from keepsake.llm.numerics import code_points, letters, text_slices
 from keepsake.runtime import table
 
 DIMS = 4096
@@ -115,7 +116,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
                         out.append(x.astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "x"])
 
-    rows = chosen.select("lang", "text").mapInArrow(vectors, "lang string, x binary")
+    rows = map_batches(chosen.select("lang", "text"), vectors, "lang string, x binary")
     rows = rows.limit(3 * per_language * len(names)).collect()  # the bound holds whatever the hashes are
     if not rows:
         return {"names": names[:1], "code": np.ones((1, 0))} | fit(np.zeros((0, DIMS), np.float32), np.zeros(0, int), 1)
@@ -148,12 +149,13 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [decode(shared.value, features(t)) for t in batch.column("text").to_pylist()]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added])
+            for start, end, texts in text_slices(batch):
+                found = [decode(shared.value, features(t)) for t in texts]
+                columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, end - start).columns, *columns], [*batch.schema.names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(score, f"{fields}, lang_pred string, lang_score double, lang_ambiguous boolean")
+    return map_batches(docs, score, f"{fields}, lang_pred string, lang_score double, lang_ambiguous boolean")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,29 +9,33 @@ order of time and a process stops at the largest value of its document's compone
 BANDS bands of ROWS components make candidates: at similarity 0.8 a pair misses every band with probability
 (1 - 0.8^5)^24 = 7e-5. Texts with equal multisets are one node. Each member of a bucket is first verified with the
 bucket's leader (smallest node), then, in buckets where several components remain, with two more members. Buckets
-that still hold several components are compared in blocks: members outside the leader's component with all members. Verification is exact multiset overlap in both steps. Members are
-dealt to salted groups and blocks of bounded size, and only links that join something are returned, so no group
-meets in one task and none is expanded into all its pairs as rows.
+that still hold several components are compared in blocks: members outside the leader's component with all members.
+Verification is exact multiset overlap in both steps. Members are dealt to salted groups and blocks of bounded size,
+and only links that join something are returned, so no group meets in one task and none is expanded into all its
+pairs as rows.
 
 Words are runs of letters and digits, lower-cased. Defined cases: texts of fewer than five words have one shingle
 of all their words; texts without words have one made of the text itself, so only equal ones match (null counts
-as empty); rows of equal doc_id are one document and share a class; a row without doc_id is known by its text;
-an empty table gives an empty result; further columns are ignored.
+as empty); rows of equal doc_id are one document: `classify` links all their texts, so they share a class; a row without
+doc_id is known by its text; an empty table gives an empty result; further columns are ignored. `keep_first` goes by
+texts alone: of the texts of a component one stays, that of the smallest doc_id (and least hash of the text), so a doc_id
+with several different texts keeps each that no other row covers; of rows equal in doc_id and text, the least stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
+from keepsake.llm.batches import map_batches
 from keepsake.llm.components import components
-from keepsake.llm.numerics import code_points, mix64, slices
+from keepsake.llm.numerics import code_points, mix64, polynomial_sums, text_slices, word_signs
 from keepsake.runtime import table, written
 
 WORDS, SIMILARITY = 5, 0.8
@@ -41,31 +45,14 @@ PIVOTS = (1, 2)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
-def _word_signs() -> np.ndarray:
-    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and its inverse's powers, modulo 2^64."""
-    inverse = np.uint64(pow(int(BASE), -1, 2**64))
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE), np.full(n, inverse)
-        up[0] = down[0] = np.uint64(1)
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, count), sorted by text and hash."""
     with np.errstate(over="ignore"):
         codes = code_points("\n".join(t.lower() for t in texts) + "\n")
-        inside = _word_signs()[codes]
+        inside = word_signs()[codes]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        size = 1 << max(12, int(len(codes)).bit_length())
-        up, down = _powers(size)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)))
+        sums, down = polynomial_sums(codes)
         word = mix64((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
         starts = np.cumsum([0, *[len(t.lower()) + 1 for t in texts]])
         owner = np.searchsorted(starts, begin, side="right") - 1
@@ -84,9 +71,8 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
                 for w in word[at[i] : at[i + 1]]:
                     own = mix64(np.array([own * np.uint64(3) + w]))[0]
             else:
-                bare = code_points(texts[i].strip()).astype(np.uint64)
-                p = _powers(1 << max(12, len(bare).bit_length()))[0]
-                own = mix64(np.array([(bare * p[: len(bare)]).sum(dtype=np.uint64) + np.uint64(len(bare)) * BASE]))[0]
+                bare = code_points(texts[i].strip())
+                own = mix64(np.array([polynomial_sums(bare)[0][-1] + np.uint64(len(bare)) * BASE]))[0]
             extra_doc.append(i)
             extra.append(own)
         doc = np.concatenate((doc, np.array(extra_doc, np.int64)))
@@ -153,14 +139,18 @@ def _key() -> Column:
     return F.coalesce(known, -1 - F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1))
 
 
+def _text_hash() -> Column:
+    """Tells texts of one key apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """key, chars, d1, d2 (digest of the shingle multiset) and bands of every row."""
+    """key, th (hash of the text), chars, d1, d2 (digest of the shingle multiset) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, end in slices(texts):
-                doc, hashed, count = shingles(texts[start:end])
+            for start, end, texts in text_slices(batch):
+                doc, hashed, count = shingles(texts)
                 n = end - start
                 with np.errstate(over="ignore"):
                     digest = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
@@ -168,11 +158,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                         np.add.at(d, doc, mix64(hashed ^ np.uint64(salt)) * count.astype(np.uint64))
                 bands = band_hashes(bag_minhash(n, doc, hashed, count))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                known = [batch.column(c).slice(start, n) for c in ("key", "chars")]
-                yield pa.RecordBatch.from_arrays([*known, *[pa.array(d.view(np.int64)) for d in digest], lists], ["key", "chars", "d1", "d2", "bands"])
+                known = [batch.column(c).slice(start, n) for c in ("key", "th", "chars")]
+                yield pa.RecordBatch.from_arrays([*known, *[pa.array(d.view(np.int64)) for d in digest], lists], ["key", "th", "chars", "d1", "d2", "bands"])
 
-    rows = docs.select(_key().alias("key"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), "text")
-    return rows.mapInArrow(run, "key long, chars int, d1 long, d2 long, bands array<long>")
+    rows = docs.select(_key().alias("key"), _text_hash().alias("th"), F.coalesce(F.char_length("text"), F.lit(0)).alias("chars"), "text")
+    return map_batches(rows, run, "key long, th long, chars int, d1 long, d2 long, bands array<long>")
 
 
 def overlaps(left: tuple, right: tuple, n_left: int, n_right: int) -> np.ndarray:
@@ -220,29 +210,37 @@ def _links(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).applyInPandas(lambda pdf: _verify(pdf), "a long, b long")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """(key, class_id): the smallest key of the component of each row's text; rows of one key share it."""
-    signed = written(signatures(docs), "signatures")
-    node_of = signed.groupBy("d1", "d2").agg(F.min("key").alias("node"))
-    keys = written(signed.select("key", "d1", "d2").join(node_of, ["d1", "d2"]).select("key", "node").distinct(), "nodes")
-    first = signed.join(keys.where("key = node").select("key").distinct(), "key").select(F.col("key").alias("node"), "chars", F.explode("bands").alias("band"))
-    bands = written(first.groupBy("node", "band").agg(F.max("chars").alias("chars")), "bands")
-    buckets = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("who"))
-    buckets = buckets.where("n > 1")
-    held = written(bands.join(buckets, "band"), "buckets")
+def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, th, node) of every row, verified links (a, b) between nodes).
+
+    A node stands for all rows of equal shingle multisets; its number is that of one of them, and no two nodes share one.
+    """
+    # numbers are kept with the rows in the files, so every later step reads the same ones
+    signed = written(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    node_of = written(signed.groupBy("d1", "d2").agg(F.min("row").alias("node")), "digests")
+    keys = written(signed.select("row", "key", "th", "d1", "d2").join(node_of, ["d1", "d2"]).select("row", "key", "th", "node"), "nodes")
+    heads = keys.where("row = node").select("node", "key", "th")
+    first = signed.join(heads.select(F.col("node").alias("row")), "row", "left_semi")
+    bands = written(first.select(F.col("row").alias("node"), "chars", F.explode(F.array_distinct("bands")).alias("band")), "bands")
+    buckets = bands.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("node").alias("leader"),
+        *[F.expr(f"bit_xor(xxhash64({lane}, node))").alias(f"who{lane}") for lane in (1, 2)],
+    )
+    held = written(bands.join(written(buckets.where("n > 1"), "shared-bands"), "band"), "buckets")
     pairs = held.where("node <> leader").select("node", "chars", F.col("leader").alias("with")).distinct()
     # the texts of all candidates, once
-    wanted = held.select("node").distinct()
-    texts = docs.select(_key().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    texts = written(texts, "candidate-texts")
+    wanted = heads.join(held.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(_key().alias("key"), _text_hash().alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = written(texts.join(wanted, ["key", "th"]).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
     links = written(_pair_links(pairs, texts), "leader-links")
     for seed in PIVOTS:
         links = written(links.unionByName(_pair_links(_pivot_pairs(held, components(links), seed), texts)), "pivot-links")
-    links = links.unionByName(_rest_links(held, texts, components(links)))
-    labels = components(written(links, "near-links"))
-    whole = keys.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    return _merge_keys(whole)
+    return keys.drop("row"), written(links.unionByName(_rest_links(held, texts, components(links))), "near-links")
+
+
+def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """`keys` with the label of each node's component."""
+    return keys.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _groups(texts: str, chars: str) -> Column:
@@ -262,7 +260,7 @@ def _pair_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _open_members(held: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets of three or more with their labels and that of the leader, `led`."""
-    known = held.where("n > 2").join(labels, "node", "left").select("band", "node", "chars", "leader", "n", "who", F.coalesce("label", "node").alias("label"))
+    known = held.where("n > 2").join(labels, "node", "left").select("band", "node", "chars", "leader", "n", "who1", "who2", F.coalesce("label", "node").alias("label"))
     known = known.join(labels.select(F.col("node").alias("leader"), F.col("label").alias("led")), "leader", "left")
     return known.withColumn("led", F.coalesce("led", "leader"))
 
@@ -286,11 +284,11 @@ def _rest_links(held: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFra
     known = written(_open_members(held, labels), "rest-members")
     away = F.col("label") != F.col("led")
     sizes = known.groupBy("band").agg(
-        F.max("n").alias("n"), F.max("who").alias("who"), F.sum("chars").alias("chars"),
+        *[F.max(c).alias(c) for c in ("n", "who1", "who2")], F.sum("chars").alias("chars"),
         F.sum(away.cast("int")).alias("out"), F.sum(F.when(away, F.col("chars")).otherwise(0)).alias("out_chars"),
     )
     # buckets of different bands with the same members are compared once
-    sizes = sizes.where("out > 0").groupBy("n", "who", "chars", "out", "out_chars").agg(F.min("band").alias("band"))
+    sizes = sizes.where("out > 0").groupBy("n", "who1", "who2", "chars", "out", "out_chars").agg(F.min("band").alias("band"))
     rows = known.select("band", "node", "label", "led").join(sizes.select("band", _groups("out", "out_chars").alias("ni"), _groups("n", "chars").alias("nj")), "band")
     mine = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -299,24 +297,27 @@ def _rest_links(held: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFra
     return _links(left.unionByName(right).join(texts, "node"), ["band", "i", "j"])
 
 
-def _merge_keys(whole: DataFrame) -> DataFrame:
-    """One class a key: where rows of one key have several texts, their components are one class."""
-    several = whole.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    return several.select("key", F.least("a", "b").alias("label"))
-
-
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size and kept (whether it is that document)."""
-    classes = written(near_classes(docs), "classes")
-    sizes = classes.groupBy("label").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size"))
+    keys, links = near_links(docs)
+    # texts of one key are linked with the first of them
+    several = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    same = keys.join(several.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found = _labelled(keys, written(links.unionByName(same), "all-links"))
+    classes = written(found.select("key", "label").distinct(), "classes")
+    sizes = written(classes.groupBy("label").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size")), "class-sizes")
     return classes.join(sizes, "label").select("key", "class_id", "class_size", (F.col("key") == F.col("class_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """`docs` without all but the first document of each class; of rows that share its doc_id one stays."""
-    kept = classify(docs).where("kept").select(F.col("key").alias("__key"))
-    rows = docs.withColumn("__key", _key()).join(kept, "__key", "left_semi")
-    return rows.dropDuplicates(["__key"]).drop("__key")
+    """`docs` without all but one row of each component of texts."""
+    first = _labelled(*near_links(docs)).groupBy("label").agg(F.min(F.struct("key", "th")).alias("x"))
+    kept = written(first.select(F.col("x.key").alias("__key"), F.col("x.th").alias("__th")), "kept")
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and isinstance(f.dataType, AtomicType)]
+    # rows equal in doc_id and text are cut to one before texts are shuffled
+    once = Window.partitionBy("__key", "__th").orderBy(*others)
+    rows = docs.withColumns({"__key": _key(), "__th": _text_hash()}).withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return rows.join(kept, ["__key", "__th"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,18 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of `texts` of at most `chars` characters, or of one longer text."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > chars:
-            yield start, i
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def text_slices(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, texts with null as empty) of runs of a batch's rows of at most `chars` bytes of text, or of one longer text."""
     column = batch.column("text")

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepsake.llm.batches import map_batches
 from keepsake.llm.language_id import held_out
-from keepsake.llm.numerics import code_points, letters, polynomial_sums, slices, spaces, word_signs
+from keepsake.llm.numerics import code_points, letters, polynomial_sums, spaces, text_slices, word_signs
 from keepsake.runtime import table, written
 
 STATISTICS = (
@@ -80,12 +81,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, end in slices(texts):
-                rows = [r.tobytes() for r in statistics(texts[start:end]).astype("<f4")]
+            for start, end, texts in text_slices(batch):
+                rows = [r.tobytes() for r in statistics(texts).astype("<f4")]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), pa.array(rows, pa.binary())], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, stats binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, stats binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -108,7 +108,7 @@ def moments(stats: DataFrame, labels: DataFrame) -> dict[int, tuple[float, np.nd
         at = np.arange(total.size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], ["at", "value"])
 
-    found = rows.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    found = map_batches(rows, run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     total = np.zeros(2 * (d + 1) ** 2)
     for r in found:  # two classes of (d + 1)^2 numbers
         total[r["at"]] = r["value"]
@@ -154,7 +154,7 @@ def score_documents(stats: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(shared.value, _matrix(batch.column("stats"))))], ["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return map_batches(stats, run, "doc_id long, score double")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
