@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.queries import base, maintaining, measuring, plans, runs, searching, store  # noqa: F401  they register themselves
+from keepsake.queries import base, maintaining, measuring, more, plans, runs, searching, store  # noqa: F401  they register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

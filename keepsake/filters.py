@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,18 @@ def ancestors(project: str, roots: list[str]) -> list[str]:
     """Known roots that are strict path prefixes of the project, nearest first."""
     above = [r for r in roots if project.startswith(r.rstrip("/") + "/")]
     return sorted(above, key=len, reverse=True)
+
+
+def parents(path: Column) -> Column:
+    """All strict parents of a path, nearest first, without the root."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    depths = F.when(F.size(parts) > 1, F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(depths, lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
+
+
+def known_ancestors(projects: DataFrame, roots: DataFrame) -> DataFrame:
+    """(project, ancestor, place): the strict parents of each project that are known roots, nearest first."""
+    rows = projects.select("project").distinct().select("project", F.posexplode(parents(F.col("project"))).alias("depth", "ancestor"))
+    found = rows.join(roots.select(F.col("root").alias("ancestor")).distinct(), "ancestor", "left_semi")
+    place = F.row_number().over(Window.partitionBy("project").orderBy("depth"))
+    return found.select("project", "ancestor", place.alias("place"))

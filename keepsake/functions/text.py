@@ -68,3 +68,32 @@ def jaccard(a: Column, b: Column) -> Column:
     """Shared over all members; 1 for two empty arrays."""
     every = F.size(F.array_union(a, b))
     return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / every)
+
+
+def canonical_needles(raw: Column, planned: Column) -> Column:
+    """Planned needles that no raw needle equals (whatever its case), once each."""
+    low = F.transform(raw, lambda x: F.lower(F.trim(x)))
+    return F.array_distinct(F.filter(F.transform(planned, lambda x: F.trim(x)), lambda x: (x != "") & ~F.array_contains(low, F.lower(x))))
+
+
+def without_noise(text: Column) -> Column:
+    """A prompt without fenced code, markup tags and addresses; runs of white space are one blank."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```.*?```", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"<[^<>]{1,200}>", " "), r"https?://\S+", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def step(text: Column) -> Column:
+    """A step without its number or bullet."""
+    return F.trim(F.regexp_replace(text, r"^\s*(?:step\s+\d+\s*[:.)-]|\d+\s*[.):-]|[-*•])\s*", ""))
+
+
+def yaml_quoted(text: Column) -> Column:
+    """A YAML scalar in double quotes."""
+    safe = F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"')
+    return F.concat(F.lit('"'), F.regexp_replace(safe, r"\r?\n", " "), F.lit('"'))
+
+
+def path_key(path: Column) -> Column:
+    """A path as a file name: every sign but letters, digits, dot, underscore and dash becomes a dash."""
+    return F.regexp_replace(path, r"[^A-Za-z0-9._-]", "-")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keepsake.runtime import written
 from keepsake.settings import DAY_MS
 
 
@@ -77,11 +78,23 @@ def usage_summary(df: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
-    """sorted[min(n - 1, floor(p / 100 * n))] of each group: no interpolation."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count("*").over(w))
+    """sorted[min(n - 1, floor(p / 100 * n))] of each group: no interpolation.
+
+    Rows are dealt to ascending ranges; a row a group and range tells which one holds the rank, and only that is sorted.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(*by, value).repartitionByRange(parts, *by, value, F.xxhash64(F.monotonically_increasing_id()))
+    dealt = written(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    group = Window.partitionBy(*by)
+    sizes = dealt.groupBy(*by, "__range").agg(F.count("*").alias("__c"))
+    sizes = sizes.withColumn("__end", F.sum("__c").over(group.orderBy("__range"))).withColumn("__n", F.sum("__c").over(group))
     at = F.least(F.col("__n") - 1, F.floor(F.lit(p / 100.0) * F.col("__n"))) + 1
-    return ranked.where(F.col("__r") == at).select(*by, F.col(value).alias("percentile"))
+    held = sizes.withColumn("__at", at - F.col("__end") + F.col("__c")).where("__at between 1 and __c").select(*by, "__range", "__at")
+    held = written(held, "range-of-rank")
+    rows = dealt.alias("d").join(F.broadcast(held).alias("h"), [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*by, "__range")])
+    rows = rows.select(*[F.col(f"d.{c}") for c in (*by, value)], "__at")
+    ranked = rows.withColumn("__r", F.row_number().over(group.orderBy(value)))
+    return ranked.where("__r = __at").select(*by, F.col(value).alias("percentile"))
 
 
 def run_status(error, skip_reason, failed, recorded) -> Column:
@@ -106,3 +119,23 @@ def run_health(runs: DataFrame, now: int) -> DataFrame:
     silent = F.lit(now) - F.col("last")
     stalled = (F.col("successes") >= 4) & (silent > F.greatest(F.lit(3.0 * DAY_MS), 4 * F.col("median_gap")))
     return rows.select("source", "runs", "failures", "successes", "median_gap", rate.alias("failing"), F.coalesce(stalled, F.lit(False)).alias("stalled"))
+
+
+def run_alerts(runs: DataFrame, now: int) -> DataFrame:
+    """(source, alert, n, last_ms): what went wrong within the last day, both ends counted.
+
+    `runs`: source, ts_ms, kind, code, status (of the error, or null), records, failed_records. Rate limits are API
+    errors of status 429 or that code, authorisation errors those of 401 or 403 or without credentials; internal errors
+    by kind; store failures where records failed in a run that did not fail as a whole (no error, or some records).
+    """
+    rows = runs.where((F.col("ts_ms") >= now - DAY_MS) & (F.col("ts_ms") <= now))
+    api = F.coalesce(F.col("kind") == "api_error", F.lit(False))
+    whole = F.col("kind").isNotNull() & (F.coalesce("records", F.lit(0)) == 0)
+    hits = {
+        "rate_limited": api & ((F.col("code") == "rate_limit_error") | (F.col("status") == 429)),
+        "auth": (F.col("kind") == "no_auth") | (api & F.col("status").isin(401, 403)),
+        "internal_error": F.col("kind") == "internal_error",
+        "record_store_failures": ~whole & (F.col("failed_records") > 0),
+    }
+    alerts = F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(a)) for a, c in hits.items()])))
+    return rows.select("source", "ts_ms", alerts.alias("alert")).groupBy("source", "alert").agg(F.count("*").alias("n"), F.max("ts_ms").alias("last_ms"))

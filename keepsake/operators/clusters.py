@@ -17,18 +17,21 @@ TAIL = 20_000  # open pairs of star clusters that one task settles
 TYPE_PRIORITY = {"procedure": 4, "warning": 3, "error": 2, "discovery": 1, "command": 0}
 
 
-def similarity_clusters(df: DataFrame, s: Settings, cross_type: bool = False) -> DataFrame:
-    """(cluster, id, similarity, type): components over each row's nearest rows of the same (or another) type.
+def similarity_clusters(df: DataFrame, s: Settings, cross_type: bool = False, seeds: DataFrame | None = None) -> DataFrame:
+    """(cluster, id, similarity, type): components over each seed's nearest rows of the same (or another) type.
 
-    A member's similarity is the best it has with another, 1 for the smallest id; cross-type clusters hold two types.
+    `seeds` (all rows if not given) are those due for a check; their similarity is 1, that of other members the best
+    they have with a seed. Cross-type clusters hold two types.
     """
     threshold = s.cross_type_threshold if cross_type else s.consolidation_threshold
-    near = vectors.neighbours(df, df, s.consolidation_search_limit, threshold, same=() if cross_type else ("type",), differ="type" if cross_type else None)
-    edges = near.select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity")
+    seeds = df if seeds is None else seeds
+    near = vectors.neighbours(seeds, df, s.consolidation_search_limit, threshold, same=() if cross_type else ("type",), differ="type" if cross_type else None)
+    edges = written(near.select(F.col("id").alias("a"), F.col("other").alias("b"), "similarity"), "similar")
     labels = graph.components(edges)
-    best = edges.select("a", "similarity").union(edges.select("b", "similarity")).groupBy(F.col("a").alias("id")).agg(F.max("similarity").alias("similarity"))
-    rows = labels.join(best, "id").join(df.select("id", "type"), "id")
-    rows = rows.withColumn("similarity", F.when(F.col("id") == F.col("cluster"), 1.0).otherwise(F.col("similarity")))
+    best = edges.groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("best"))
+    mine = seeds.select("id", F.lit(1.0).alias("own"))
+    rows = labels.join(best, "id", "left").join(mine, "id", "left").join(df.select("id", "type"), "id")
+    rows = rows.withColumn("similarity", F.coalesce("own", "best"))
     if cross_type:
         mixed = rows.groupBy("cluster").agg(F.countDistinct("type").alias("n")).where("n > 1")
         rows = rows.join(mixed, "cluster", "left_semi")
@@ -107,49 +110,86 @@ def settled_verdict(verdict: Column, candidate_ms: Column, existing_ms: Column)
     return F.when((verdict == "deprecate_existing") & (candidate_ms < existing_ms), "keep_both").otherwise(verdict)
 
 
-def star_clusters(df: DataFrame, threshold: float, most: int, near: int, by: list[str], tail: int = TAIL) -> DataFrame:
-    """(cluster, id): in (ts_ms, id) order an unused row seeds a cluster of itself and its unused near rows.
+def star_clusters(
+    seeds: DataFrame, pool: DataFrame, threshold: float, most: int, near: int, by: list[str], member: Column | None = None,
+    alone_is_used: bool = False, tail: int = TAIL,
+) -> DataFrame:
+    """(cluster, id): in (ts_ms, id) order an unused seed makes a cluster of itself and its unused near rows.
 
-    A seed looks at its `near` nearest rows at or above the threshold and takes up to most - 1 of them. The nearest rows
-    come from cells of bounded size; only the pairs of a row with later ones count, as earlier rows are used by then.
-    A round settles all rows that no open earlier row lists and that are the first to list each of their near rows;
-    the rows they take, and pairs with these, drop out. At most `tail` open pairs are settled in one task in order.
+    A seed looks at its `near` nearest rows of the pool (equal in `by`) at or above the threshold, keeps those that are
+    a `member`, and takes up to most - 1 unused ones. A seed that takes none is a cluster of its own; it stays free for
+    a later seed (and then is no cluster any more) unless `alone_is_used`.
+
+    The nearest rows come from cells of bounded size. A round settles every seed that is the first open one to touch
+    itself and each row it lists, and drops what is used by then. At most `tail` open pairs are settled in one task.
     """
-    pairs = vectors.neighbours(df, df, near, threshold, same=tuple(by)).select("id", "other", "rank")
-    at = df.select(F.col("id").alias("other"), F.struct("ts_ms", "id").alias("later"))
-    pairs = pairs.join(df.select("id", F.struct("ts_ms", "id").alias("at")), "id").join(at, "other")
-    pairs = written(pairs.where(F.col("at") < F.col("later")).select("id", "other", "rank", "at"), "star-pairs")
-    names = df.select("id")
-    taken = []
-    while (open_pairs := pairs.count()) > tail:
-        first = pairs.groupBy("other").agg(F.min("at").alias("first"))
-        held = pairs.join(first, "other").withColumn("waits", (F.col("at") != F.col("first")).cast("int"))
-        ready = held.groupBy("id").agg(F.max("waits").alias("waits")).where("waits = 0").select("id")
-        ready = written(ready.join(first.select(F.col("other").alias("id")), "id", "left_anti"), "star-seeds")
-        w = Window.partitionBy("id").orderBy("rank")
-        found = pairs.join(ready, "id", "left_semi").withColumn("place", F.row_number().over(w)).where(F.col("place") < most)
-        found = written(found.select(F.col("id").alias("cluster"), F.col("other").alias("id")), "star-members")
-        taken.append(found)
-        done = written(ready.unionByName(found.select("id")), "star-done")
-        pairs = pairs.join(done, "id", "left_anti").join(found.select(F.col("id").alias("other")), "other", "left_anti")
+    found = vectors.neighbours(seeds, pool, near, threshold, same=tuple(by)).select("id", "other", "rank")
+    if member is not None:
+        found = found.join(pool.where(member).select(F.col("id").alias("other")), "other", "left_semi")
+    at = seeds.select("id", F.struct("ts_ms", "id").alias("at"))
+    pairs = written(found.join(at, "id").select("id", "other", "rank", "at"), "star-pairs")
+    waiting = written(at, "star-seeds")
+    taken, alone = [], []
+    while pairs.count() > tail:
+        touch = pairs.select("id", "other", "at").unionByName(waiting.select("id", F.col("id").alias("other"), "at"))
+        first = written(touch.groupBy("other").agg(F.min("at").alias("first")), "star-first")
+        waits = touch.join(first, "other").where("at <> first").select("id").distinct()
+        ready = written(waiting.join(waits, "id", "left_anti").select("id"), "star-ready")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
+        got = pairs.join(ready, "id", "left_semi").withColumn("place", place).where(F.col("place") < most)
+        got = written(got.select(F.col("id").alias("cluster"), F.col("other").alias("id")), "star-members")
+        heads = got.select(F.col("cluster").alias("id")).distinct()
+        taken.append(got)
+        alone.append(ready.join(heads, "id", "left_anti"))
+        used = written(got.select("id").unionByName(ready if alone_is_used else heads).distinct(), "star-used")
+        waiting = written(waiting.join(ready, "id", "left_anti").join(used, "id", "left_anti"), "star-seeds")
+        pairs = pairs.join(waiting, "id", "left_semi").join(used.select(F.col("id").alias("other")), "other", "left_anti")
         pairs = written(pairs.select("id", "other", "rank", "at"), "star-pairs")
+    # what is left, with the open seeds that only are listed or list nothing
+    rest = waiting.select("id", F.col("at.ts_ms").alias("ts_ms"), F.lit(0).alias("all"))
+    listed = pairs.select("id").union(pairs.select("other")).distinct()
+    quiet = written(rest.join(listed, "id", "left_anti").select("id"), "star-quiet")
+    rest = rest.join(listed, "id", "left_semi").join(pairs.select("id", "other", "rank"), "id", "left")
 
-    def rest(rows: pd.DataFrame) -> pd.DataFrame:
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts_ms", "id", "rank"])
         used: set[str] = set()
         out = []
-        for seed, others in rows.groupby(["ts_ms", "id"], sort=True)["other"]:
-            if seed[1] not in used:
-                members = [x for x in others if x not in used][: most - 1]
-                used.update(members)
-                out += [(seed[1], x) for x in members]
+        for (_, seed), others in rows.groupby(["ts_ms", "id"], sort=True)["other"]:
+            if seed in used:
+                continue
+            members = [x for x in others.dropna() if x not in used][: most - 1]
+            used.update(members)
+            if members or alone_is_used:
+                used.add(seed)
+            out += [(seed, x) for x in [*members, seed]]
         return pd.DataFrame(out, columns=["cluster", "id"])
 
-    if open_pairs:
-        last = pairs.select("id", "other", "rank", F.col("at.ts_ms").alias("ts_ms"), F.lit(0).alias("all"))
-        taken.append(last.groupBy("all").applyInPandas(rest, "cluster string, id string"))
-    if not taken:
-        return names.select(F.col("id").alias("cluster"), "id")
-    members = written(reduce(DataFrame.unionByName, taken), "star-members")
-    seeds = names.join(members.select("id"), "id", "left_anti").select(F.col("id").alias("cluster"), "id")
-    return seeds.unionByName(members)
+    last = written(rest.groupBy("all").applyInPandas(settle, "cluster string, id string"), "star-rest")
+    members = written(reduce(DataFrame.unionByName, [*taken, last.where("cluster <> id")]), "star-all")
+    lone = reduce(DataFrame.unionByName, [*alone, quiet, last.where("cluster = id").select("id")]).distinct()
+    heads = members.select(F.col("cluster").alias("id")).distinct()
+    lone = lone.join(members.select("id"), "id", "left_anti").join(heads, "id", "left_anti").unionByName(heads)
+    return members.unionByName(lone.select(F.col("id").alias("cluster"), "id"))
+
+
+def currentness_clusters(df: DataFrame, s: Settings, seeds: DataFrame) -> DataFrame:
+    """(cluster, id) of a project's active discoveries, from the `seeds` due for a check."""
+    return star_clusters(seeds, df, s.currentness_threshold, s.currentness_max_cluster_size, s.currentness_search_limit, ["project"])
+
+
+def warning_clusters(df: DataFrame, s: Settings, seeds: DataFrame) -> DataFrame:
+    """(cluster, id, failures): from due commands and errors that failed often; of a seed's nearest rows of its project
+    and type those that failed often too. `failures` is the cluster's sum, by which clusters are taken, most first."""
+    often = F.col("failure_count") >= s.warning_min_failures
+    found = star_clusters(seeds.where(often), df, s.warning_threshold, s.warning_limit + 1, s.warning_limit, ["project", "type"], often, True)
+    rows = written(found.join(df.select("id", "failure_count"), "id"), "warning-clusters")
+    sums = rows.groupBy("cluster").agg(F.sum("failure_count").alias("failures"))
+    return rows.join(sums, "cluster").select("cluster", "id", "failures")
+
+
+def duplicate_warnings(new: DataFrame, df: DataFrame, s: Settings) -> DataFrame:
+    """(id, other, similarity): of each new warning the nearest active one of its project or of global scope, if near enough."""
+    old = df.where((F.col("type") == "warning") & ~F.col("deprecated"))
+    near = vectors.neighbours(new, old, 1, s.warning_dedup_threshold, same=("project",), or_global="pool")
+    return near.select("id", "other", "similarity")

@@ -38,3 +38,34 @@ def blind_union(results: DataFrame, seed: str) -> DataFrame:
 def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one table that the other lacks, repeats counted, with `side`."""
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
+def arm_report(results: DataFrame, verdicts: DataFrame, baseline: str) -> DataFrame:
+    """Per arm: strict precision (helpful of judged), lenient (also partly), counts a kind of edge, displacement, gold rate.
+
+    `results`: arm, prompt, id, kind (how the record came in). `verdicts`: prompt, id, verdict (helpful, partial,
+    unhelpful), gold. Displaced are the baseline's helpful ids that the arm lacks; the gold rate is the share of prompts
+    with a gold record in the arm.
+    """
+    rows = results.join(verdicts, ["prompt", "id"], "left")
+    good, part = F.col("verdict") == "helpful", F.col("verdict").isin("helpful", "partial")
+    found = rows.groupBy("arm").agg(
+        F.countDistinct("prompt").alias("prompts"), F.count("*").alias("injected"), F.count("verdict").alias("judged"),
+        (F.count_if(good) / F.count("verdict")).alias("strict"), (F.count_if(part) / F.count("verdict")).alias("lenient"),
+        F.count_if(F.col("kind") == "relates_to").alias("related"), F.count_if(F.col("kind") == "shares_entity").alias("by_entity"),
+        (F.countDistinct(F.when(F.col("gold"), F.col("prompt"))) / F.countDistinct("prompt")).alias("gold_rate"),
+    )
+    mine = results.select("arm").distinct().join(rows.where((F.col("arm") == baseline) & good).select("prompt", "id"))  # arms are few
+    lost = mine.join(results.select("arm", "prompt", "id"), ["arm", "prompt", "id"], "left_anti").groupBy("arm").agg(F.count("*").alias("displaced"))
+    return found.join(lost, "arm", "left").withColumn("displaced", F.coalesce("displaced", F.lit(0)))
+
+
+def prompts(events: DataFrame, least: int = 15) -> DataFrame:
+    """(key, session, ts_ms, prompt): prompts of at least so many characters that are no bare slash command.
+
+    The key is the first 16 digits of the sha256 of session, time and text.
+    """
+    text = F.trim("prompt")
+    rows = events.where((F.char_length(text) >= least) & ~text.rlike(r"^/[A-Za-z0-9_:-]+$"))
+    key = F.substring(F.sha2(F.concat_ws(":", "session", F.col("ts_ms").cast("string"), "prompt"), 256), 1, 16)
+    return rows.select(key.alias("key"), "session", "ts_ms", "prompt")

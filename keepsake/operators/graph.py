@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from keepsake.runtime import written
 
+MEMBERS = 1000  # members of one block of a large group
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, cluster): cluster is the smallest id that can be reached over (a, b) edges, read both ways.
@@ -36,8 +38,14 @@ def pairs_in_groups(rows: DataFrame, group: str, member: str, extra: tuple[Colum
 def co_injection_edges(events: DataFrame, group: str, member: str, at: str, min_count: int = 3, full: int = 10) -> DataFrame:
     """(a, b, n, last_at, weight): pairs seen in at least `min_count` groups; the weight is n / full, at most 1."""
     rows = events.groupBy(group, member).agg(F.max(at).alias("at"))
-    x, y = rows.withColumnRenamed(member, "a"), rows.select(group, F.col(member).alias("b"), F.col("at").alias("at_b"))
-    pairs = x.join(y, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.greatest("at", "at_b")).alias("last_at"))
+    rows = written(rows, "group-members")
+    # members of a large group are dealt to blocks, and pairs of blocks to tasks; pairs are counted before they are shuffled
+    blocks = written(rows.groupBy(group).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("__k")), "group-blocks")
+    dealt = rows.join(blocks, group).withColumn("__own", F.pmod(F.xxhash64(member), F.col("__k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__k") - 1))
+    x = dealt.select(group, F.col(member).alias("a"), "at", F.col("__own").alias("__i"), every.alias("__j"))
+    y = dealt.select(group, F.col(member).alias("b"), F.col("at").alias("at_b"), F.col("__own").alias("__j"), every.alias("__i"))
+    pairs = x.join(y, [group, "__i", "__j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.greatest("at", "at_b")).alias("last_at"))
     return pairs.where(F.col("n") >= min_count).withColumn("weight", F.least(F.lit(1.0), F.col("n") / full))
 
 
@@ -109,3 +117,18 @@ def expand(results: DataFrame, edges: DataFrame, records: DataFrame, hops: int =
         kept = kept.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r").orderBy(F.desc("score"), "id").limit(most)
         front = kept.where(F.col("hop") == hop).select("id", "root_score", "root_similarity", "walked")
     return kept.select("id", "score", "similarity", "parent", "hop") if kept is not None else results.select("id", "score", "similarity", F.lit("").alias("parent"), F.lit(0).alias("hop")).limit(0)
+
+
+def discovered(events: DataFrame, live: DataFrame, group: str, member: str, at: str, now: int, days: int, min_count: int = 3) -> DataFrame:
+    """(source, target, weight, reinforcement): both directions of pairs seen together in the last `days`, between ids of `live`."""
+    recent = events.where((F.col(at) >= now - days * 86_400_000) & (F.col(at) <= now))
+    ids = live.select(F.col(member)).distinct()
+    pairs = co_injection_edges(recent.join(ids, member, "left_semi"), group, member, at, min_count).select("a", "b", "weight", "n")
+    both = pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), "weight", F.col("n").alias("reinforcement"))
+    return both.unionByName(pairs.select(F.col("b").alias("source"), F.col("a").alias("target"), "weight", F.col("n").alias("reinforcement")))
+
+
+def unrelated(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (a, b) without an edge of any kind in either direction."""
+    had = edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    return pairs.join(had, ["a", "b"], "left_anti")

@@ -105,3 +105,44 @@ def audit(groups: DataFrame, known: DataFrame) -> DataFrame:
     stays = F.when((F.col("kind") == "conflict") & (F.col("__named") == 1), F.col("keep")).otherwise(first)
     rows = rows.withColumn("superseding", stays).where("id <> superseding")
     return rows.select("id", F.concat(F.lit("audit:"), F.col("kind")).alias("reason"), "superseding")
+
+
+def run_detail(runs: DataFrame, table: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(run_id, place, id, type, review): each run's records in its order, null where gone, and the latest review of the run.
+
+    `runs`: run_id, ids. `reviews`: run_id, ts_ms, review.
+    """
+    latest = mutate.first_by(reviews, ["run_id"], [F.desc("ts_ms"), F.col("review")]).select("run_id", "review")
+    rows = runs.select("run_id", F.posexplode_outer("ids").alias("place", "id"))
+    return rows.join(table.select("id", "type"), "id", "left").join(latest, "run_id", "left").select("run_id", "place", "id", "type", "review")
+
+
+def outcomes(found: DataFrame, table: DataFrame) -> DataFrame:
+    """Outcomes (run_id, id, outcome, stored_id) with the stored record's type and whether it is still there."""
+    stored = table.select(F.col("id").alias("stored_id"), "type")
+    return found.join(stored, "stored_id", "left").select("run_id", "id", "outcome", "stored_id", "type", F.col("type").isNotNull().alias("present"))
+
+
+def helpful(named: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(key, id): the ids a verdict names, once each, that were among the key's own."""
+    return named.join(allowed, ["key", "id"], "left_semi").select("key", "id").distinct()
+
+
+def review_texts(reviews: DataFrame, most: int = 2000) -> DataFrame:
+    """(key, text): the distinct non-blank texts to embed for a review: prompt, errors, commands, and all of them joined.
+
+    The joined text keeps both ends where it is longer than `most`.
+    """
+    from keepsake.functions import text as tx
+
+    every = F.concat(F.array("prompt"), F.coalesce("errors", F.array().cast("array<string>")), F.coalesce("commands", F.array().cast("array<string>")))
+    clean = F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    rows = reviews.select("key", clean.alias("parts")).where(F.size("parts") > 0)
+    joined = tx.head_and_tail(F.array_join("parts", "\n"), most)
+    return rows.select("key", F.explode(F.array_distinct(F.concat("parts", F.array(joined)))).alias("text"))
+
+
+def first_verdicts(injected: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(key, id, verdict) of every injected id: the first verdict named for it, else unknown; ids not injected are dropped."""
+    first = mutate.first_by(verdicts.where(F.col("verdict").isin("helpful", "partial", "unhelpful", "unknown")), ["key", "id"], [F.col("pos")])
+    return injected.join(first.select("key", "id", "verdict"), ["key", "id"], "left").select("key", "id", F.coalesce("verdict", F.lit("unknown")).alias("verdict"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ def low_usage(df: DataFrame, s: Settings) -> DataFrame:
 
 
 def zero_usage(df: DataFrame, s: Settings) -> DataFrame:
-    return df.where(active() & (F.col("retrieval_count") >= s.low_usage_min_retrievals) & (F.col("usage_count") == 0))
+    return df.where(active() & (F.col("retrieval_count") >= s.low_usage_high_retrieval_min) & (F.col("usage_count") == 0))
 
 
 def stale_unused(df: DataFrame, s: Settings, now: int) -> DataFrame:
@@ -43,29 +45,38 @@ def stale_unused(df: DataFrame, s: Settings, now: int) -> DataFrame:
 
 def promotion_candidates(df: DataFrame, s: Settings, now: int, checked: str | None = None) -> DataFrame:
     """Project-scoped commands, errors and discoveries that proved useful, oldest check first when `checked` is named."""
-    proved = F.when(F.col("type") == "command", F.col("success_count") >= s.promotion_min_success).otherwise(F.col("usage_count") >= 2)
+    proved = F.when(F.col("type") == "command", F.col("success_count") >= s.promotion_min_success).otherwise(F.col("usage_count") >= s.promotion_min_success)
     ratio = F.col("usage_count") / F.greatest(F.col("retrieval_count"), F.lit(1))
     used = (F.col("retrieval_count") < s.promotion_min_retrievals) | (ratio >= s.promotion_min_usage_ratio)
     found = df.where(active() & (F.col("scope") == "project") & F.col("type").isin("command", "error", "discovery") & proved & used)
     return found if checked is None else found.where(due(F.col(checked), now - s.promotion_recheck_days * DAY_MS))
 
 
+def documentation_candidates(df: DataFrame) -> DataFrame:
+    """Active procedures used five times and verified discoveries used three times; without a project they are global."""
+    kept = ((F.col("type") == "procedure") & (F.col("usage_count") >= 5)) | ((F.col("type") == "discovery") & (F.col("usage_count") >= 3) & (F.col("confidence") == "verified"))
+    project = F.trim(F.coalesce("project", F.lit("")))
+    return df.where(active() & kept).withColumn("project", F.when(project.isin("", "unknown"), "global").otherwise(project))
+
+
 def _generic(text: Column) -> Column:
     bare = F.trim(F.coalesce(text, F.lit("")))
     return (bare == "") | bare.rlike(GENERIC_REMEDY)
 
 
-def quality_reason(kind: Column, primary: Column, secondary: Column, remedies: list[Column]) -> Column:
-    """The first of four heuristics that a record meets, or null. `remedies`: what would make it worth keeping."""
-    remedied = F.lit(False)
-    for r in remedies:
-        remedied = remedied | ~_generic(r)
+def quality_reason(kind: Column, primary: Column, secondary: Column, workarounds: list[Column], summaries: list[Column]) -> Column:
+    """The first of four heuristics that a record meets, or null.
+
+    `workarounds` (what to do instead) save a vague error; a metric dump is also saved by `summaries` (cause or reason).
+    """
+    worked = reduce(Column.__or__, [~_generic(r) for r in workarounds], F.lit(False))
+    remedied = reduce(Column.__or__, [~_generic(r) for r in summaries], worked)
     words_left = F.size(F.regexp_extract_all(F.regexp_replace(primary, PERSISTED_STRIP, " "), F.lit(WORD), F.lit(0)))
     text = F.when(primary.contains("\n"), primary).otherwise(secondary)
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     metric = F.size(F.filter(lines, lambda x: x.rlike(METRIC_LINE) | x.rlike(CHECKPOINT_PATH)))
     dump = kind.isin("command", "error", "warning") & ~remedied & ~text.rlike(PROSE) & (F.size(lines) >= 3) & (metric >= 0.8 * F.size(lines))
-    vague = kind.isin("error", "warning") & (F.char_length(primary) < 60) & primary.rlike(EXTENSION_ERROR) & ~remedied
+    vague = kind.isin("error", "warning") & (F.char_length(primary) < 60) & primary.rlike(EXTENSION_ERROR) & ~worked
     return (
         F.when(primary.rlike(TOOL_PREFIX), "quality:tool-result-prefix")
         .when(primary.rlike(PERSISTED) & (words_left <= 8), "quality:persisted-output-pointer")

@@ -119,3 +119,56 @@ def topic_shift(prompts: DataFrame, s: Settings) -> DataFrame:
     rows = prompts.withColumn("__before", before).where("__before is not null")
     rows = rows.withColumn("similarity", vectors.cosine(F.col("embedding"), F.col("__before")))
     return rows.select("session", "seq", "similarity", (F.col("similarity") < s.topic_change_threshold).alias("changed"))
+
+
+def qualified(found: DataFrame, raw: DataFrame, df: DataFrame, vector: list[float] | None, project: str, s: Settings) -> DataFrame:
+    """`found` with raw_match, qualification (null without a raw match), and similarity and score lifted by it.
+
+    `raw`: (id, score) of the records that hold the prompt's own needles. With the prompt's vector a raw match is scored
+    again against it, as a keyword match; without one its own score counts.
+    """
+    more = df.select("id", "project", "embedding", "usage_count", "retrieval_count")
+    rows = found.join(raw.select("id", F.col("score").alias("__raw")), "id", "left").join(more, "id")
+    rows = rows.withColumn("raw_match", F.col("__raw").isNotNull())
+    if vector:
+        near = vectors.cosine_to(vector)
+        ratio = records.usage_ratio(F.col("usage_count"), F.col("retrieval_count"))
+        total = sum(unified_parts(near, F.lit(True), ratio, F.coalesce(F.col("project") == project, F.lit(False)), s).values(), F.lit(0.0))
+        rows = rows.withColumn("similarity", F.when(F.col("raw_match"), F.greatest("similarity", near)).otherwise(F.col("similarity")))
+    else:
+        total = F.col("__raw")
+    rows = rows.withColumn("qualification", F.when(F.col("raw_match"), total)).withColumn("score", F.greatest("score", "qualification"))
+    return rows.select(*found.columns, "raw_match", "qualification")
+
+
+def raw_anchored(found: DataFrame, df: DataFrame, vector: list[float] | None, project: str, s: Settings, ancestors: list[str] | None = None) -> DataFrame:
+    """All rows of `qualified` where the prompt's own vector comes near enough to one of them; else only raw keyword
+    matches that qualify, of the project, an ancestor of it, or global scope. `anchor` is the greatest similarity."""
+    rows = found.join(df.select("id", "project", "scope", "embedding"), "id")
+    near = vectors.cosine_to(vector) if vector else F.lit(0.0)
+    rows = rows.withColumn("anchor", F.max(F.greatest(near, F.lit(0.0))).over(Window.partitionBy(F.lit(0))))  # a pool of bounded size
+    own = (F.col("project") == project) | F.col("project").isin(ancestors or []) | (F.col("scope") == "global")
+    keeps = F.col("raw_match") & (F.col("qualification") >= s.min_score) & F.coalesce(own, F.lit(False))
+    held = (F.lit(bool(vector)) & (F.col("anchor") >= s.semantic_anchor_threshold)) | keeps
+    return rows.where(held).select(*found.columns, "anchor")
+
+
+def tool_search(df: DataFrame, vector: list[float], needles: list[str], s: Settings, limit: int = 10) -> DataFrame:
+    """Keyword weight 1; vector weight 1 with a vector, else 0; similarity and score to three places."""
+    found = hybrid(df, vector, needles, s, limit, 1.0, 1.0 if vector else 0.0, ~F.col("deprecated"))
+    return found.select("id", F.round("similarity", 3).alias("similarity"), "keyword_match", F.round("score", 3).alias("score"))
+
+
+def chat_search(df: DataFrame, vector: list[float], s: Settings, offset: int, limit: int) -> DataFrame:
+    """A page of the plain similarity order, without a least score and without usage."""
+    found = vectors.top_k(df.where(~F.col("deprecated")), vector, offset + limit)
+    return found.orderBy(F.desc("similarity"), "id").offset(offset).limit(limit).select("id", "similarity")
+
+
+def paged_search(df: DataFrame, vector: list[float], needles: list[str], s: Settings, offset: int, limit: int) -> DataFrame:
+    """A page of the hybrid order with `has_more` and `total`, a lower bound: one row past the page is looked for."""
+    found = hybrid(df, vector, needles, s, offset + limit + 1)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.desc("similarity"), "id"))  # at most offset + limit + 1 rows
+    rows = found.withColumn("place", place).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))
+    page = rows.where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    return page.select("id", "similarity", "score", "place", (F.col("total") > offset + limit).alias("has_more"), "total")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.runtime import written
+
 GROUP = 4096  # rows of one side of a cell of the similarity join
 
 
@@ -49,22 +51,26 @@ def top_k(df: DataFrame, vector: list[float], k: int, threshold: float | None =
 
 
 def neighbours(
-    seeds: DataFrame, pool: DataFrame, k: int, threshold: float, same: tuple[str, ...] = (), differ: str | None = None, or_global: bool = False
+    seeds: DataFrame, pool: DataFrame, k: int, threshold: float, same: tuple[str, ...] = (), differ: str | None = None, or_global: bool | str = False
 ) -> DataFrame:
     """(id, other, similarity, rank): for each seed the k most similar rows of the pool at or above the threshold.
 
     `same` columns must be equal, `differ` unequal; with `or_global` the first of `same` may differ where the pool's
-    row has global scope or the seed has. Both sides are dealt to cells of bounded size (a grid, inside equal `same`
-    values); a cell is one matrix product and returns at most k rows a seed, and a window merges the cells.
+    row has global scope or the seed has (`or_global="pool"`: only where the pool's row has). Both sides are dealt to
+    cells of bounded size: a grid inside equal `same` values, sized by that group, so rows of small groups are not
+    copied. A cell is one matrix product and returns at most k rows a seed, and a window merges the cells.
     """
     fixed = same[1:] if or_global else same
     keep = ["id", "embedding", *dict.fromkeys([*same, *([differ] if differ else []), *(["scope"] if or_global else [])])]
     seeds, pool = seeds.select(*keep), pool.select(*[F.col(c).alias(c) for c in keep])  # new columns, also of one table
-    sizes = [max(1, -(-x.count() // GROUP)) for x in (seeds, pool)]
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = seeds.withColumn("i", deal(sizes[0])).withColumn("j", every(sizes[1]))
-    right = pool.withColumn("j", deal(sizes[1])).withColumn("i", every(sizes[0]))
+    group = F.struct(*fixed) if fixed else F.lit(0)
+    cells = lambda df, name: df.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias(name))
+    # written first, so that the rows' join alone is dealt by group and a hot one can be split
+    sizes = written(cells(seeds, "ni").join(cells(pool, "nj"), "g"), "grid-sizes")
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = seeds.withColumn("g", group).join(sizes, "g").withColumn("i", deal("ni")).withColumn("j", every("nj")).drop("g", "ni", "nj")
+    right = pool.withColumn("g", group).join(sizes, "g").withColumn("j", deal("nj")).withColumn("i", every("ni")).drop("g", "ni", "nj")
 
     def unit(rows: pd.DataFrame) -> np.ndarray:
         x = np.stack([np.asarray(v, float) for v in rows["embedding"]])
@@ -82,7 +88,7 @@ def neighbours(
             ok &= mine[differ].to_numpy(object)[:, None] != others[differ].to_numpy(object)[None, :]
         if or_global:
             equal = mine[same[0]].to_numpy(object)[:, None] == others[same[0]].to_numpy(object)[None, :]
-            ok &= equal | (others["scope"].to_numpy(object) == "global")[None, :] | (mine["scope"].to_numpy(object) == "global")[:, None]
+            ok &= equal | (others["scope"].to_numpy(object) == "global")[None, :] | ((mine["scope"].to_numpy(object) == "global") & (or_global != "pool"))[:, None]
         rows, cols = np.nonzero(ok)
         if not len(rows):
             return nothing

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from keepsake import filters
 from keepsake.functions import text as tx
 from keepsake.operators import clusters, graph, mutate, scans, vectors
 from keepsake.queries.base import COS, EV, MEM, NOW, events, mem, query, r6, vector_of
@@ -46,28 +47,26 @@ def promotion_candidates(spark, d):
     return _ids(scans.promotion_candidates(mem(spark, d), LOOSE, NOW))
 
 
-@query("skill_candidates", f"WITH {MEM} SELECT project, count(*) AS n, min(id) AS first_id FROM mem WHERE NOT deprecated AND ((type = 'procedure' AND usage_count >= 5) OR (type = 'discovery' AND usage_count >= 3)) GROUP BY project")
+@query("skill_candidates", f"WITH {MEM} SELECT CASE WHEN project = '/p/0' THEN 'global' ELSE project END AS project, count(*) AS n, min(id) AS first_id FROM mem WHERE NOT deprecated AND ((type = 'procedure' AND usage_count >= 5) OR (type = 'discovery' AND usage_count >= 3 AND success_count >= 2)) GROUP BY ALL")
 def skill_candidates(spark, d):
-    rows = mem(spark, d).where("not deprecated and ((type = 'procedure' and usage_count >= 5) or (type = 'discovery' and usage_count >= 3))")
+    m = mem(spark, d).withColumn("confidence", F.when(F.col("success_count") >= 2, "verified").otherwise("inferred"))
+    rows = scans.documentation_candidates(m.withColumn("project", F.when(F.col("project") != "/p/0", F.col("project")).otherwise("  ")))
     return rows.groupBy("project").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
-_PRIMARY = """CASE n % 6 WHEN 0 THEN '[Tool Result] ' || substr(exact_text, 1, 20) WHEN 1 THEN 'Output too large. Full output saved to /tmp/x.txt' WHEN 2 THEN 'extension timeout'
- WHEN 3 THEN 'reward: 1' || chr(10) || 'loss = 2' || chr(10) || 'fps 30' ELSE 'plain words' END"""
-
-
 @query("quality_scan", f"""WITH {MEM} SELECT id, CASE WHEN n % 6 = 0 THEN 'quality:tool-result-prefix' WHEN n % 6 = 1 THEN 'quality:persisted-output-pointer'
- WHEN n % 6 = 2 AND type IN ('error', 'warning') AND n % 4 = 0 THEN 'quality:vague-extension-error' WHEN n % 6 = 3 AND type IN ('command', 'error', 'warning') AND n % 4 = 0 THEN 'quality:raw-metric-dump' END AS reason FROM mem
- WHERE n % 6 < 2 OR (n % 6 = 2 AND type IN ('error', 'warning') AND n % 4 = 0) OR (n % 6 = 3 AND type IN ('command', 'error', 'warning') AND n % 4 = 0)""")
+ WHEN n % 6 = 2 AND type IN ('error', 'warning') AND n % 4 = 0 THEN 'quality:vague-extension-error' WHEN n % 6 = 3 AND type IN ('command', 'error', 'warning') AND n % 8 = 0 THEN 'quality:raw-metric-dump' END AS reason FROM mem
+ WHERE n % 6 < 2 OR (n % 6 = 2 AND type IN ('error', 'warning') AND n % 4 = 0) OR (n % 6 = 3 AND type IN ('command', 'error', 'warning') AND n % 8 = 0)""")
 def quality_scan(spark, d):
     m = mem(spark, d)
     n, nl = F.col("n") % 6, "\n"
     primary = (
-        F.when(n == 0, F.concat(F.lit("[Tool Result] "), F.substring("exact_text", 1, 20))).when(n == 1, "Output too large. Full output saved to /tmp/x.txt")
+        F.when(n == 0, F.concat(F.lit("[Tool Result] "), F.col("exact_text"))).when(n == 1, "Output too large. Full output saved to /tmp/x.txt")
         .when(n == 2, "extension timeout").when(n == 3, f"reward: 1{nl}loss = 2{nl}fps 30").otherwise("plain words")
     )
+    cause = F.when(F.col("n") % 8 == 0, "unknown").otherwise("the reward was scaled twice")
     remedy = F.when(F.col("n") % 4 == 0, "retry").otherwise("restart the browser first")
-    return m.select("id", scans.quality_reason(F.col("type"), primary, F.lit(""), [remedy]).alias("reason")).where("reason is not null")
+    return m.select("id", scans.quality_reason(F.col("type"), primary, F.lit(""), [remedy], [cause]).alias("reason")).where("reason is not null")
 
 
 PAIRS = f"pairs AS (SELECT a.id AS a, b.id AS b, a.type AS ta, b.type AS tb, a.project AS pa, b.project AS pb, {COS.format(a='a.embedding', b='b.embedding')} AS s FROM mem a JOIN mem b ON a.id <> b.id WHERE NOT a.deprecated AND NOT b.deprecated)"
@@ -89,27 +88,35 @@ def knn_cross_type(spark, d):
     return vectors.neighbours(m, m, 12, 0.3, differ="type").select("id", "other", r6("similarity"), "rank")
 
 
+CHECKED = NOW - 12 * 86400000  # the records' times stand in for those of their last check
+
+
+def _clusters(spark, d, cross_type=False):
+    m = _active(spark, d)
+    return clusters.similarity_clusters(m, LOOSE, cross_type, m.where(filters.due(F.col("ts_ms"), CHECKED)))
+
+
 def _closure(kind: str) -> str:
     cond = "ta = tb" if kind == "same" else "ta <> tb"
-    return f"""near AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pairs WHERE {cond} AND s >= 0.3) WHERE r <= 12),
+    return f"""near AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM pairs WHERE {cond} AND s >= 0.3) WHERE r <= 12 AND a IN (SELECT id FROM mem WHERE ts_ms < {CHECKED})),
  e AS (SELECT a, b FROM near UNION SELECT b, a FROM near), walk AS (SELECT a, a AS b FROM e UNION SELECT w.a, e.b FROM walk w JOIN e ON w.b = e.a),
- comp AS (SELECT a AS id, min(b) AS cluster FROM walk GROUP BY a), best AS (SELECT x AS id, max(s) AS s FROM (SELECT a AS x, s FROM near UNION ALL SELECT b, s FROM near) GROUP BY x),
- cl AS (SELECT cluster, comp.id, CASE WHEN comp.id = cluster THEN 1.0 ELSE s END AS s, type FROM comp JOIN best USING (id) JOIN mem USING (id))"""
+ comp AS (SELECT a AS id, min(b) AS cluster FROM walk GROUP BY a), best AS (SELECT b AS id, max(s) AS s FROM near GROUP BY b),
+ cl AS (SELECT cluster, comp.id, CASE WHEN ts_ms < {CHECKED} THEN 1.0 ELSE s END AS s, type FROM comp LEFT JOIN best USING (id) JOIN mem USING (id))"""
 
 
 @query("same_type_clusters", f"WITH RECURSIVE {MEM}, {PAIRS}, {_closure('same')} SELECT cluster, id, round(s, 6) AS similarity, type FROM cl")
 def same_type_clusters(spark, d):
-    return clusters.similarity_clusters(_active(spark, d), LOOSE).select("cluster", "id", r6("similarity"), "type")
+    return _clusters(spark, d).select("cluster", "id", r6("similarity"), "type")
 
 
 @query("cross_type_clusters", f"WITH RECURSIVE {MEM}, {PAIRS}, {_closure('cross')} SELECT cluster, id, round(s, 6) AS similarity, type FROM cl WHERE cluster IN (SELECT cluster FROM cl GROUP BY cluster HAVING count(DISTINCT type) > 1)")
 def cross_type_clusters(spark, d):
-    return clusters.similarity_clusters(_active(spark, d), LOOSE, cross_type=True).select("cluster", "id", r6("similarity"), "type")
+    return _clusters(spark, d, True).select("cluster", "id", r6("similarity"), "type")
 
 
 @query("capped_clusters", f"WITH RECURSIVE {MEM}, {PAIRS}, {_closure('same')}, c AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s DESC, id) AS p FROM cl) SELECT cluster, id, CAST(p AS INT) AS place FROM c WHERE p <= 2")
 def capped_clusters(spark, d):
-    return clusters.capped(clusters.similarity_clusters(_active(spark, d), LOOSE), 2).select("cluster", "id", "place")
+    return clusters.capped(_clusters(spark, d), 2).select("cluster", "id", "place")
 
 
 KEEP = "k AS (SELECT cl.cluster, id, first_value(id) OVER (PARTITION BY cl.cluster ORDER BY success_count DESC, last_used DESC, ts_ms DESC, id) AS keeper, success_count, failure_count, retrieval_count, usage_count, last_used FROM cl JOIN mem USING (id))"
@@ -118,13 +125,13 @@ KEEP = "k AS (SELECT cl.cluster, id, first_value(id) OVER (PARTITION BY cl.clust
 @query("keeper_merge", f"WITH RECURSIVE {MEM}, {PAIRS}, {_closure('same')}, {KEEP} SELECT keeper, CAST(sum(success_count) AS BIGINT) AS success_count, CAST(sum(failure_count) AS BIGINT) AS failure_count, CAST(sum(retrieval_count) AS BIGINT) AS retrieval_count, CAST(sum(usage_count) AS BIGINT) AS usage_count, max(last_used) AS last_used, count(*) AS members FROM k GROUP BY keeper")
 def keeper_merge(spark, d):
     m = _active(spark, d)
-    return clusters.merged(clusters.similarity_clusters(m, LOOSE), m)[0]
+    return clusters.merged(_clusters(spark, d), m)[0]
 
 
 @query("merge_actions", f"WITH RECURSIVE {MEM}, {PAIRS}, {_closure('same')}, {KEEP} SELECT id, 'consolidation:merged-into:' || keeper AS reason, keeper AS superseding FROM k WHERE id <> keeper")
 def merge_actions(spark, d):
     m = _active(spark, d)
-    return clusters.merged(clusters.similarity_clusters(m, LOOSE), m)[1]
+    return clusters.merged(_clusters(spark, d), m)[1]
 
 
 @query("fallback_keeper", f"""WITH {MEM} SELECT project AS cluster, id, keeper FROM (SELECT project, id, first_value(id) OVER (PARTITION BY project ORDER BY
@@ -173,12 +180,14 @@ def conflict_verdict(spark, d):
 
 @query("currentness_clusters", None)
 def currentness_clusters(spark, d):
-    return clusters.star_clusters(_active(spark, d).where("type = 'discovery'"), 0.3, 8, 12, ["project"])
+    found = _active(spark, d).where("type = 'discovery'")
+    return clusters.currentness_clusters(found, LOOSE, found.where(filters.due(F.col("ts_ms"), CHECKED)))
 
 
 @query("warning_clusters", None)
 def warning_clusters(spark, d):
-    return clusters.star_clusters(_active(spark, d).where("type in ('command', 'error') and failure_count >= 2"), 0.3, 6, 5, ["project", "type"])
+    found = _active(spark, d).where("type in ('command', 'error')")
+    return clusters.warning_clusters(found, LOOSE, found.where(filters.due(F.col("ts_ms"), CHECKED)))
 
 
 @query("similarity_tiers", f"WITH {MEM}, t AS (SELECT d.id, {COS.format(a='d.embedding', b='a.embedding')} AS s, row_number() OVER (PARTITION BY d.id ORDER BY {COS.format(a='d.embedding', b='a.embedding')} DESC, a.id) AS r FROM mem d JOIN mem a ON d.deprecated AND NOT a.deprecated AND (d.project = a.project OR a.scope = 'global' OR d.scope = 'global')), x AS (SELECT id, max(s) FILTER (WHERE r = 1) * 2 AS t1, max(s) FILTER (WHERE r = 2) * 2 AS t2 FROM t GROUP BY id) SELECT id, round(t1, 6) AS top1, CASE WHEN t1 < 0.65 THEN 'none' WHEN t1 >= 0.85 THEN CASE WHEN t1 - coalesce(t2, 0) >= 0.05 THEN 'strong' ELSE 'multi' END ELSE 'weak' END AS tier FROM x")
@@ -239,7 +248,7 @@ def entity_edges(spark, d):
     return graph.entity_edges(rows, m.count()).select("a", "b", r6("weight"), "shared")
 
 
-HOP = f"""q AS (SELECT embedding AS v FROM mem WHERE id = 'm000000'), res AS (SELECT id, {COS.format(a='m.embedding', b='q.v')} AS s FROM mem m, q WHERE NOT deprecated AND n < 100 ORDER BY s DESC, id LIMIT 5),
+HOP = f"""q AS (SELECT embedding AS v FROM mem WHERE id = 'm000000'), res AS (SELECT id, {COS.format(a='m.embedding', b='q.v')} AS s FROM mem m, q WHERE NOT deprecated ORDER BY s DESC, id LIMIT 5),
  {{co}}, el AS (SELECT 'm' || lpad(CAST(a AS VARCHAR), 6, '0') AS source, 'm' || lpad(CAST(b AS VARCHAR), 6, '0') AS target, least(1.0, n / 100) AS weight FROM co WHERE (a + b) % 5 <> 0)"""
 
 
@@ -247,7 +256,7 @@ HOP = f"""q AS (SELECT embedding AS v FROM mem WHERE id = 'm000000'), res AS (SE
  FROM res JOIN el ON res.id = el.source JOIN mem t ON t.id = target AND NOT t.deprecated WHERE target NOT IN (SELECT id FROM res)) SELECT id, round(score, 6) AS score, parent, 1 AS hop FROM st WHERE r = 1 ORDER BY st.score DESC, id LIMIT 5""")
 def expand_relations(spark, d):
     m = mem(spark, d)
-    found = vectors.top_k(m.where("not deprecated and n < 100"), vector_of(m, "m000000"), 5).select("id", F.col("similarity").alias("score"), "similarity")
+    found = vectors.top_k(m.where("not deprecated"), vector_of(m, "m000000"), 5).select("id", F.col("similarity").alias("score"), "similarity")
     pad = lambda c: F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 6, "0")).alias(c)
     edges = _edges(spark, d).select(pad("source"), pad("target"), "kind", F.least(F.lit(1.0), F.col("reinforcement") / 100).alias("weight"))
     return graph.expand(found, edges, m).select("id", r6("score"), "parent", "hop")

@@ -151,23 +151,18 @@ def recent_ids(spark, d):
     return history.recent_ids(events(spark, d), 3, "session", "k", "ts_ms").select("session", "k", "place")
 
 
-ARMS = f"""q AS (SELECT id AS prompt, embedding AS v FROM mem WHERE n < 5), sims AS (SELECT prompt, m.id, m.n, {COS.format(a='m.embedding', b='q.v')} AS s, type FROM mem m, q WHERE NOT deprecated),
+ARMS = f"""q AS (SELECT id AS prompt, embedding AS v FROM mem WHERE n % 50 = 0), sims AS (SELECT prompt, m.id, m.n, {COS.format(a='m.embedding', b='q.v')} AS s, type FROM mem m JOIN q ON m.id <> q.prompt WHERE NOT deprecated),
  arms AS (SELECT 'base' AS arm, prompt, id, n FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY s DESC, id) AS r FROM sims) WHERE r <= 8
   UNION ALL SELECT 'typed', prompt, id, n FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY s DESC, id) AS r FROM sims WHERE type <> 'warning') WHERE r <= 12)"""
 
 
 def _arms(spark, d):
+    """Every 50th record as a prompt, against all others, in two arms."""
     m = mem(spark, d)
-    prompts = [r["id"] for r in m.where("n < 5").select("id").collect()]  # five fixed prompts
-    arms = []
-    for prompt in prompts:
-        v = vector_of(m, prompt)
-        for arm, where, k in (("base", ~F.col("deprecated"), 8), ("typed", ~F.col("deprecated") & (F.col("type") != "warning"), 12)):
-            arms.append(vectors.top_k(m, v, k, where=where).select(F.lit(arm).alias("arm"), F.lit(prompt).alias("prompt"), "id", "n"))
-    out = arms[0]
-    for a in arms[1:]:
-        out = out.unionByName(a)
-    return out
+    live = m.where(~F.col("deprecated"))
+    arm = lambda name, pool, k: vectors.neighbours(m.where("n % 50 = 0"), pool, k, -1.0).select(F.lit(name).alias("arm"), F.col("id").alias("prompt"), F.col("other").alias("id"))
+    both = arm("base", live, 8).unionByName(arm("typed", live.where("type <> 'warning'"), 12))
+    return both.withColumn("n", F.substring("id", 2, 18).cast("long"))
 
 
 @query("arm_metrics", f"WITH {MEM}, {ARMS}, j AS (SELECT arms.*, CASE WHEN n % 3 <> 0 THEN n % 2 = 0 END AS helpful FROM arms), b AS (SELECT prompt, id FROM arms WHERE arm = 'base') SELECT arm, count(DISTINCT j.prompt) AS prompts, count(*) AS injected, count(helpful) AS judged, count(*) FILTER (WHERE helpful) AS helpful, count(*) FILTER (WHERE helpful AND b.id IS NULL) AS discoveries, round(count(*) FILTER (WHERE helpful) / count(helpful), 6) AS precision FROM j LEFT JOIN b ON j.prompt = b.prompt AND j.id = b.id GROUP BY arm")

@@ -200,12 +200,13 @@ def table_difference(spark, d):
     return evaluate.table_difference(m.where("n % 2 = 0").select("type", "project"), m.where("n % 3 = 0").select("type", "project"))
 
 
-@query("random_batch", None)
+@query("random_batch", f"WITH {MEM} SELECT id, type FROM mem ORDER BY sha256('5:' || id), id LIMIT 20")
 def random_batch(spark, d):
-    return mem(spark, d).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(20).select("id", "type")
+    return mem(spark, d).orderBy(F.sha2(F.concat(F.lit("5:"), "id"), 256), "id").limit(20).select("id", "type")
 
 
 @query("known_ancestors", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '/p' END AS root FROM customer")
 def known_ancestors(spark, d):
-    roots = filters.ancestors("/p/7/x", ["/p", "/q"])
-    return table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, roots[0]).alias("root"))
+    path = F.when(F.col("c_custkey") % 2 == 0, "/p/7/x").otherwise("/r/7/x")
+    nearest = F.get(F.filter(filters.parents(path), lambda x: x.isin("/p", "/q")), F.lit(0))
+    return table(spark, d, "customer").select("c_custkey", nearest.alias("root"))

@@ -33,6 +33,7 @@ class Settings:
     stale_days: int = 90
     low_usage_min_retrievals: int = 5
     low_usage_ratio_threshold: float = 0.1
+    low_usage_high_retrieval_min: int = 5
     stale_unused_days: int = 30
     consolidation_search_limit: int = 12
     consolidation_max_cluster_size: int = 8
@@ -43,6 +44,9 @@ class Settings:
     conflict_threshold: float = 0.85
     conflict_limit: int = 5
     currentness_threshold: float = 0.7
+    currentness_search_limit: int = 12
+    currentness_max_cluster_size: int = 8
+    currentness_recheck_days: int = 7
     promotion_batch_size: int = 20
     promotion_recheck_days: int = 30
     promotion_min_success: int = 2
@@ -51,6 +55,11 @@ class Settings:
     warning_threshold: float = 0.8
     warning_limit: int = 5
     warning_min_failures: int = 2
+    warning_recheck_days: int = 7
+    warning_dedup_threshold: float = 0.9
+    max_warnings: int = 5
+    warning_budget_share: float = 0.3
+    relation_days: int = 30
     dedup_threshold: float = 0.85
 
     def __post_init__(self) -> None:

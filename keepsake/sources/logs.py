@@ -26,12 +26,12 @@ def write_events(events: DataFrame, path: str, now: int) -> None:
 
 
 def read_events(spark: SparkSession, path: str, since_ms: int | None = None, schema: T.StructType = EVENT) -> DataFrame:
-    """Events in time order; lines that don't parse are left out, and days before `since_ms` aren't read."""
+    """Events; lines that don't parse are left out, and days before `since_ms` aren't read."""
     found = spark.read.schema(T.StructType([*schema.fields, T.StructField("date", T.StringType())])).option("mode", "DROPMALFORMED").json(path)
     if since_ms is not None:
         day = F.date_format(F.timestamp_millis(F.lit(since_ms)), "yyyy-MM-dd")
         found = found.where((F.col("date") >= day) & (F.col("timestamp") >= since_ms))
-    return found.orderBy("timestamp")
+    return found
 
 
 def days(spark: SparkSession, path: str) -> DataFrame:
@@ -45,20 +45,22 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def transcript(spark: SparkSession, path: str) -> DataFrame:
-    """seq, kind (user, assistant, tool_call, tool_result), text, tool_id, name, input of a transcript's lines.
+    """file, line, place, kind (user, assistant, tool_call, tool_result), text, tool_id, name, input of transcripts' lines.
 
-    Side chains and meta lines are skipped. A result takes the name and input of the latest earlier call of its id.
+    Side chains, meta lines and lines that don't parse are skipped. A result takes the name and input of the latest
+    earlier call of its id in its file; only rows with an id are brought together for that.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.from_json("value", LINE).alias("x")).where("x.type is not null")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", LINE).alias("x")).where("x.type is not null")
     lines = lines.where(~F.coalesce("x.isSidechain", F.lit(False)) & ~F.coalesce("x.isMeta", F.lit(False)))
     blocks = F.from_json("x.message.content", T.ArrayType(BLOCK))
     plain = F.array(F.struct(F.lit("text").alias("type"), F.col("x.message.content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("id", "name", "input", "tool_use_id", "content")]))
     is_list = F.ltrim("x.message.content").startswith("[")
-    rows = lines.select("line", F.col("x.message.role").alias("role"), F.posexplode(F.when(is_list, F.coalesce(blocks, plain)).otherwise(plain)).alias("place", "b"))
+    rows = lines.select("file", "line", F.col("x.message.role").alias("role"), F.posexplode(F.when(is_list, F.coalesce(blocks, plain)).otherwise(plain)).alias("place", "b"))
     kind = F.when(F.col("b.type") == "tool_use", "tool_call").when(F.col("b.type") == "tool_result", "tool_result").otherwise(F.col("role"))
-    rows = rows.select("line", "place", kind.alias("kind"), F.coalesce("b.text", "b.content").alias("text"), F.coalesce("b.tool_use_id", "b.id").alias("tool_id"), "b.name", "b.input")
-    w = Window.partitionBy("tool_id").orderBy("line", "place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("file", "line", "place", kind.alias("kind"), F.coalesce("b.text", "b.content").alias("text"), F.coalesce("b.tool_use_id", "b.id").alias("tool_id"), "b.name", "b.input")
+    w = Window.partitionBy("file", "tool_id").orderBy("line", "place").rowsBetween(Window.unboundedPreceding, 0)
     call = F.when(F.col("kind") == "tool_call", F.struct("name", "input"))
-    rows = rows.withColumn("call", F.last(call, ignorenulls=True).over(w))
+    own = rows.where("tool_id is null").withColumn("call", F.lit(None).cast("struct<name: string, input: string>"))
+    rows = own.unionByName(rows.where("tool_id is not null").withColumn("call", F.last(call, ignorenulls=True).over(w)))
     from_call = lambda c: F.when(F.col("kind") == "tool_result", F.col(f"call.{c}")).otherwise(F.col(c)).alias(c)
-    return rows.select("line", "place", "kind", "text", "tool_id", from_call("name"), from_call("input")).orderBy("line", "place")
+    return rows.select("file", "line", "place", "kind", "text", "tool_id", from_call("name"), from_call("input"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from keepsake import filters, records, schema
 from keepsake.functions import text as tx
-from keepsake.operators import activity, clusters, evaluate, graph, history, mutate, packing, scans, search, vectors
+from keepsake.operators import activity, clusters, evaluate, graph, history, mutate, packing, scans, search, vectors, writes
+from keepsake.plans import context
 from keepsake.settings import DAY_MS, Settings
 
 NOW = 1706659200000
@@ -126,7 +127,7 @@ def test_entity_edges_need_rare_entities(spark):
 
 def test_star_clusters_follow_time(spark):
     df = spark.createDataFrame([("p", "a", 2, [1.0, 0.0]), ("p", "b", 1, [1.0, 0.1]), ("p", "c", 3, [0.0, 1.0])], "project string, id string, ts_ms long, embedding array<float>")
-    assert rows(clusters.star_clusters(df, 0.8, 8, 12, ["project"]), "cluster", "id") == [("b", "a"), ("b", "b"), ("c", "c")]
+    assert rows(clusters.star_clusters(df, df, 0.8, 8, 12, ["project"]), "cluster", "id") == [("b", "a"), ("b", "b"), ("c", "c")]
 
 
 @pytest.mark.parametrize("tail", [0, clusters.TAIL])
@@ -141,13 +142,27 @@ def test_star_clusters_equal_brute_force_without_whole_groups(spark, monkeypatch
     near = defaultdict(list)
     for r in vectors.neighbours(df, df, 12, 0.7, same=("project",)).orderBy("id", "rank").collect():
         near[r["id"]].append(r["other"])
-    used, expected = set(), []
-    for _, i in sorted((t, i) for _, i, t, _ in data):
-        if i not in used:
-            members = [i, *[j for j in near[i] if j not in used][:4]]
-            used |= set(members)
-            expected += [(i, j) for j in members]
-    assert rows(clusters.star_clusters(df, 0.7, 5, 12, ["project"], tail), "cluster", "id") == sorted(expected)
+    for alone_is_used in (False, True):
+        used, members, alone = set(), [], []
+        for _, i in sorted((t, i) for _, i, t, _ in data if t < 50):  # the later ones are no seeds
+            if i not in used:
+                took = [j for j in near[i] if j not in used and j[-1] != "7"][:4]
+                used |= set(took) | ({i} if took or alone_is_used else set())
+                members += [(i, j) for j in [i, *took]] if took else []
+                alone += [] if took else [i]
+        inside = {j for _, j in members}
+        expected = members + [(i, i) for i in alone if i not in inside]
+        found = clusters.star_clusters(df.where("ts_ms < 50"), df, 0.7, 5, 12, ["project"], ~F.col("id").endswith("7"), alone_is_used, tail)
+        assert rows(found, "cluster", "id") == sorted(expected)
+
+
+def test_warning_clusters_filter_after_the_nearest(spark):
+    """The nearest row has no failures: it uses up a place, and only then is left out."""
+    data = [("p", "command", "a", 1, 3, [1.0, 0.0]), ("p", "command", "b", 2, 0, [1.0, 0.01]), ("p", "command", "c", 3, 5, [1.0, 0.02]), ("p", "command", "d", 4, 2, [0.0, 1.0])]
+    df = spark.createDataFrame(data, "project string, type string, id string, ts_ms long, failure_count long, embedding array<double>")
+    s = Settings(warning_limit=1)
+    assert rows(clusters.warning_clusters(df, s, df), "cluster", "id", "failures") == [("a", "a", 3), ("c", "c", 5), ("d", "d", 2)]
+    assert rows(clusters.warning_clusters(df, Settings(warning_limit=2), df), "cluster", "id", "failures") == [("a", "a", 8), ("a", "c", 8), ("d", "d", 2)]
 
 
 def test_two_hops_search_all_records(spark, tmp_path, monkeypatch):
@@ -188,8 +203,10 @@ def test_quality_reasons(spark):
         ("command", "[Tool Result] x", "fix"), ("error", "extension timeout", "retry"), ("error", "extension timeout", "restart it"),
         ("command", "reward: 1\nloss = 2\nfps 30", ""), ("command", "reward: 1\nloss = 2\nfps 30 because", ""), ("discovery", "fine", ""),
     ], "t string, p string, r string")
-    got = [r[0] for r in df.select(scans.quality_reason(F.col("t"), F.col("p"), F.lit(""), [F.col("r")])).collect()]
+    got = [r[0] for r in df.select(scans.quality_reason(F.col("t"), F.col("p"), F.lit(""), [F.col("r")], [F.lit("")])).collect()]
     assert got == ["quality:tool-result-prefix", "quality:vague-extension-error", None, "quality:raw-metric-dump", None, None]
+    got = [r[0] for r in df.select(scans.quality_reason(F.col("t"), F.col("p"), F.lit(""), [F.col("r")], [F.lit("scaled twice")])).collect()]
+    assert got[1] == "quality:vague-extension-error" and got[3] is None, "a cause saves a metric dump only"
 
 
 def test_relative_age(spark):
@@ -256,3 +273,61 @@ def test_settings_are_checked():
         Settings().using(no_such=1)
     with pytest.raises(ValueError):
         Settings(suppression_mode="maybe")
+
+
+def test_ingest_equals_a_sequence(spark):
+    """Later new records see those inserted before them; what updates a record is no target itself."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (70, 3))
+    data = [("p" if i % 3 else "q", "command", f"r{i:02d}", i, str(i % 4), x[i].tolist(), i >= 40) for i in range(70)]
+    df = spark.createDataFrame(data, "project string, type string, id string, seq long, same_as string, embedding array<double>, fresh boolean").withColumn("deprecated", F.lit(False))
+    got = {r["id"]: (r["action"], r["target"]) for r in writes.ingest(df.where("fresh"), df.where("not fresh"), Settings(dedup_threshold=0.9)).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pool, expected = list(range(40)), {}
+    for i in range(40, 70):
+        near = sorted((-float(unit[i] @ unit[j]), data[j][2], j) for j in pool if data[j][0] == data[i][0] and unit[i] @ unit[j] >= 0.9)
+        if near:
+            expected[data[i][2]] = ("skipped" if near[0][2] % 4 == i % 4 else "update", near[0][1])
+        else:
+            pool.append(i)
+            expected[data[i][2]] = ("insert", None)
+    assert got == expected and {a for a, _ in got.values()} == {"insert", "update", "skipped"}
+
+
+def test_co_injection_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBERS", 7)
+    data = [(s, k, s * 10 + k) for s in range(3) for k in range(40 if s == 0 else 5)]
+    df = spark.createDataFrame(data, "session long, k long, at long")
+    got = {(r["a"], r["b"]): r["n"] for r in graph.co_injection_edges(df, "session", "k", "at", 1).collect()}
+    assert got == {(a, b): 3 if b < 5 else 1 for a in range(40) for b in range(a + 1, 40)}
+
+
+def test_neighbours_in_groups_of_all_sizes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "GROUP", 10)
+    rng = np.random.default_rng(4)
+    data = [(None if i % 9 == 0 else ("hot" if i % 3 else f"g{i}"), f"r{i:02d}", rng.normal(0, 1, 3).tolist()) for i in range(80)]
+    df = spark.createDataFrame(data, "project string, id string, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for _, i, v in data}
+    expected = set()
+    for p, i, _ in data:
+        near = sorted((-float(unit[i] @ unit[j]), j) for q, j, _ in data if p == q and i != j and unit[i] @ unit[j] >= 0.5)[:3]
+        expected |= {(i, j) for _, j in near}
+    got = vectors.neighbours(df, df, 3, 0.5, same=("project",))
+    assert {(r["id"], r["other"]) for r in got.collect()} == expected
+
+
+def test_context_is_empty_when_nothing_fits(spark):
+    data = [("q", 1, "a", "command", "x" * 4000, False), ("q", 2, "b", "error", "short", False), ("r", 1, "c", "warning", "w", True), ("s", 1, "d", "error", "fits", False)]
+    df = spark.createDataFrame(data, "query_id string, place int, id string, type string, entry string, deprecated boolean")
+    got = {r["query_id"]: (r["context"], r["ids"]) for r in context.assemble(df, Settings(max_tokens=200)).collect()}
+    assert got["q"][0] == "" and got["r"][0] == ""
+    assert got["s"][0].split("\n")[1:] == ["<prior-knowledge>", "- fits", "</prior-knowledge>"] and got["s"][1] == ["d"]
+
+
+def test_nearest_rank_equals_sorting(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": rng.integers(0, 5, 700).astype(float).tolist(), "b": [3.0], None: rng.normal(0, 1, 41).tolist()}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "g string, v double")
+    for p in (0, 50, 95, 100):
+        want = {k: sorted(v)[min(len(v) - 1, int(p / 100 * len(v)))] for k, v in values.items()}
+        assert {r["g"]: r["percentile"] for r in activity.nearest_rank(df, "v", p, ["g"]).collect()} == want
