@@ -7,24 +7,30 @@ in one of BANDS bands of one MinHash value each. A window that holds 0.8 of a te
 0.25 with it, and is retrieved with a probability of at least 1 - 0.75^48, above 0.999998. Candidates are verified by
 the exact share of the template's shingles in the window.
 
-A window without any shingle of a template cannot agree with it in a band, so bands are only computed for windows
-around shingles that occur in templates; this drops no candidate.
+A window agrees with a template in a band exactly if it holds the template's least shingle of that band and none that is
+less. So windows are looked for around these least shingles, at most BANDS a template, and only their bands are
+computed; this drops no candidate. Templates are taken in groups of TEMPLATE_GROUP, however many there are.
 
 Defined cases: null, empty and short texts match nothing; an empty table gives an empty result; rows of equal doc_id are
-pooled; templates of fewer than five words are refused; further columns are ignored. All of it is DataFrame functions;
+pooled (the best containment and the first place of any of them; rows without a doc_id are one such group); long texts
+are scanned whole; of a template's places that tie the first counts; templates of fewer than five words are refused;
+further columns are ignored. All of it is DataFrame functions;
 the templates are a parameter, and only they are broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.runtime import table, written
 
 WORDS, CONTAINMENT, BANDS = 5, 0.8, 48
+TEMPLATE_GROUP = 200
 
-# fixed values: public license notices
+# fixed values: public license notices and texts
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -36,6 +42,9 @@ TEMPLATES = (
     ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("ISC-full", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT-full", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Zlib-full", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 
 
@@ -56,28 +65,45 @@ def band_values(hashes: Column) -> Column:
     )
 
 
+def band_minima(shingles: Column) -> Column:
+    """For each band, the shingle whose hash is least."""
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 1)),
+        lambda b: F.array_min(F.transform(shingles, lambda h: F.struct(F.xxhash64(b, h).alias("x"), h.alias("h"))))["h"],
+    )
+
+
 def size_class(n: Column) -> Column:
     return F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int")
 
 
-def _templates(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> DataFrame:
-    rows = spark.createDataFrame(list(templates), "license string, notice string").withColumn("w", words_of(F.col("notice")))
+def _templates(rows: DataFrame) -> DataFrame:
+    rows = rows.select("license", words_of(F.col("notice")).alias("w"))
     rows = rows.withColumn("shingles", F.array_distinct(shingle_hashes(F.col("w"))))
     rows = rows.select("license", "shingles", size_class(F.size("shingles")).alias("class"), F.size("w").alias("n_words"))
-    if rows.where(F.col("n_words") < WORDS).limit(1).count():
+    if not rows.where(F.col("n_words") < WORDS).isEmpty():
         raise ValueError(f"a template needs at least {WORDS} words")
     return rows
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """doc_id, license, containment (largest over windows), first_word (of the template's first shingle found)."""
+def scan(docs: DataFrame, templates: DataFrame | tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """doc_id, license, containment (largest over windows), first_word (of the template's first shingle found).
+
+    `templates`: (license, notice) pairs, or a table of them.
+    """
     spark = docs.sparkSession
-    known = _templates(spark, templates).cache()
-    by_class: dict[int, list[int]] = {}
-    for row in known.select("class", "shingles").collect():  # the templates, which are a parameter
-        by_class.setdefault(row["class"], []).extend(row["shingles"])
-    texts = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-    texts = texts.select("doc_id", shingle_hashes(F.col("w")).alias("hashes"))
+    rows = templates if isinstance(templates, DataFrame) else spark.createDataFrame(list(templates), "license string, notice string")
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("license", "notice")) - 1  # the templates are a parameter
+    known = written(_templates(rows).join(rows.select("license", "notice", number.alias("number")), "license"), "license-templates")
+    groups = -(-known.count() // TEMPLATE_GROUP)
+    parts = [_scan(docs, known.where(F.floor(F.col("number") / TEMPLATE_GROUP) == g)) for g in range(max(1, groups))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scan(docs: DataFrame, known: DataFrame) -> DataFrame:
+    by_class: dict[int, set[int]] = {}
+    for row in known.select("class", band_minima(F.col("shingles")).alias("minima")).collect():  # at most BANDS a template
+        by_class.setdefault(row["class"], set()).update(row["minima"])
     any_hash = sorted({h for hs in by_class.values() for h in hs})
     texts = docs.select("doc_id", words_of(F.col("text")).alias("w"))
     at = F.when(F.size("w") >= WORDS, F.sequence(F.lit(0), F.size("w") - WORDS)).otherwise(F.array().cast("array<int>"))
@@ -87,11 +113,11 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
     texts = texts.where(F.size("hits") > 0)
     texts = written(texts.select("doc_id", "row", shingle_hashes(F.col("w")).alias("hashes"), "hits"), "license-hits")
 
-    def windows(size: int, hashes: list[int]) -> Column:
-        """(class, start, slice) of each window of this class that holds a shingle of one of its templates."""
+    def windows(size: int, minima: set[int]) -> Column:
+        """(class, start, slice) of each window of this class that holds a least shingle of one of its templates."""
         step = max(1, size // 2)
         width = size + step - 1 if size > 1 else 1
-        places = F.transform(F.filter("hits", lambda x: x["h"].isin(sorted(set(hashes)))), lambda x: x["p"])
+        places = F.transform(F.filter("hits", lambda x: x["h"].isin(sorted(minima))), lambda x: x["p"])
         first = lambda p: F.greatest(F.lit(0), F.ceil((p - width + 1) / step)).cast("int")
         numbers = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(first(p), F.floor(p / step).cast("int")))))
         return F.transform(
@@ -99,7 +125,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
             lambda k: F.struct(F.lit(size).alias("class"), (k * step).alias("start"), F.slice("hashes", k * step + 1, F.lit(width)).alias("held")),
         )
 
-    cut = texts.select("doc_id", F.explode(F.concat(*[windows(c, hs) for c, hs in sorted(by_class.items())])).alias("x"))
+    none = F.array().cast("array<struct<class: int, start: int, held: array<bigint>>>")
+    cut = texts.select("doc_id", F.explode(F.concat(none, *[windows(c, hs) for c, hs in sorted(by_class.items())])).alias("x"))
     cut = cut.select("doc_id", "x.class", "x.start", "x.held")
     banded = cut.select("*", F.explode(band_values(F.col("held"))).alias("band"))
     lookup = known.select("license", "class", "shingles", F.explode(band_values(F.col("shingles"))).alias("band"))
