@@ -39,6 +39,18 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((mean, deviation), axis=1) * np.sqrt(np.concatenate((size, size)))
 
 
+def products(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b that are alive; where few are, of these pairs alone (the others are 0)."""
+    i, j = np.nonzero(alive) if (few := np.count_nonzero(alive) * 16 < alive.size) else ((), ())
+    if not few:
+        return a @ b.T
+    out = np.zeros(alive.shape)
+    for at in range(0, len(i), 100_000):
+        p, q = i[at : at + 100_000], j[at : at + 100_000]
+        out[p, q] = np.einsum("nd,nd->n", a[p], b[q])
+    return out
+
+
 def best_in_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec_id, score) of each query's k best candidates among these."""
     order = np.argsort(-(candidates**2).sum(1), kind="stable")  # long vectors first: they raise the k-th best soon
@@ -51,17 +63,17 @@ def best_in_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ca
         block, block_ids = candidates[at : at + STEP], ids[at : at + STEP]
         floor = best[:, -1]
         rows, cols = np.arange(n_q), np.arange(len(block))
+        alive = np.ones((n_q, len(block)), bool)
         for s, q in zip(LEVELS, q_stats, strict=True):
-            bound = q[rows] @ segment_statistics(block[cols], s).T
-            slack = 1e-9 * (1 + np.abs(bound))
-            alive = bound + slack >= floor[rows][:, None]
+            bound = products(q[rows], segment_statistics(block[cols], s), alive)
+            alive &= bound + 1e-9 * (1 + np.abs(bound)) >= floor[rows][:, None]
             keep_rows, keep_cols = alive.any(1), alive.any(0)
             rows, cols, alive = rows[keep_rows], cols[keep_cols], alive[np.ix_(keep_rows, keep_cols)]
             if not len(rows):
                 break
         if not len(rows):
             continue
-        score = queries[rows] @ block[cols].T
+        score = products(queries[rows], block[cols], alive)
         score[~alive | (query_ids[rows][:, None] == block_ids[cols][None, :])] = -np.inf
         short = min(4 * k, len(cols))
         near = np.argpartition(-score, short - 1, axis=1)[:, :short] if short < len(cols) else np.tile(np.arange(len(cols)), (len(rows), 1))
