@@ -101,6 +101,30 @@ def test_language_of_awkward_documents(spark):
     assert language_id.decode(language_id.train(nothing(spark)), language_id.features("abc"))[0] == "und"
 
 
+def test_language_equals_brute_force(spark):
+    """Features counted n-gram by n-gram, and the loss of each codeword summed bit by bit."""
+    docs = real(spark, 60)
+    model = language_id.train(real(spark), 60)
+    for r in language_id.identify(docs, model).collect():
+        text = "".join(c if c.isalpha() else " " for c in r["text"].lower())
+        text = " " + " ".join(text.split()) + " "
+        counts = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(text) - n + 1):
+                h = ord(text[i]) * 0x9E3779B1 % 2**32
+                for c in text[i + 1 : i + n]:
+                    h = (h * 31 + ord(c) * 0x85EBCA6B) % 2**32
+                counts[((h ^ (h >> 15)) * 0xC2B2AE35 % 2**32) >> 20] += 1
+        length = math.sqrt(sum(counts.values()))
+        bits = [sum(math.sqrt(v) / length * float(model["w"][k, b]) for k, v in counts.items()) + float(model["b"][b]) for b in range(model["code"].shape[1])]
+        loss = [sum(t * math.log1p(math.exp(-c * x)) for t, c, x in zip(trust, code, bits, strict=True)) for trust, code in zip(model["trust"], model["code"], strict=True)]
+        best = min(range(len(loss)), key=lambda k: loss[k])
+        score = 1 / sum(math.exp(-(x - loss[best]) * len(bits)) for x in loss)
+        second = sorted(loss)[1]
+        assert r["lang_pred"] == model["names"][best] and abs(r["lang_score"] - score) < 1e-3
+        assert r["lang_ambiguous"] == (second - loss[best] < language_id.AMBIGUOUS) or abs(second - loss[best] - language_id.AMBIGUOUS) < 1e-3
+
+
 def test_codewords_differ():
     for n in (2, 4, 7, 12):
         code = language_id.codewords(n)
@@ -167,6 +191,44 @@ def test_license_places(spark):
         licenses.scan(docs, (("x", "too short"),))
 
 
+def license_by_hand(rows, templates):
+    """Containment of every template in every window of its class, by sets of word 5-shingles."""
+    split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    out = {}
+    for doc, text in rows:
+        g = grams(split(text))
+        for name, notice in templates:
+            t = set(grams(split(notice)))
+            c = 2 ** math.ceil(math.log2(len(t)))
+            step, width = max(1, c // 2), c + c // 2 - 1 if c > 1 else 1
+            for k in range(0, len(g), step):
+                held = g[k : k + width]
+                share = len(t & set(held)) / len(t)
+                if share >= 0.8:
+                    place = k + next(i for i, x in enumerate(held) if x in t)
+                    best = out.get((doc, name), (0.0, 10**9))
+                    out[doc, name] = (max(best[0], round(share, 6)), min(best[1], place))
+    return out
+
+
+def test_license_scan_equals_brute_force(spark, monkeypatch):
+    """Whole and damaged texts, repeats, long documents, a clashing column, and templates from a table in small groups."""
+    monkeypatch.setattr(licenses, "TEMPLATE_GROUP", 4)
+    rng, rows = np.random.default_rng(6), []
+    for i in range(60):
+        name, notice = licenses.TEMPLATES[i % len(licenses.TEMPLATES)]
+        w = notice.split()
+        for _ in range(int(rng.integers(0, 1 + len(w) // 25))):
+            w[int(rng.integers(0, len(w)))] = "damaged"
+        rows.append((i, words(i, int(rng.integers(0, 400))) + " " + " ".join(w) + " " + words(i + 1, 60)))
+    rows += [rows[3], (60, words(7, 9000) + " " + licenses.TEMPLATES[11][1]), (61, None), (62, ""), (None, licenses.TEMPLATES[0][1])]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, license string")
+    templates = spark.createDataFrame(list(licenses.TEMPLATES), "license string, notice string")
+    got = {(r["doc_id"], r["license"]): (round(r["containment"], 6), r["first_word"]) for r in licenses.scan(docs, templates).collect()}
+    assert got == license_by_hand(rows, licenses.TEMPLATES) and len(got) > 50
+
+
 # op5
 
 
@@ -325,6 +387,24 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_few_survivors_get_the_same_products():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 1, (40, 8)), rng.normal(0, 1, (50, 8))
+    for share in (0.01, 0.9):
+        alive = rng.random((40, 50)) < share
+        assert np.allclose(topk.products(a, b, alive)[alive], (a @ b.T)[alive])
+
+
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_top_k_of_short_vectors(spark, width):
+    rng = np.random.default_rng(width)
+    data = [(i, rng.normal(0, 1, width).tolist()) for i in range(90)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()]
+    v = {i: np.floor(np.array(x) * 64) for i, x in data}
+    want = [(q, r + 1, c, -s) for q in v if q % 20 == 0 for r, (s, c) in enumerate(sorted((-int(v[q] @ x), c) for c, x in v.items() if c != q)[:20])]
+    assert sorted(got) == sorted(want)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     a, b = np.floor(rng.normal(0, 30, (50, 64))), np.floor(rng.normal(0, 30, (60, 64)))
@@ -344,6 +424,38 @@ def test_quality_scores_held_out_rows(spark):
     assert found.agg(F.avg(((F.col("score") >= 0.3).cast("int") == F.col("quality")).cast("int"))).first()[0] > 0.95
 
 
+def test_quality_equals_brute_force(spark):
+    """Class means and covariances from the rows themselves, and densities by determinant and solve."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(1).withColumn("text", F.repeat(F.lit("long text, very. "), 40_000)))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    stats = quality.with_statistics(docs)
+    model = quality.fit(quality.moments(stats, labels))
+    got = stats.join(quality.score_documents(stats, model).distinct(), "doc_id").collect()
+    known = defaultdict(list)
+    for r in labels.where("quality in (0, 1)").collect():
+        known[r["doc_id"]].append(r["quality"])
+    read = lambda r: np.frombuffer(bytes(r["stats"]), "<f4").astype(float)
+    rows = [(read(r), q) for r in stats.collect() for q in known[r["doc_id"]] if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    x, y = np.array([a for a, _ in rows]), np.array([b for _, b in rows])
+    scale = np.sqrt(np.maximum(x.var(0), 1e-8))
+    z = (x - x.mean(0)) / scale
+    cov = {k: np.cov(z[y == k].T, bias=True) for k in (0, 1)}
+    pooled = sum((y == k).mean() * cov[k] for k in (0, 1))
+    own = {k: (1 - quality.POOLED) * cov[k] + quality.POOLED * pooled for k in (0, 1)}
+    own = {k: (1 - quality.SPHERE) * c + quality.SPHERE * np.trace(c) / len(c) * np.eye(len(c)) for k, c in own.items()}
+    single = Counter(r["doc_id"] for r in got)
+    for r in got:
+        if single[r["doc_id"]] > 1:
+            continue
+        v = (read(r) - x.mean(0)) / scale
+        density = {}
+        for k in (0, 1):
+            gap = v - z[y == k].mean(0)
+            density[k] = -0.5 * (gap @ np.linalg.solve(own[k], gap) + np.linalg.slogdet(own[k])[1]) + math.log((y == k).mean())
+        assert abs(r["score"] - 1 / (1 + math.exp(min(500, density[0] - density[1])))) < 1e-5
+
+
 def test_quality_of_awkward_documents(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (6, None), (7, 0), (7, 0), (99, 5), (None, 1), (12, 0), (11, 1)], "doc_id long, quality int")
@@ -445,6 +557,26 @@ def test_signatures_estimate_weighted_similarity():
 # the pipeline
 
 
+@pytest.mark.parametrize("make", [awkward, nothing])
+def test_stages_of_awkward_documents(spark, make):
+    """Nulls, empty texts, repeats, and columns with the names that the operators use keep their values."""
+    import corpus_pipeline
+
+    docs = make(spark).withColumns({c: F.lit(f"own {c}") for c in ("lang_pred", "kept_text", "n_lines", "mix_slot", "row", "key")})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"own {c}" for r in rows for c in ("lang_pred", "kept_text", "n_lines", "mix_slot", "row", "key")), name
+        if name in ("line_dedup", "mix_sources"):
+            assert len(rows) == docs.count()
+        if name == "language_id":
+            assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+        docs = spark.createDataFrame(rows, out.schema)
+    last = corpus_pipeline.STAGES[4][1](spark, docs, "").collect()
+    assert sorted((r["doc_id"] for r in last), key=str) == sorted((r["doc_id"] for r in docs.collect()), key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
