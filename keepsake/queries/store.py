@@ -33,7 +33,7 @@ def ordered_multi_get(spark, d):
 
 @query("record_stats", f"WITH {MEM} SELECT id, retrieval_count, usage_count, success_count, failure_count FROM mem WHERE id IN ('m000007', 'm000003', 'm000100')")
 def record_stats(spark, d):
-    ids = history.records_frame(spark, [(i,) for i in sorted(set(IDS))], "id string")
+    ids = spark.createDataFrame([(i,) for i in sorted(set(IDS))], "id string")
     return mem(spark, d).join(F.broadcast(ids), "id", "left_semi").where("id <> 'm000001'").select("id", "retrieval_count", "usage_count", "success_count", "failure_count")
 
 

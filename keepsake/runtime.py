@@ -26,9 +26,11 @@ def session(app: str = "keepsake", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder every executor sees: spark.checkpoint.dir. Where that is unset, a temporary one, on a local master alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "keepsake-shared")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["topk_cosine", "hybrid_search", "keyword_interleave", "two_scope_search", "pool_stats", "run_health", "keeper_merge", "entity_edges", "soft_delete", "latest_earlier_call", "quality_scan"]
+CHECKED = ["topk_cosine", "hybrid_search", "keyword_interleave", "two_scope_search", "pool_stats", "run_health", "keeper_merge", "entity_edges", "soft_delete", "latest_earlier_call", "quality_scan", "record_stats"]
 
 
 def test_entry_has_rows(spark):
