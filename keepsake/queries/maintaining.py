@@ -262,13 +262,25 @@ def expand_relations(spark, d):
     return graph.expand(found, edges, m).select("id", r6("score"), "parent", "hop")
 
 
-@query("expand_two_hops", None)
+ALL_EDGES = HOP.format(co=CO).replace(" WHERE (a + b) % 5 <> 0", "")
+TWO_HOPS = f"""WITH {MEM}, {EV}, {ALL_EDGES}, act AS (SELECT id FROM mem WHERE NOT deprecated AND id NOT IN (SELECT id FROM res)),
+s1 AS (SELECT target AS id, s AS root, weight AS walked, s * weight * 0.6 AS score, source AS parent, row_number() OVER (PARTITION BY target ORDER BY s * weight * 0.6 DESC, source) AS r
+ FROM res JOIN el ON res.id = source JOIN act ON act.id = target),
+k1 AS (SELECT id, root, walked, score, parent, 1 AS hop FROM s1 WHERE r = 1 ORDER BY score DESC, id LIMIT 8),
+s2 AS (SELECT target AS id, root * walked * weight * 0.36 AS score, k1.id AS parent, row_number() OVER (PARTITION BY target ORDER BY root * walked * weight * 0.36 DESC, k1.id) AS r
+ FROM k1 JOIN el ON k1.id = source JOIN act ON act.id = target),
+u AS (SELECT id, score, parent, hop FROM k1 UNION ALL SELECT id, score, parent, 2 FROM s2 WHERE r = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, hop) AS r FROM u)
+SELECT id, round(score, 6) AS score, round(greatest(0.0, least(1.0, score)), 6) AS similarity, parent, CAST(hop AS INT) AS hop FROM b WHERE r = 1 ORDER BY b.score DESC, id LIMIT 8"""
+
+
+@query("expand_two_hops", TWO_HOPS)
 def expand_two_hops(spark, d):
     m = mem(spark, d)
     found = vectors.top_k(m.where("not deprecated"), vector_of(m, "m000000"), 5).select("id", F.col("similarity").alias("score"), "similarity")
     pad = lambda c: F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 6, "0")).alias(c)
     edges = _edges(spark, d).select(pad("source"), pad("target"), "kind", F.least(F.lit(1.0), F.col("reinforcement") / 100).alias("weight"))
-    return graph.expand(found, edges, m, hops=2, most=8, entity_edges=True)
+    return graph.expand(found, edges, m, hops=2, most=8, entity_edges=True).select("id", r6("score"), r6("similarity"), "parent", "hop")
 
 
 @query("provenance_backfill", f"WITH {EV}, a AS (SELECT k AS id, event_type, ts_ms, event_id, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS p FROM ev WHERE event_type IN ('purchase', 'click')) SELECT id, event_type AS kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, ts_ms, event_id) AS r FROM a) WHERE r = 1")

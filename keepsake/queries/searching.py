@@ -120,7 +120,17 @@ def usage_ratio(spark, d):
     return mem(spark, d).select("id", F.round(records.usage_ratio(F.col("usage_count"), F.col("retrieval_count")), 6).alias("ratio"))
 
 
-@query("mmr", None)
+MMR = f"""WITH RECURSIVE {MEM}, sc AS (SELECT q.id AS query_id, m.id, {SIM} AS score, m.embedding AS e FROM mem m, (SELECT id, embedding AS v FROM mem WHERE id IN {Q}) q),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM sc) WHERE place <= 24),
+near AS (SELECT a.query_id, a.id, b.id AS other, {COS.format(a='a.e', b='b.e')} AS s FROM pool a JOIN pool b USING (query_id)),
+picked AS (SELECT query_id, id, [id] AS chosen, 1 AS rank FROM pool WHERE place = 1 UNION ALL
+ SELECT query_id, id, list_append(chosen, id), rank + 1 FROM (SELECT p.query_id, c.id, p.chosen, p.rank, row_number() OVER (PARTITION BY p.query_id ORDER BY 0.7::DOUBLE * c.score - (1 - 0.7::DOUBLE) * max(n.s) DESC, c.score DESC, c.id) AS r
+  FROM picked p JOIN pool c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.id) JOIN near n ON n.query_id = c.query_id AND n.id = c.id AND list_contains(p.chosen, n.other)
+  WHERE p.rank < 8 GROUP BY p.query_id, c.id, c.score, p.chosen, p.rank) WHERE r = 1)
+SELECT query_id, id, CAST(rank AS INT) AS rank FROM picked"""
+
+
+@query("mmr", MMR)
 def mmr(spark, d):
     m = mem(spark, d)
     pools = [vectors.top_k(m, vector_of(m, q), 24).select(F.lit(q).alias("query_id"), "id", F.col("similarity").alias("score"), "embedding") for q in Q]
