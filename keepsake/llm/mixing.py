@@ -7,9 +7,13 @@ name). Shares sum to 1, so every block is placed inside its window, and after an
 from its target, however many slots there are. When a source has no block left, a new phase begins with the weights of
 those that have; the bound holds within each phase. Sources of weight 0 come after all others, in equal shares.
 
-The order of blocks depends on the weights and the numbers of blocks alone. Exact weights have no short period, so it is
-worked out once for all blocks: a step of the driver in whole numbers for `block_docs` documents. At most `period` slots
-and one open run a source are held there at a time; runs go to files in the shared folder, which documents are joined to.
+The order of blocks depends on the weights and the numbers of blocks alone, and is worked out by the driver in whole
+numbers, a step a block. Weights of few digits come round: after as many slots as their whole numbers sum to, every source
+is exactly at its target, and the slots that follow are the same again. Of a phase's equal periods only the first is
+worked out, and the others are found by arithmetic on the block's number. Weights of many digits (such as the tempered
+sizes that are taken where none are given) do not come round within a phase: there it is one step for `block_docs`
+documents. At most `period` slots and one open run a source are held at a time; runs go to files in the shared folder,
+which documents are joined to.
 
 No document is dropped or repeated. Ranks inside a source come from hash buckets and their running counts, so a
 source that holds most rows is still ordered by many tasks.
@@ -33,6 +37,7 @@ from keepsake.runtime import shared_folder, table
 
 PERIOD, BLOCK_DOCS, BUCKETS, TEMPER = 250_000, 16, 1024, 0.7
 RUN = 64  # blocks of one source in a row of the files
+REPEATS = "__s string, first long, blocks long, times long, slots long"
 RUNS = "__s string, __run long, __phases array<int>, __slots array<long>, __releases array<long>, __deadlines array<long>"
 
 
@@ -45,16 +50,29 @@ def whole(weights: dict[str, float]) -> dict[str, int]:
     return {s: int(w * scale) for s, w in exact.items()}
 
 
-def turns(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int, int, int, int]]:
-    """(source, block, phase, slot, release, deadline) by slot: earliest deadline first among released blocks."""
+def turns(blocks: dict[str, int], weights: dict[str, int], repeats: list[tuple] | None = None) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, phase, slot, release, deadline) by slot: earliest deadline first among released blocks.
+
+    Into a list `repeats` go, by source, the first block of a period, its blocks, how often more it comes, and its slots;
+    the blocks of those further times are then left out.
+    """
     left, done, at, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, 0
     while live := [s for s in left if left[s]]:
         parts = {s: weights[s] for s in live if weights[s]} or dict.fromkeys(live, 1)
+        common = math.gcd(*parts.values())
+        parts = {s: w // common for s, w in parts.items()}
         total, first, t, going = sum(parts.values()), {s: done[s] for s in parts}, 0, True
         ready: list[tuple] = [(-(-total // w), s, 0, 0) for s, w in parts.items()]
         waiting: list[tuple] = []
         heapify(ready)
         while going:
+            if t == total and repeats is not None and (times := min((left[s] - 1) // w for s, w in parts.items())):
+                repeats += [(s, first[s], w, times, total) for s, w in parts.items()]
+                waiting, t = [(total * (1 + times), s, w * (1 + times)) for s, w in parts.items()], total * (1 + times)
+                heapify(waiting)
+                for s, w in parts.items():
+                    done[s] += w * times
+                    left[s] -= w * times
             while waiting and waiting[0][0] <= t:
                 release, s, k = heappop(waiting)
                 heappush(ready, (-(-(k + 1) * total // parts[s]), s, k, release))
@@ -71,17 +89,20 @@ def write_turns(spark: SparkSession, found: Iterator[tuple], period: int) -> Dat
     """`found` in rows of RUN blocks of a source, written every `period` slots and read back."""
     path = f"{shared_folder(spark).rstrip('/')}/turns-{uuid.uuid4().hex}"
     rows: list[tuple] = []
-    runs: dict[str, list[tuple]] = {}
-    close = lambda s: rows.append((s, runs[s][0][0] // RUN, *[[x[i] for x in runs[s]] for i in (1, 2, 3, 4)]))
+    runs: dict[str, tuple[int, list[tuple]]] = {}
+    close = lambda s: rows.append((s, runs[s][0], *[[x[i] for x in runs[s][1]] for i in range(4)]))
     write = lambda: spark.createDataFrame(rows, RUNS).write.mode("append").parquet(path)
-    for s, *turn in found:
-        runs.setdefault(s, []).append(tuple(turn))
-        if len(runs[s]) == RUN:
-            close(s)
-            del runs[s]
-            if len(rows) * RUN >= period:
-                write()
-                rows.clear()
+    for s, block, *turn in found:
+        if s not in runs or runs[s][0] != block // RUN:
+            if s in runs:
+                close(s)
+            runs[s] = (block // RUN, [])
+        run = runs[s][1]
+        run += [(None,) * 4] * (block % RUN - len(run))  # blocks of further times of a period
+        run.append(tuple(turn))
+        if len(rows) * RUN >= period:
+            write()
+            rows.clear()
     for s in runs:
         close(s)
     write()
@@ -105,15 +126,25 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_doc
     given = {s: Fraction(str(w)) for s, w in (weights or {s: n**TEMPER for s, n in totals.items()}).items()}
     mean = sum(given.values()) / max(1, len(given))
     parts = whole({s: given.get(s, mean) for s in totals})
-    runs = write_turns(spark, turns({s: -(-n // block_docs) for s, n in totals.items()}, parts), period)
+    repeats: list[tuple] = []
+    runs = write_turns(spark, turns({s: -(-n // block_docs) for s, n in totals.items()}, parts, repeats), period)
+    periods = F.collect_list(F.struct("first", "blocks", "times", "slots")).alias("__periods")
+    periods = spark.createDataFrame(repeats, REPEATS).groupBy("__s").agg(periods)  # at most one a phase in a row
+    holds = lambda p, low, high: (p["first"] + p["blocks"] <= high) & (low < p["first"] + p["blocks"] * (1 + p["times"]))
+    low, high = F.floor(F.col("__before") / block_docs), F.floor((F.col("__before") + F.col("n")) / block_docs)
+    buckets = counts.join(periods, "__s", "left").withColumn("__periods", F.filter("__periods", lambda p: holds(p, low, high))).drop("n")
     w = Window.partitionBy("__s", "__b").orderBy("__h", "doc_id")
-    ranked = rows.withColumn("__rank", F.row_number().over(w)).join(counts.drop("n"), ["__s", "__b"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") - 1 + F.col("__before"))
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block_docs)).withColumn("__run", F.floor(F.col("mix_block") / RUN))
-    placed, at = ranked.join(runs, ["__s", "__run"]), F.pmod("mix_block", F.lit(RUN)).cast("int")
+    ranked = rows.withColumn("__rank", F.row_number().over(w)).join(buckets, ["__s", "__b"])
+    ranked = ranked.withColumn("__rank", F.col("__rank") - 1 + F.col("__before")).withColumn("mix_block", F.floor(F.col("__rank") / block_docs))
+    ranked = ranked.withColumn("__period", F.get(F.filter("__periods", lambda p: holds(p, F.col("mix_block"), F.col("mix_block"))), F.lit(0)))
+    ranked = ranked.withColumn("__times", F.coalesce(F.expr("(mix_block - __period.first) div __period.blocks"), F.lit(0)))
+    shift = F.coalesce(F.col("__times") * F.col("__period.slots"), F.lit(0))
+    ranked = ranked.withColumn("__like", F.coalesce(F.col("mix_block") - F.col("__times") * F.col("__period.blocks"), "mix_block"))
+    ranked = ranked.withColumn("__run", F.expr(f"__like div {RUN}"))
+    placed, at = ranked.join(runs, ["__s", "__run"]), F.pmod("__like", F.lit(RUN)).cast("int")
     return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.get("__phases", at).alias("mix_phase"), "mix_block",
-        F.get("__slots", at).alias("mix_slot"), F.get("__releases", at).alias("mix_release"), F.get("__deadlines", at).alias("mix_deadline"),
+        *[F.col(f"`{c}`") for c in docs.columns], F.get("__phases", at).alias("mix_phase"), "mix_block", (F.get("__slots", at) + shift).alias("mix_slot"),
+        (F.get("__releases", at) + shift).alias("mix_release"), (F.get("__deadlines", at) + shift).alias("mix_deadline"),
         F.pmod("__rank", F.lit(block_docs)).cast("int").alias("mix_place"),
     )
 

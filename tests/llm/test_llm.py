@@ -334,6 +334,21 @@ def test_mixture_equals_brute_force(spark):
     assert [(r["source"], r["mix_block"]) for r in sorted(got, key=lambda r: r["mix_slot"])] == order
 
 
+def test_mixture_of_weights_that_come_round_is_worked_out_once(spark):
+    """Periods found by arithmetic: every slot equals the plain schedule, through four phases and a weight of 0."""
+    docs = spark.createDataFrame([(i, "a" if i % 10 < 5 else "b" if i % 10 < 8 else "c" if i % 10 < 9 else "d" if i % 4 else "zero") for i in range(7000)], "doc_id long, source string")
+    weights = {"a": 0.4, "b": 0.35, "c": 0.15, "d": 0.1, "zero": 0}
+    got = mixing.schedule(docs, weights, block_docs=2).collect()
+    sizes = {s: -(-n // 2) for s, n in Counter(r["source"] for r in got).items()}
+    parts, repeats = mixing.whole(weights), []
+    steps = sum(1 for _ in mixing.turns(sizes, parts, repeats))
+    assert steps < 300 and steps + sum(blocks * times for _, _, blocks, times, _ in repeats) == sum(sizes.values())
+    want = {x[:2]: x[2:] for x in mixing.turns(sizes, parts)}
+    found = {(r["source"], r["mix_block"]): tuple(r[c] for c in ("mix_phase", "mix_slot", "mix_release", "mix_deadline")) for r in got}
+    assert found == want and len(got) == 7000
+    assert max(x[2] for x in mixing.turns(sizes, parts)) >= 3
+
+
 def test_mix_keeps_all_documents(spark):
     docs = awkward(spark)
     out = mixing.mix(docs)
