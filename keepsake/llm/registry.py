@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.llm import byte_pairs, fingerprints, language_id, licenses, line_dedup, mixing, near_dedup, quality, token_files, topk
+from keepsake.llm import byte_pairs, collocations, fill_in_middle, fingerprints, language_id, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup, token_files, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k": topk.op8_top_k,
         "op9_quality": quality.op9_quality,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL, "op4_license_scan": licenses.OP4_SQL, "op8_top_k": topk.OP8_SQL}
+    return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
+        "op4_license_scan": licenses.OP4_SQL,
+        "op8_top_k": topk.OP8_SQL,
+        "op11_substring_dedup": substring_dedup.OP11_SQL,
+        "op12_collocations": collocations.OP12_SQL,
+        "op13_fill_in_middle": fill_in_middle.OP13_SQL,
+    }
