@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.batches import release
+from keepsake.llm.numerics import ragged
 from keepsake.llm.words import BASE, GROUP_BYTES, Words, group_of, groups_and_bits, pack, run_numbers, runs, shard_slices, table_of, unpack
 from keepsake.runtime import table, written
 
 DEPTH, LEAST, SCALE, SUBSUMED, TOP = 4, 30, 2_000_000, 80, 2000
 UNKNOWN = "und"
+SLICE = 100_000  # phrases put together at a time
 MARKS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D])
 BREAKS = MARKS | np.isin(np.arange(256), [0x20, 0x09])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -187,11 +189,12 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, group
         at = np.flatnonzero(word)[found.end]
         phrase = join_words(g.words, at - found.length + 1, at)
         total = np.bincount(g.lang, minlength=len(g.langs))
-        seen = [i for i, n in enumerate(total) if n]
+        seen = np.flatnonzero(total)
+        langs = pa.DictionaryArray.from_arrays(np.concatenate((g.lang[at], seen)).astype("i4"), pa.array(g.langs, pa.string())).cast(pa.string())
+        nought = np.zeros(len(seen), int)
         out = table_of(
-            PHRASES, lang=np.array(g.langs, object)[g.lang[at]].tolist() + [g.langs[i] for i in seen], phrase=phrase + [""] * len(seen),
-            least=np.concatenate((found.least, np.zeros(len(seen), int))), length=np.concatenate((found.length, np.zeros(len(seen), int))),
-            n=np.concatenate((found.count, total[seen])),
+            PHRASES, lang=langs, phrase=pa.concat_arrays([phrase, pa.array([""] * len(seen), pa.string())]),
+            least=np.concatenate((found.least, nought)), length=np.concatenate((found.length, nought)), n=np.concatenate((found.count, total[seen])),
         )
         release()
         return out
@@ -206,10 +209,19 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, group
     return each.groupBy("lang", "phrase", "length").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("length") == 0))
 
 
-def join_words(words: Words, first: np.ndarray, last: np.ndarray) -> list[str]:
+def join_words(words: Words, first: np.ndarray, last: np.ndarray) -> pa.Array:
     """The words from `first` to `last` of each phrase, joined by one space."""
-    data, starts, ends = words.data.tobytes(), words.starts.tolist(), words.ends.tolist()
-    return [b" ".join([data[starts[i] : ends[i]] for i in range(a, b + 1)]).decode() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    sizes = words.ends - words.starts + 1
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    line = np.append(words.data[ragged(words.starts, sizes)], np.uint8(32))  # all words, each with the byte that follows it
+    line[at[1:] - 1] = 32
+    lengths = at[last + 1] - 1 - at[first]
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    values = np.empty(int(offsets[-1]), np.uint8)
+    for a in range(0, len(lengths), SLICE):
+        b = min(a + SLICE, len(lengths))
+        values[offsets[a] : offsets[b]] = line[ragged(at[first[a:b]], lengths[a:b])]
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(values)).cast(pa.string())
 
 
 def collocations(docs: DataFrame, top: int = TOP, depth: int = DEPTH, least: int = LEAST, subsumed: int = SUBSUMED, scale: int = SCALE) -> DataFrame:
