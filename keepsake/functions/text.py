@@ -14,10 +14,16 @@ STOPWORDS = (
     "would yes you your"
 ).split()
 SHORT_TECH = "api dns ip jq k8s sql ssh tcp udp".split()
+# fixed values: entities that tell nothing, and the pattern of a token
 GENERIC_ENTITIES = "git npm pnpm node npx bash zsh shell linux file server error command config json http https".split()
 TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}._:/@+-]*[\p{L}\p{N}\p{M}])?"
 
 
+def composed(text: Column) -> Column:
+    """A text in Unicode's composed form (NFC), by the library in Spark's own jars."""
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+
+
 def keywords(text: Column) -> Column:
     """Lower-cased distinct tokens worth searching for, in order of appearance."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))

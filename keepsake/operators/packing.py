@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keepsake.runtime import written
 
 
-def stop_at_overflow(df: DataFrame, size: Column, budget: int, order: list[Column], by: list[str] | None = None, most: int | None = None) -> DataFrame:
+def stop_at_overflow(df: DataFrame, size: Column, budget: int | Column, order: list[Column], by: list[str] | None = None, most: int | None = None) -> DataFrame:
     """The longest prefix in `order` whose sizes sum to at most `budget`; what follows the first overflow is out.
 
     Sizes are not negative, so the running sum says where that is. `by` packs each group on its own.
@@ -46,13 +46,17 @@ def newest_within(df: DataFrame, size: Column, budget: int, order: list[Column],
     return rows.withColumn("place", F.row_number().over(w)).where((F.col("running") <= budget) | (F.col("place") == 1))
 
 
-def maximal_marginal_relevance(df: DataFrame, limit: int, weight: float, by: str = "query_id") -> DataFrame:
+def maximal_marginal_relevance(df: DataFrame, limit: int | str, weight: float | str, by: str | list[str] = "query_id") -> DataFrame:
     """(by, id, rank): the best score first, then the best of weight * score - (1 - weight) * similarity to the chosen.
 
     Ties go to the better score, then the smaller id; rows without a vector come last. Each query is one small group.
+    `limit` and `weight` may name columns that are constant within a query.
     """
+    by = [by] if isinstance(by, str) else list(by)
+    df = df.withColumns({"__limit": F.col(limit) if isinstance(limit, str) else F.lit(limit), "__weight": F.col(weight) if isinstance(weight, str) else F.lit(float(weight))})
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        limit, weight = int(rows["__limit"].iloc[0]), float(rows["__weight"].iloc[0])
         rows = rows.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         has = rows["embedding"].map(lambda v: v is not None and len(v) > 0).to_numpy()
         order: list[int] = []
@@ -69,8 +73,9 @@ def maximal_marginal_relevance(df: DataFrame, limit: int, weight: float, by: str
                 free[best] = False
                 near = np.maximum(near, x @ x[best])
         order = [*order, *np.flatnonzero(~has)][: max(0, limit)]
-        out = rows.loc[order, [by, "id"]]
+        out = rows.loc[order, [*by, "id"]]
         return out.assign(rank=np.arange(1, len(out) + 1, dtype=np.int32))
 
-    kind = dict(df.dtypes)[by]
-    return df.select(by, "id", "score", "embedding").groupBy(by).applyInPandas(pick, f"{by} {kind}, id string, rank int")
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "id string, rank int"])
+    return df.select(*by, "id", "score", "embedding", "__limit", "__weight").groupBy(*by).applyInPandas(pick, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keepsake.runtime import written
 
-GROUP = 4096  # rows of one side of a cell of the similarity join
+GROUP, BLOCK = 4096, 512  # rows of one side of a cell of the similarity join, and of those worked on at a time
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,20 +50,52 @@ def top_k(df: DataFrame, vector: list[float], k: int, threshold: float | None =
     return found if threshold is None else found.where(F.col("similarity") >= threshold)
 
 
+def valid(column: str = "embedding") -> Column:
+    """Whether there is a vector: not empty, all components finite, not all zero."""
+    finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(column) > 0) & finite & F.exists(column, lambda x: x != 0), F.lit(False))
+
+
 def neighbours(
     seeds: DataFrame, pool: DataFrame, k: int, threshold: float, same: tuple[str, ...] = (), differ: str | None = None, or_global: bool | str = False
 ) -> DataFrame:
     """(id, other, similarity, rank): for each seed the k most similar rows of the pool at or above the threshold.
 
     `same` columns must be equal, `differ` unequal; with `or_global` the first of `same` may differ where the pool's
-    row has global scope or the seed has (`or_global="pool"`: only where the pool's row has). Both sides are dealt to
+    row has global scope or the seed has (`or_global="pool"`: only where the pool's row has). Rows without a valid vector
+    take no part, and vectors are compared with those of their length. Equal similarities go to the smaller `other`.
+
+    Global rows are compared in joins of their own, so only they meet other groups. Both sides of a join are dealt to
     cells of bounded size: a grid inside equal `same` values, sized by that group, so rows of small groups are not
-    copied. A cell is one matrix product and returns at most k rows a seed, and a window merges the cells.
+    copied. A cell is worked through in blocks of rows, keeps at most k a seed, and a window merges the cells.
     """
-    fixed = same[1:] if or_global else same
     keep = ["id", "embedding", *dict.fromkeys([*same, *([differ] if differ else []), *(["scope"] if or_global else [])])]
-    seeds, pool = seeds.select(*keep), pool.select(*[F.col(c).alias(c) for c in keep])  # new columns, also of one table
-    group = F.struct(*fixed) if fixed else F.lit(0)
+    seeds, pool = (df.select(*[F.col(c).alias(c) for c in keep]).where(valid()).withColumn("dims", F.size("embedding")) for df in (seeds, pool))  # new columns, also of one table
+    unlike = (differ,) if differ else ()
+    found = _grid(seeds, pool, k, threshold, same, unlike)
+    if or_global:
+        rest, unlike, far = same[1:], (*unlike, same[0]), F.col("scope") == "global"
+        found = found.unionByName(_grid(seeds, pool.where(far), k, threshold, rest, unlike))
+        if or_global != "pool":
+            found = found.unionByName(_grid(seeds.where(far), pool.where(~F.coalesce(far, F.lit(False))), k, threshold, rest, unlike))
+    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_of_each_row(close: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's k greatest finite values; of equal ones at the end the leftmost."""
+    if k >= close.shape[1]:
+        return np.nonzero(np.isfinite(close))
+    least = np.partition(close, close.shape[1] - k, axis=1)[:, [close.shape[1] - k]]
+    above, equal = close > least, close == least
+    spare = k - above.sum(1, keepdims=True)
+    return np.nonzero((above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= spare))) & np.isfinite(close))
+
+
+def _grid(seeds: DataFrame, pool: DataFrame, k: int, threshold: float, same: tuple[str, ...], unlike: tuple[str, ...]) -> DataFrame:
+    """(id, other, similarity): at most k a seed and cell, `same` and dims equal, `unlike` columns different."""
+    fixed = ("dims", *same)
+    group = F.struct(*fixed)
     cells = lambda df, name: df.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias(name))
     # written first, so that the rows' join alone is dealt by group and a hot one can be split
     sizes = written(cells(seeds, "ni").join(cells(pool, "nj"), "g"), "grid-sizes")
@@ -73,30 +105,26 @@ def neighbours(
     right = pool.withColumn("g", group).join(sizes, "g").withColumn("j", deal("nj")).withColumn("i", every("ni")).drop("g", "ni", "nj")
 
     def unit(rows: pd.DataFrame) -> np.ndarray:
-        x = np.stack([np.asarray(v, float) for v in rows["embedding"]])
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+        x = np.stack(rows["embedding"].to_numpy()).astype(float)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def cell(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         nothing = pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": object, "other": object, "similarity": float})
         if not len(mine) or not len(others):
             return nothing
-        close = unit(mine) @ unit(others).T
-        a, b = mine["id"].to_numpy(object)[:, None], others["id"].to_numpy(object)[None, :]
-        ok = (close >= threshold) & (a != b)
-        if differ:
-            ok &= mine[differ].to_numpy(object)[:, None] != others[differ].to_numpy(object)[None, :]
-        if or_global:
-            equal = mine[same[0]].to_numpy(object)[:, None] == others[same[0]].to_numpy(object)[None, :]
-            ok &= equal | (others["scope"].to_numpy(object) == "global")[None, :] | ((mine["scope"].to_numpy(object) == "global") & (or_global != "pool"))[:, None]
-        rows, cols = np.nonzero(ok)
-        if not len(rows):
-            return nothing
-        found = pd.DataFrame({"id": a[rows, 0], "other": b[0, cols], "similarity": close[rows, cols]})
-        found = found.sort_values(["id", "similarity", "other"], ascending=[True, False, True])
-        return found.groupby("id", sort=False).head(k)
+        others = others.sort_values("id", kind="stable")  # so that the leftmost of equal values is the smaller id
+        codes = {c: pd.factorize(np.concatenate((mine[c].to_numpy(object), others[c].to_numpy(object))))[0] for c in ("id", *unlike)}
+        x, y, n, parts = unit(mine), unit(others).T, len(mine), []
+        for a in range(0, n, BLOCK):
+            b = min(a + BLOCK, n)
+            close = x[a:b] @ y
+            close[close < threshold] = -np.inf
+            for c in codes.values():
+                close[c[a:b, None] == c[None, n:]] = -np.inf
+            rows, cols = best_of_each_row(close, k)
+            parts.append((rows + a, cols, close[rows, cols]))
+        rows, cols, close = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return pd.DataFrame({"id": mine["id"].to_numpy(object)[rows], "other": others["id"].to_numpy(object)[cols], "similarity": close})
 
     keys = [*fixed, "i", "j"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "id string, other string, similarity double")
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "id string, other string, similarity double")

@@ -28,7 +28,12 @@ class Settings:
     max_relation_expansions: int = 5
     relation_hop_decay: float = 0.6
     max_relations_per_record: int = 50
+    enable_relation_expansion: bool = True
     enable_entity_edges: bool = False
+    enable_entity_keywords: bool = False
+    max_keyword_queries: int = 6
+    max_keyword_errors: int = 3
+    max_keyword_commands: int = 3
     # maintenance
     stale_days: int = 90
     low_usage_min_retrievals: int = 5
