@@ -4,8 +4,8 @@ Lines are keyed (white space stripped at both ends, A-Z lower-cased) and hashed
 hash is counted over documents; the hashes are dealt to shards of bounded size, and each shard gets a minimal
 perfect hash (levels of bit sets without collisions, ranked by running popcounts) that indexes compact arrays:
 a fingerprint, the count of documents and the largest doc_id. Documents send packed probes (hash and
-place) to the shards and look the arrays up; lines themselves are never joined. Shards with very many probes are
-copied under several salts, so one common line does not meet in one task.
+place) to the shards and look the arrays up; lines themselves are never joined. Shards with over SHARD_PROBES probes
+are copied under several salts, so no task gets many more than that, however common a line is.
 
 Every probed hash is in its shard's index, so a lookup cannot hit a foreign slot; two different lines are taken
 for one only if all 128 bits agree.
@@ -28,7 +28,7 @@ from keepsake.llm.numerics import mix64
 from keepsake.runtime import table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-SHARD_KEYS, MIN_SHARDS, HOT_PARTS = 32_768, 64, 512
+SHARD_KEYS, MIN_SHARDS, SHARD_PROBES = 32_768, 64, 250_000
 BLANKS = " \t\n\x0b\x0c\r"
 LEVELS, LOAD = 24, 2.0
 
@@ -141,13 +141,12 @@ def _joint(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 def dropped_places(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, th, drops): the sorted places of the lines each document loses; documents that lose none are absent."""
     shards, n = build_shards(docs, min_chars)
-    total = shards.agg(F.sum("probes")).first()[0] or 0
-    copies = F.greatest(F.lit(1), F.ceil(F.col("probes") * HOT_PARTS / F.lit(max(1, total)))).cast("int")
-    # more than one copy only where a shard has over 1/HOT_PARTS of all probes: under HOT_PARTS rows
-    hot = shards.select("shard", copies.alias("copies")).where("copies > 1")
+    copies = F.greatest(F.lit(1), F.ceil(F.col("probes") / SHARD_PROBES)).cast("int")
+    # written, so that its size is known: it is broadcast below the session's threshold and joined by shard above it
+    hot = written(shards.select("shard", copies.alias("copies")).where("copies > 1"), "hot-shards")
     index = shards.select("shard", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), "blob")
     probes = _lines(docs, min_chars).withColumn("shard", F.pmod("h1", F.lit(n)).cast("int"))
-    probes = probes.join(F.broadcast(hot), "shard", "left")
+    probes = probes.join(hot, "shard", "left")
     probes = probes.withColumn("salt", F.pmod(F.xxhash64("key", "th", "pos"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
 
     def probe(lines: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:

@@ -10,10 +10,12 @@ those that have; the bound holds within each phase. Sources of weight 0 come aft
 The order of blocks depends on the weights and the numbers of blocks alone, and is worked out by the driver in whole
 numbers, a step a block. Weights of few digits come round: after as many slots as their whole numbers sum to, every source
 is exactly at its target, and the slots that follow are the same again. Of a phase's equal periods only the first is
-worked out, and the others are found by arithmetic on the block's number. Weights of many digits (such as the tempered
-sizes that are taken where none are given) do not come round within a phase: there it is one step for `block_docs`
-documents. At most `period` slots and one open run a source are held at a time; runs go to files in the shared folder,
-which documents are joined to.
+worked out, and the others are found by arithmetic on the block's number. Where no weights are given, a source's target
+is its share of the tempered sizes (documents to the power TEMPER), rounded to a whole number of SHARES and at least 1:
+such a period has about SHARES slots however many documents there are, and a target is at most half a share (1 for a
+source smaller than that) from the tempered size. The bound of one block holds against the targets. Given weights of
+very many digits may not come round within a phase: there it is one step for `block_docs` documents. At most `period`
+slots and one open run a source are held at a time; runs go to files in the shared folder, which documents are joined to.
 
 No document is dropped or repeated. Ranks inside a source come from hash buckets and their running counts, so a
 source that holds most rows is still ordered by many tasks.
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from keepsake.runtime import shared_folder, table
 
-PERIOD, BLOCK_DOCS, BUCKETS, TEMPER = 250_000, 16, 1024, 0.7
+PERIOD, BLOCK_DOCS, BUCKETS, TEMPER, SHARES = 250_000, 16, 1024, 0.7, 10_000
 RUN = 64  # blocks of one source in a row of the files
 REPEATS = "__s string, first long, blocks long, times long, slots long"
 RUNS = "__s string, __run long, __phases array<int>, __slots array<long>, __releases array<long>, __deadlines array<long>"
@@ -50,6 +52,12 @@ def whole(weights: dict[str, float]) -> dict[str, int]:
     return {s: int(w * scale) for s, w in exact.items()}
 
 
+def tempered(totals: dict[str, int]) -> dict[str, int]:
+    """The target of each source where none is given, in whole numbers that sum to about SHARES."""
+    every = sum(n**TEMPER for n in totals.values())
+    return {s: max(1, round(n**TEMPER * SHARES / every)) for s, n in totals.items()}
+
+
 def turns(blocks: dict[str, int], weights: dict[str, int], repeats: list[tuple] | None = None) -> Iterator[tuple[str, int, int, int, int, int]]:
     """(source, block, phase, slot, release, deadline) by slot: earliest deadline first among released blocks.
 
@@ -112,7 +120,7 @@ def write_turns(spark: SparkSession, found: Iterator[tuple], period: int) -> Dat
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 11) -> DataFrame:
     """`docs` with mix_phase, mix_block, mix_slot, mix_release, mix_deadline and mix_place (in the block).
 
-    Without `weights` a source weighs its number of documents to the power TEMPER.
+    Without `weights` a source's target is its share of the tempered sizes.
     """
     spark = docs.sparkSession
     added = ["mix_phase", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_place"]
@@ -123,7 +131,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_doc
     before = F.sum("n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("__s", "__b", "n", F.coalesce(before, F.lit(0)).alias("__before"))  # sources x BUCKETS rows
     totals = {r["__s"]: r["n"] for r in counts.groupBy("__s").agg(F.sum("n").alias("n")).collect()}  # one row a source
-    given = {s: Fraction(str(w)) for s, w in (weights or {s: n**TEMPER for s, n in totals.items()}).items()}
+    given = {s: Fraction(str(w)) for s, w in (weights or tempered(totals)).items()}
     mean = sum(given.values()) / max(1, len(given))
     parts = whole({s: given.get(s, mean) for s in totals})
     repeats: list[tuple] = []

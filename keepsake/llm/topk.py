@@ -2,8 +2,10 @@
 
 Vectors are turned into integers floor(64 x). For segments of s components with means m and deviations d, the
 inner product of q and c is at most the sum over segments of s (m_q m_c + d_q d_c): in terms of distances, a lower
-bound of |q - c|^2 = |q|^2 + |c|^2 - 2 q.c. Bounds are taken coarse to fine (LEVELS segments); a pair is dropped as
-soon as its bound is below the k-th best exact score so far, and the survivors get exact scores.
+bound of |q - c|^2 = |q|^2 + |c|^2 - 2 q.c. Coarse bounds of all pairs of a cell choose each query's first candidates,
+whose exact scores give a floor from the start; bounds are then taken coarse to fine (LEVELS segments), a pair is
+dropped as soon as its bound is below the floor, and the survivors get exact scores. How many are dropped depends on how
+well segments tell the vectors: nearly all pairs of clustered ones, none of vectors whose components are independent.
 
 Queries and candidates are dealt to a grid: a cell holds one group of queries and one of candidates, each of
 bounded size, and returns at most k rows a query; a window merges the cells. Ties go to the smaller vec_id.
@@ -39,57 +41,85 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((mean, deviation), axis=1) * np.sqrt(np.concatenate((size, size)))
 
 
-def products(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of a and b that are alive; where few are, of these pairs alone (the others are 0)."""
-    i, j = np.nonzero(alive) if (few := np.count_nonzero(alive) * 16 < alive.size) else ((), ())
-    if not few:
-        return a @ b.T
-    out = np.zeros(alive.shape)
+def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows i of a with the rows j of b."""
+    out = np.empty(len(i))
     for at in range(0, len(i), 100_000):
-        p, q = i[at : at + 100_000], j[at : at + 100_000]
-        out[p, q] = np.einsum("nd,nd->n", a[p], b[q])
+        out[at : at + 100_000] = np.einsum("nd,nd->n", a[i[at : at + 100_000]], b[j[at : at + 100_000]])
     return out
 
 
-def best_in_cell(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vec_id, score) of each query's k best candidates among these."""
-    order = np.argsort(-(candidates**2).sum(1), kind="stable")  # long vectors first: they raise the k-th best soon
+def widest(values: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k greatest values, in no order."""
+    return np.argpartition(-values, k - 1, axis=1)[:, :k] if k < values.shape[1] else np.tile(np.arange(values.shape[1]), (len(values), 1))
+
+
+def floors(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, stats: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """A score that each query's k-th best reaches: the k-th best exact score of its 4k candidates of greatest coarse bound."""
+    short = min(4 * k, len(candidates))
+    rows = np.arange(len(queries))[:, None]
+    bound, at = np.full((len(queries), 0), 0.0), np.zeros((len(queries), 0), np.int64)
+    for a in range(0, len(candidates), STEP):
+        now = stats[0][0] @ stats[0][1][a : a + STEP].T
+        now[own[:, None] == np.arange(a, a + now.shape[1])] = -np.inf
+        pick = widest(now, min(short, now.shape[1]))
+        bound, at = np.concatenate((bound, now[rows, pick]), axis=1), np.concatenate((at, pick + a), axis=1)
+        best = widest(bound, short)
+        bound, at = bound[rows, best], at[rows, best]
+    score = exact(queries, candidates, np.repeat(rows[:, 0], at.shape[1]), at.ravel()).reshape(at.shape)
+    score[~np.isfinite(bound)] = -np.inf
+    return np.partition(score, -k, axis=1)[:, -k] if at.shape[1] >= k else np.full(len(queries), -np.inf)
+
+
+def best_in_cell(
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int = K, seen: dict[str, int] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vec_id, score) of each query's k best candidates among these. Into `seen` go numbers of pairs.
+
+    Coarse bounds of all pairs choose a few candidates a query, whose exact scores give a floor. Then, level by level,
+    only pairs whose bound reaches the floor are looked at again, and only those that pass all levels get exact scores;
+    the floor rises with them.
+    """
+    order = np.argsort(ids, kind="stable")
     ids, candidates = ids[order], candidates[order]
-    n_q = len(queries)
-    best = np.full((n_q, k), -np.inf)
-    best_id = np.full((n_q, k), np.iinfo(np.int64).max)
-    q_stats = [segment_statistics(queries, s) for s in LEVELS]
-    for at in range(0, len(ids), STEP):
-        block, block_ids = candidates[at : at + STEP], ids[at : at + STEP]
-        floor = best[:, -1]
-        rows, cols = np.arange(n_q), np.arange(len(block))
-        alive = np.ones((n_q, len(block)), bool)
-        for s, q in zip(LEVELS, q_stats, strict=True):
-            bound = products(q[rows], segment_statistics(block[cols], s), alive)
-            alive &= bound + 1e-9 * (1 + np.abs(bound)) >= floor[rows][:, None]
-            keep_rows, keep_cols = alive.any(1), alive.any(0)
-            rows, cols, alive = rows[keep_rows], cols[keep_cols], alive[np.ix_(keep_rows, keep_cols)]
-            if not len(rows):
-                break
-        if not len(rows):
+    repeated = len(np.unique(ids)) < len(ids)  # rows of one vec_id: a query may meet itself more than once
+    own = np.searchsorted(ids, query_ids)
+    own = np.where(ids[np.minimum(own, len(ids) - 1)] == query_ids, own, -1) if not repeated else np.full(len(queries), -1)
+    stats = [(segment_statistics(queries, s), segment_statistics(candidates, s)) for s in LEVELS]
+    floor = floors(queries, candidates, own, stats, k) if not repeated else np.full(len(queries), -np.inf)
+    best, best_id = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    for a in range(0, len(ids), STEP):
+        block, block_ids = candidates[a : a + STEP], ids[a : a + STEP]
+        i = j = None
+        for q, c in stats:
+            if i is None:
+                bound = q @ c[a : a + STEP].T
+                i, j = np.nonzero((bound + 1e-9 * (1 + np.abs(bound)) >= floor[:, None]) & (query_ids[:, None] != block_ids[None, :]))
+            elif len(i) * 4 < bound.size:
+                bound_of = exact(q, c[a : a + STEP], i, j)
+                alive = bound_of + 1e-9 * (1 + np.abs(bound_of)) >= floor[i]
+                i, j = i[alive], j[alive]
+            else:
+                bound = q @ c[a : a + STEP].T
+                alive = (bound + 1e-9 * (1 + np.abs(bound)) >= floor[:, None])[i, j]
+                i, j = i[alive], j[alive]
+        if seen is not None:
+            seen["pairs"], seen["exact"] = seen.get("pairs", 0) + bound.size, seen.get("exact", 0) + len(i)
+        if not len(i):
             continue
-        score = products(queries[rows], block[cols], alive)
-        score[~alive | (query_ids[rows][:, None] == block_ids[cols][None, :])] = -np.inf
-        short = min(4 * k, len(cols))
-        near = np.argpartition(-score, short - 1, axis=1)[:, :short] if short < len(cols) else np.tile(np.arange(len(cols)), (len(rows), 1))
-        least = np.take_along_axis(score, near, 1).min(1)
-        found = np.take_along_axis(score, near, 1)
-        found_id = np.where(np.isfinite(found), block_ids[cols][near], np.iinfo(np.int64).max)
-        was, was_id = best[rows], best_id[rows]
-        every_score, every_id = np.concatenate((was, found), axis=1), np.concatenate((was_id, found_id), axis=1)
-        pick = np.lexsort((every_id, -every_score), axis=1)[:, :k]
-        best[rows], best_id[rows] = np.take_along_axis(every_score, pick, 1), np.take_along_axis(every_id, pick, 1)
-        tied = (short < len(cols)) & np.isfinite(least) & (np.sort(found, axis=1)[:, -min(k, short)] <= least)
-        for r in np.flatnonzero(tied):  # equal scores may reach beyond the short list: this row is ranked whole
-            s = np.concatenate((was[r], score[r]))
-            i = np.concatenate((was_id[r], np.where(np.isfinite(score[r]), block_ids[cols], np.iinfo(np.int64).max)))
-            top = np.lexsort((i, -s))[:k]
-            best[rows[r]], best_id[rows[r]] = s[top], i[top]
+        score = np.full(bound.shape, -np.inf)
+        score[i, j] = (queries @ block.T)[i, j] if len(i) * 4 >= bound.size else exact(queries, block, i, j)
+        rows = np.unique(i)
+        merged, merged_id = np.concatenate((best[rows], score[rows]), axis=1), np.concatenate((best_id[rows], np.broadcast_to(block_ids, (len(rows), len(block_ids)))), axis=1)
+        kth = np.partition(merged, -k, axis=1)[:, [-k]]
+        # what is above the k-th best stays, and of its equals those of the smallest ids: they are told apart in a short list
+        high = np.count_nonzero(merged >= kth, axis=1).max()
+        pick = widest(merged, int(min(high, merged.shape[1])))
+        every = np.arange(len(rows))[:, None]
+        merged, merged_id = merged[every, pick], merged_id[every, pick]
+        top = np.lexsort((merged_id, -merged), axis=1)[:, :k]
+        best[rows], best_id[rows] = merged[every, top], merged_id[every, top]
+        floor = np.maximum(floor, best[:, -1])
     held = np.isfinite(best)
     return np.repeat(query_ids, held.sum(1)), best_id[held], best[held].astype(np.int64)
 

@@ -629,3 +629,61 @@ def test_pipeline_result_holds_the_mixture(spark, tmp_path):
         for place, doc in enumerate(queues[s][k * mixing.BLOCK_DOCS : (k + 1) * mixing.BLOCK_DOCS]):
             expected[doc] = (slot, place)
     assert {d: (r["mix_slot"], r["mix_place"]) for d, r in got.items()} == expected
+
+
+# op8: pruning
+
+
+def brute_best(q_ids, q, ids, c, k):
+    out = []
+    for i, v in zip(q_ids, q, strict=True):
+        scores = sorted((-int(v @ w), int(j)) for j, w in zip(ids, c, strict=True) if j != i)
+        out += [(int(i), j, -s) for s, j in scores[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n,share", [(2000, 0.5), (20_000, 0.5)])
+def test_bounds_drop_most_pairs_of_clustered_vectors(n, share):
+    rng = np.random.default_rng(n)
+    steps = np.repeat(rng.normal(size=(40, 8)), 8, axis=1)  # vectors that are level over stretches, as segments can tell
+    x = np.floor(64 * (steps[rng.integers(0, 40, n)] + 0.02 * rng.normal(size=(n, 64))))
+    ids, seen = rng.permutation(n).astype(np.int64), {}
+    got = topk.best_in_cell(ids[:50], x[:50], ids, x, 20, seen)
+    assert sorted(zip(*(g.tolist() for g in got), strict=True)) == brute_best(ids[:50], x[:50], ids, x, 20)
+    assert seen["pairs"] == 50 * n and seen["exact"] < share * seen["pairs"], seen
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_in_cell_with_ties_repeats_and_few_candidates(seed):
+    rng = np.random.default_rng(seed)
+    n, k = int(rng.integers(1, 5000)), int(rng.integers(1, 30))
+    x = rng.integers(-2, 3, (n, int(rng.integers(1, 20)))).astype(float)
+    ids = rng.integers(0, n, n) if seed % 2 else rng.permutation(n)
+    ids = ids.astype(np.int64)
+    q = np.unique(ids[:40], return_index=True)[1]
+    got = topk.best_in_cell(ids[q], x[q], ids, x, k)
+    assert sorted(zip(*(g.tolist() for g in got), strict=True)) == brute_best(ids[q], x[q], ids, x, k)
+
+
+# op6: targets where none are given
+
+
+def test_default_targets_come_round_and_stay_near_the_tempered_sizes():
+    totals = {"hot": 9_000_000_000, "a": 1_000_000, "b": 12_345, "tiny": 1}
+    targets = mixing.tempered(totals)
+    every = sum(n**mixing.TEMPER for n in totals.values())
+    assert all(abs(targets[s] - n**mixing.TEMPER * mixing.SHARES / every) <= 1 for s, n in totals.items()) and min(targets.values()) == 1
+    repeats = []
+    steps = sum(1 for _ in mixing.turns({s: -(-n // 16) for s, n in totals.items()}, targets, repeats))
+    assert steps < 5 * 2 * (mixing.SHARES + len(totals)), "a few periods, however many documents"
+    assert repeats
+
+
+# op3: a line in most documents
+
+
+def test_a_common_line_is_dealt_to_several_copies(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_PROBES", 100)
+    df = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("a line that all documents have\nown line of document "), F.col("id").cast("string")).alias("text"))
+    got = line_dedup.drop_lines(df)
+    assert sorted(tuple(r) for r in got.groupBy("n_lines", "n_dropped").count().collect()) == [(2, 0, 1), (2, 1, 1499)]
