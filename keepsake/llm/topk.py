@@ -90,26 +90,27 @@ def best_in_cell(
     best, best_id = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
     for a in range(0, len(ids), STEP):
         block, block_ids = candidates[a : a + STEP], ids[a : a + STEP]
-        i = j = None
+        alive = query_ids[:, None] != block_ids[None, :]
         for q, c in stats:
-            if i is None:
+            if np.count_nonzero(alive) * 4 >= alive.size:
                 bound = q @ c[a : a + STEP].T
-                i, j = np.nonzero((bound + 1e-9 * (1 + np.abs(bound)) >= floor[:, None]) & (query_ids[:, None] != block_ids[None, :]))
-            elif len(i) * 4 < bound.size:
-                bound_of = exact(q, c[a : a + STEP], i, j)
-                alive = bound_of + 1e-9 * (1 + np.abs(bound_of)) >= floor[i]
-                i, j = i[alive], j[alive]
-            else:
-                bound = q @ c[a : a + STEP].T
-                alive = (bound + 1e-9 * (1 + np.abs(bound)) >= floor[:, None])[i, j]
-                i, j = i[alive], j[alive]
+                alive &= bound + 1e-9 * (1 + np.abs(bound)) >= floor[:, None]
+            else:  # few are left: bounds of these alone
+                i, j = np.nonzero(alive)
+                bound = exact(q, c[a : a + STEP], i, j)
+                alive[i, j] = bound + 1e-9 * (1 + np.abs(bound)) >= floor[i]
+        left = np.count_nonzero(alive)
         if seen is not None:
-            seen["pairs"], seen["exact"] = seen.get("pairs", 0) + bound.size, seen.get("exact", 0) + len(i)
-        if not len(i):
+            seen["pairs"], seen["exact"] = seen.get("pairs", 0) + alive.size, seen.get("exact", 0) + left
+        if not left:
             continue
-        score = np.full(bound.shape, -np.inf)
-        score[i, j] = (queries @ block.T)[i, j] if len(i) * 4 >= bound.size else exact(queries, block, i, j)
-        rows = np.unique(i)
+        if left * 4 >= alive.size:
+            score = np.where(alive, queries @ block.T, -np.inf)
+        else:
+            score = np.full(alive.shape, -np.inf)
+            i, j = np.nonzero(alive)
+            score[i, j] = exact(queries, block, i, j)
+        rows = np.flatnonzero(alive.any(axis=1))
         merged, merged_id = np.concatenate((best[rows], score[rows]), axis=1), np.concatenate((best_id[rows], np.broadcast_to(block_ids, (len(rows), len(block_ids)))), axis=1)
         kth = np.partition(merged, -k, axis=1)[:, [-k]]
         # what is above the k-th best stays, and of its equals those of the smallest ids: they are told apart in a short list
