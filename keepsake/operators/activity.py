@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,24 +79,56 @@ def usage_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
-    """sorted[min(n - 1, floor(p / 100 * n))] of each group: no interpolation.
+def _by_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` dealt to ascending ranges of `order`, which `__range` numbers; equal rows may go to several."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order, F.xxhash64(F.monotonically_increasing_id()))
+    return written(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+
 
-    Rows are dealt to ascending ranges; a row a group and range tells which one holds the rank, and only that is sorted.
+def at_ranks(df: DataFrame, value: str, by: list[str], ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """(by, value, rank): of each group the values at `ranks` of its size, counted from 1 in ascending order.
+
+    Rows are dealt to ascending ranges; a row a group and range tells which one holds a rank, and only that is sorted.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(*by, value).repartitionByRange(parts, *by, value, F.xxhash64(F.monotonically_increasing_id()))
-    dealt = written(dealt.withColumn("__range", F.spark_partition_id()), "ranges")
+    dealt = _by_ranges(df.select(*by, value), [*by, value])
     group = Window.partitionBy(*by)
     sizes = dealt.groupBy(*by, "__range").agg(F.count("*").alias("__c"))
     sizes = sizes.withColumn("__end", F.sum("__c").over(group.orderBy("__range"))).withColumn("__n", F.sum("__c").over(group))
-    at = F.least(F.col("__n") - 1, F.floor(F.lit(p / 100.0) * F.col("__n"))) + 1
-    held = sizes.withColumn("__at", at - F.col("__end") + F.col("__c")).where("__at between 1 and __c").select(*by, "__range", "__at")
-    held = written(held, "range-of-rank")
-    rows = dealt.alias("d").join(F.broadcast(held).alias("h"), [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*by, "__range")])
-    rows = rows.select(*[F.col(f"d.{c}") for c in (*by, value)], "__at")
-    ranked = rows.withColumn("__r", F.row_number().over(group.orderBy(value)))
-    return ranked.where("__r = __at").select(*by, F.col(value).alias("percentile"))
+    held = sizes.withColumn("rank", F.explode(F.array_distinct(F.array(*ranks(F.col("__n"))))))
+    held = held.withColumn("__at", F.col("rank") - F.col("__end") + F.col("__c")).where("__at between 1 and __c").select(*by, "__range", "rank", "__at")
+    held = written(held, "range-of-rank")  # its size is known, so it is broadcast only where it is small
+    places = written(held.groupBy(*by, "__range").agg(F.collect_list(F.struct("rank", "__at")).alias("__held")), "ranks")
+    rows = dealt.alias("d").join(places.alias("h"), [F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*by, "__range")])
+    rows = rows.select(*[F.col(f"d.{c}") for c in (*by, value, "__range")], "__held")
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by, "__range").orderBy(value)))
+    return rows.select(*by, value, "__r", F.explode("__held").alias("x")).where("__r = x.__at").select(*by, value, "x.rank")
+
+
+def nearest_rank(df: DataFrame, value: str, p: float, by: list[str]) -> DataFrame:
+    """sorted[min(n - 1, floor(p / 100 * n))] of each group: no interpolation."""
+    found = at_ranks(df, value, by, lambda n: [F.least(n - 1, F.floor(F.lit(p / 100.0) * n)) + 1])
+    return found.select(*by, F.col(value).alias("percentile"))
+
+
+def median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, median): the middle value of each group, or the mean of the two middle ones; nulls don't count."""
+    found = at_ranks(df.where(F.col(value).isNotNull()), value, by, lambda n: [F.floor((n - 1) / 2) + 1, F.floor(n / 2) + 1])
+    return found.groupBy(*by).agg(F.avg(value).alias("median"))
+
+
+def gaps(df: DataFrame, by: str, at: str) -> DataFrame:
+    """(by, gap): the time from each row to the one before it of its key, without the first ones.
+
+    Rows are dealt to ascending ranges, so that a key's rows need not be in one task; a range's first row looks at the
+    last one of the ranges before.
+    """
+    dealt = _by_ranges(df.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, at), [by, at])
+    ends = dealt.groupBy(by, "__range").agg(F.max(at).alias("__end"))
+    ends = written(ends.select(by, "__range", F.lag("__end").over(Window.partitionBy(by).orderBy("__range")).alias("__before")), "range-ends")
+    inside = F.lag(at).over(Window.partitionBy(by, "__range").orderBy(at))
+    rows = dealt.withColumn("__inside", inside).join(ends, [by, "__range"])
+    return rows.select(by, (F.col(at) - F.coalesce("__inside", "__before")).alias("gap")).where("gap is not null")
 
 
 def run_status(error, skip_reason, failed, recorded) -> Column:
@@ -110,11 +144,9 @@ def run_health(runs: DataFrame, now: int) -> DataFrame:
     day = (F.col("ts_ms") >= now - DAY_MS) & (F.col("ts_ms") <= now)
     recent = runs.groupBy("source").agg(F.count_if(day).alias("runs"), F.count_if(day & F.col("failed")).alias("failures"))
     good = runs.where(~F.col("failed"))
-    gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("source").orderBy("ts_ms"))
-    gaps = good.withColumn("gap", gap).groupBy("source").agg(
-        F.count("*").alias("successes"), F.max("ts_ms").alias("last"), F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("median_gap")
-    )
-    rows = recent.join(gaps, "source", "left")
+    middle = median(gaps(good, "source", "ts_ms").where("gap > 0"), "gap", ["source"]).withColumnRenamed("median", "median_gap")
+    ends = good.groupBy("source").agg(F.count("*").alias("successes"), F.max("ts_ms").alias("last"))
+    rows = recent.join(ends.join(middle, "source", "left"), "source", "left")
     rate = (F.col("runs") >= 3) & (F.col("failures") >= 2) & (F.col("failures") >= 0.5 * F.col("runs"))
     silent = F.lit(now) - F.col("last")
     stalled = (F.col("successes") >= 4) & (silent > F.greatest(F.lit(3.0 * DAY_MS), 4 * F.col("median_gap")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.operators import graph, vectors
+from keepsake.operators import graph, mutate, vectors
 from keepsake.runtime import written
 from keepsake.settings import DAY_MS, Settings
 
@@ -58,8 +58,9 @@ def keepers(clusters: DataFrame, df: DataFrame, order: Iterable[Column] | None =
     """(cluster, id, keeper): success, last use and time decide, then the id."""
     order = list(order or [F.desc("success_count"), F.desc("last_used"), F.desc("ts_ms")])
     rows = clusters.select("cluster", "id").join(df, "id")
-    w = Window.partitionBy("cluster").orderBy(*order, "id")
-    return rows.withColumn("keeper", F.first("id").over(w)).select("cluster", "id", "keeper")
+    # the first of each cluster is found before rows are shuffled, so no task holds a whole cluster
+    first = mutate.first_by(rows, ["cluster"], [*order, F.col("id")]).select("cluster", F.col("id").alias("keeper"))
+    return rows.select("cluster", "id").join(first, "cluster")
 
 
 def fallback_order() -> list[Column]:
@@ -71,7 +72,7 @@ def fallback_order() -> list[Column]:
 
 def merged(clusters: DataFrame, df: DataFrame, prefix: str = "consolidation") -> tuple[DataFrame, DataFrame]:
     """(keepers with summed counters, actions (id, reason, superseding) for the others)."""
-    chosen = keepers(clusters, df)
+    chosen = written(keepers(clusters, df), "keepers")
     sums = chosen.join(df, "id").groupBy("keeper").agg(
         *[F.sum(c).alias(c) for c in ("success_count", "failure_count", "retrieval_count", "usage_count")],
         F.max("last_used").alias("last_used"), F.count("*").alias("members"),

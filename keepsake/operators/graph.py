@@ -28,13 +28,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("clusters don't settle")
 
 
-def pairs_in_groups(rows: DataFrame, group: str, member: str, extra: tuple[Column, ...] = ()) -> DataFrame:
-    """(a, b, group) for members a < b of a group. Groups must be small by nature (a session, a capped entity)."""
-    x = rows.select(F.col(group), F.col(member).alias("a"), *extra).distinct()
-    y = rows.select(F.col(group), F.col(member).alias("b")).distinct()
-    return x.join(y, group).where("a < b")
-
-
 def co_injection_edges(events: DataFrame, group: str, member: str, at: str, min_count: int = 3, full: int = 10) -> DataFrame:
     """(a, b, n, last_at, weight): pairs seen in at least `min_count` groups; the weight is n / full, at most 1."""
     rows = events.groupBy(group, member).agg(F.max(at).alias("at"))

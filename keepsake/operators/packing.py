@@ -16,9 +16,10 @@ def stop_at_overflow(df: DataFrame, size: Column, budget: int | Column, order: l
     Sizes are not negative, so the running sum says where that is. `by` packs each group on its own.
     """
     w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
-    rows = df.withColumn("tokens", size).withColumn("running", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("running") <= budget)
-    return rows if most is None else rows.where(F.col("place") <= most)
+    rows = df.withColumn("tokens", size).withColumn("place", F.row_number().over(w))
+    if most is not None:  # taken before rows are shuffled, so a group has at most so many rows in the running sum
+        rows = rows.where(F.col("place") <= most)
+    return rows.withColumn("running", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("running") <= budget)
 
 
 def ranked(df: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ def json_in_text(spark, d):
     return table(spark, d, "events").select("event_id", commands.json_object(text).alias("found"))
 
 
-WORD = r"regexp_extract({}, '[a-z]+')"
+WORD = r"'p' || regexp_extract({}, '[a-z]+')"
 
 
 @query(
@@ -40,7 +40,7 @@ SELECT id, valid, CASE WHEN NOT valid THEN 'missing-command' || coalesce(':' ||
 )
 def command_validity(spark, d):
     m = mem(spark, d)
-    w = F.regexp_extract("exact_text", "[a-z]+", 0)
+    w = F.concat(F.lit("p"), F.regexp_extract("exact_text", "[a-z]+", 0))
     kind = F.floor(F.col("n") / 5) % 6
     line = (
         F.when(kind == 0, F.concat(F.lit("A=1 sudo -u 'a b' -E "), w, F.lit(" --x 'a;b' | grep q"))).when(kind == 1, F.concat(F.lit("env -i X='1_2' \""), w, F.lit('" && rm z')))
