@@ -6,25 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake import records
-from keepsake.operators import graph, packing, search
+from keepsake.operators import packing, search
+from keepsake.plans import sweep
+from keepsake.runtime import written
 from keepsake.settings import Settings
 
+PROMPT = "prompt string, project string, ancestors array<string>, embedding array<double>"
+
 
 def retrieve(
-    df: DataFrame, edges: DataFrame, vector: list[float], needles: list[str], project: str, recent: DataFrame, s: Settings
+    df: DataFrame, edges: DataFrame, vector: list[float], needles: list[str], project: str, recent: DataFrame, s: Settings, ancestors: list[str] | None = None
 ) -> DataFrame:
     """(id, place, score, tokens, parent): search, anchor gate, relations, suppression, variety, then packing.
 
+    The steps of `sweep` for one prompt and one settings value, with the ids injected lately (`recent`) removed or lowered.
     `df` holds the records (id, type, project, scope, exact_text, embedding, counters, deprecated), `edges` source,
-    target, kind and weight, `recent` the ids injected lately. Each step is a plan over at most a few dozen rows; the
-    records themselves are read by the two searches and by the joins on ids.
+    target, kind and weight. The records themselves are read by the two searches and by the joins on ids.
     """
-    found = search.anchored(search.two_scope(df, vector, needles, project, s), df, project, s)
-    found = found.select("id", "score", "similarity")
-    near = graph.expand(found, edges, df, s.max_relation_hops, s.max_relation_expansions, s.relation_hop_decay, s.enable_entity_edges)
-    near = near.where(F.col("score") >= s.min_expanded_score).select("id", "score", "similarity", "parent")
-    both = found.withColumn("parent", F.lit(None).cast("string")).unionByName(near)
-    both = search.suppressed(both, recent, s).join(df.where(~F.col("deprecated")).select("id", "exact_text", "embedding"), "id")
+    spark = df.sparkSession
+    prompts = spark.createDataFrame([("", project, list(ancestors or []), [float(x) for x in vector])], PROMPT)
+    wanted = spark.createDataFrame([("", n, False) for n in needles], "prompt string, needle string, entity boolean")
+    arms = {"": s}
+    found = written(sweep.anchored(sweep.candidates(df, prompts, wanted, arms), df, prompts, arms), "found")
+    both = sweep.expanded(found, edges, df, arms).select("id", "score", "similarity", "parent")
+    both = search.suppressed(both, recent, s).join(df.select("id", "exact_text", "embedding"), "id")
     order = packing.maximal_marginal_relevance(both.withColumn("query_id", F.lit(0)), s.max_records, s.mmr_lambda).select("id", "rank")
     ranked = order.join(both, "id")
     packed = packing.stop_at_overflow(ranked, records.tokens(F.col("exact_text")), s.max_tokens, [F.col("rank")])

@@ -21,14 +21,17 @@ ONE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
 def _entry():
-    """A line a record: warnings as such, others by their first 300 characters."""
-    text = F.substring("exact_text", 1, 300)
+    """A line a record: warnings as such, others by a snippet of their text."""
+    text = F.col("exact_text")
     warning = context.warning_text(F.when(F.col("n") % 2 == 0, "critical").otherwise("warning"), text, F.col("project"), F.col("scope"))
     return F.when(F.col("type") == "warning", warning).when(F.col("n") % 17 != 0, tx.snippet(text, 400))
 
 
-ENTRY = f"""CASE WHEN type = 'warning' THEN CASE WHEN n % 2 = 0 THEN '🚨' ELSE '⚠️' END || ' Don''t: ' || {ONE.format('substr(exact_text, 1, 300)')} || ' → Use: ' || project || ' (' || scope || ')'
- WHEN n % 17 <> 0 THEN {ONE.format('substr(exact_text, 1, 300)')} END"""
+LINE = f"""CASE WHEN type = 'warning' THEN CASE WHEN n % 2 = 0 THEN '🚨' ELSE '⚠️' END || ' Don''t: ' || {ONE.format('exact_text')} || ' → Use: ' || project || ' (' || scope || ')'
+ WHEN n % 17 <> 0 THEN {ONE.format('exact_text')} END"""
+# a warning is cut at 1000 characters, another line at 400
+MOST = "CASE WHEN type = 'warning' THEN 1000 ELSE 400 END"
+ENTRY = f"""CASE WHEN length({LINE}) <= {MOST} THEN {LINE} ELSE substr({LINE}, 1, {MOST} - 3) || '...' END"""
 TOK = "CAST(ceil(length({}) / 4) AS BIGINT)"
 
 
@@ -196,10 +199,10 @@ def ingest_sequence(spark, d):
     return writes.ingest(fresh, m.where("n % 10 <> 0"), LOOSE.using(dedup_threshold=0.2)).select("id", "action", "target", r6("similarity"))
 
 
-@query("compact_table", f"WITH {MEM} SELECT count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM mem")
+@query("compact_table", f"WITH {MEM} SELECT id, type, project, ts_ms, usage_count, md5(exact_text) AS text FROM mem")
 def compact_table(spark, d):
     found = writes.compact(mem(spark, d), f"{shared_folder(spark).rstrip('/')}/compact-{uuid.uuid4().hex}", 2)
-    return found.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return found.select("id", "type", "project", "ts_ms", "usage_count", F.md5("exact_text").alias("text"))
 
 
 @query("clone_table", f"WITH {MEM} SELECT id, type, project FROM mem")
@@ -212,11 +215,17 @@ def reset_table(spark, d):
     return writes.reset(mem(spark, d)).select("id", "type")
 
 
-@query("refresh_embeddings", f"WITH {MEM} SELECT id, round(CASE WHEN n % 2 = 0 THEN embedding[1] * 2 ELSE embedding[1] END, 6) AS first FROM mem")
+@query(
+    "refresh_embeddings",
+    f"""
+WITH {MEM}, t AS (SELECT id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END AS f FROM mem)
+SELECT id, count(*) AS dims, round(sum(x * f * i), 4) AS weighted FROM t GROUP BY id""",
+)
 def refresh_embeddings(spark, d):
     m = mem(spark, d)
     new = m.where("n % 2 = 0").select("id", F.transform("embedding", lambda x: x * 2).alias("embedding"))
-    return writes.refreshed(m, new).select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    parts = writes.refreshed(m, new).select("id", F.posexplode("embedding").alias("i", "x"))
+    return parts.groupBy("id").agg(F.count("*").alias("dims"), F.round(F.sum(F.col("x").cast("double") * (F.col("i") + 1)), 4).alias("weighted"))
 
 
 @query("export_json", f"WITH {MEM} SELECT id, json_object('id', id, 'type', type, 'usage_count', usage_count, 'deprecated', deprecated) AS json FROM mem")

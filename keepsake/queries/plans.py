@@ -36,6 +36,22 @@ def maintenance_apply(spark, d):
     return maintenance.apply(target, maintenance.actions(m, ["stale", "low-usage"], LOOSE, NOW), NOW).select("id", "deprecated", "deprecated_at", "deprecated_reason")
 
 
+@query(
+    "maintenance_report",
+    f"""
+WITH {MEM}, live AS (SELECT * FROM mem WHERE NOT deprecated)
+SELECT 'stale' AS operation, count(*) AS actions, false AS failed FROM live WHERE last_used < {NOW - 14 * 86400000}
+UNION ALL SELECT 'quality', 0, true UNION ALL SELECT 'zero-usage', count(*), false FROM live WHERE retrieval_count >= 5 AND usage_count = 0
+UNION ALL SELECT 'validity', count(*), false FROM live WHERE type = 'command' AND n % 3 = 0""",
+)
+def maintenance_report(spark, d):
+    """Four operations, one of which has not got what it needs."""
+    m = mem(spark, d)
+    checked = m.where("type = 'command'").select("id", (F.col("n") % 3 != 0).alias("valid"), F.lit("missing-command").alias("reason"))
+    report = maintenance.run_all(m, LOOSE, NOW, ["stale", "quality", "zero-usage", "validity"], maintenance.Inputs(validity=checked))[2]
+    return report.select("operation", "actions", F.col("error").isNotNull().alias("failed"))
+
+
 @query("retrieval_plan", None)
 def retrieval_plan(spark, d):
     m = mem(spark, d)

@@ -64,9 +64,17 @@ def extraction_coercion(spark, d):
     return runs.coerce(e.select(F.col("event_id").alias("run_id"), output.alias("output"))).select("run_id", "type")
 
 
-@query("cascade_delete", f"WITH {MEM} SELECT id, type FROM mem WHERE n NOT IN (1, 2, 3)")
+@query(
+    "cascade_delete",
+    f"""
+WITH {MEM}, {EV}, gone AS (SELECT 'm' || lpad(CAST(k * 3 AS VARCHAR), 6, '0') AS id FROM ev WHERE user_id = 7 AND event_type IN ('click', 'purchase'))
+SELECT id, type FROM mem WHERE id NOT IN (SELECT id FROM gone)""",
+)
 def cascade_delete(spark, d):
-    made = spark.createDataFrame([(7, ["m000001", "m000002"], ["m000002", "m000003"]), (8, ["m000004"], [])], "run_id int, inserted array<string>, updated array<string>")
+    """Each user's clicks insert records and purchases update them; the run of user 7 goes."""
+    e = events(spark, d).withColumn("id", F.concat(F.lit("m"), F.lpad((F.col("k") * 3).cast("string"), 6, "0")))
+    of = lambda kind: F.collect_set(F.when(F.col("event_type") == kind, F.col("id")))
+    made = e.groupBy(F.col("user_id").alias("run_id")).agg(of("click").alias("inserted"), of("purchase").alias("updated"))
     return runs.without_run(mem(spark, d), made, F.lit(7))[0].select("id", "type")
 
 

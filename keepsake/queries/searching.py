@@ -169,8 +169,8 @@ def needle_distinct(spark, d):
     return history.distinct_ignoring_case(words, "word", ["id"])
 
 
-@query("usage_rank", f"WITH {MEM} SELECT id, CAST(row_number() OVER (ORDER BY usage_count DESC, last_used DESC, ts_ms DESC, id) AS INT) AS place FROM mem WHERE project = '/p/2'")
+@query("usage_rank", f"WITH {MEM} SELECT id, CAST(row_number() OVER (ORDER BY usage_count DESC, last_used DESC, ts_ms DESC, id) AS INT) AS place FROM mem")
 def usage_rank(spark, d):
-    rows = mem(spark, d).where("project = '/p/2'").select("id", "usage_count", "last_used", "ts_ms")
+    rows = mem(spark, d).select("id", "usage_count", "last_used", "ts_ms")
     found = packing.ranked(rows, [F.desc("usage_count"), F.desc("last_used"), F.desc("ts_ms"), F.col("id")], ["id"])
     return found.select("id", F.col("place").cast("int").alias("place"))

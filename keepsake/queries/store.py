@@ -76,7 +76,7 @@ def event_days(spark, d):
 def _payload():
     """A payload that is whole for most rows and lacks a field for others."""
     n = F.col("n")
-    text = F.substring("exact_text", 1, 80)
+    text = F.col("exact_text")
     ok = n % 9 != 0
     return F.struct(
         text.alias("command"), F.when(ok, F.lit("success")).otherwise("odd").alias("outcome"), text.alias("errorText"), F.lit("runtime").alias("errorType"),
@@ -93,17 +93,22 @@ def validity_filter(spark, d):
     return rows.select("id", "type", records.is_valid(F.col("type"), F.col("payload")).alias("valid"))
 
 
-_ONE = "trim(regexp_replace(substr(exact_text, 1, 80), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+_ONE = "trim(regexp_replace(exact_text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
 
 
-@query("render_record", f"""WITH {MEM} SELECT id, CASE type
- WHEN 'command' THEN 'command: ' || {_ONE} || ' | outcome: success | exit: ' || CAST(n % 3 AS VARCHAR) || ' | last result: fixed it'
- WHEN 'error' THEN 'error: ' || {_ONE} || ' | resolution: fixed it'
- WHEN 'discovery' THEN 'discovery: ' || {_ONE} || ' | where: here | confidence: verified'
- WHEN 'procedure' THEN 'procedure: a procedure | steps: one; two'
- ELSE 'warning: Don''t ' || {_ONE} || ' | use instead: this | reason: it fails' END AS line FROM mem WHERE n % 9 <> 0""")
+@query(
+    "render_record",
+    f"""
+WITH {MEM}, lines AS (SELECT id, CASE type
+    WHEN 'command' THEN 'command: ' || {_ONE} || ' | outcome: ' || CASE WHEN n % 9 <> 0 THEN 'success' ELSE 'odd' END || ' | exit: ' || CAST(n % 3 AS VARCHAR) || CASE WHEN n % 9 <> 0 THEN ' | last result: fixed it' ELSE '' END
+    WHEN 'error' THEN 'error: ' || {_ONE} || CASE WHEN n % 9 <> 0 THEN ' | resolution: fixed it' ELSE '' END
+    WHEN 'discovery' THEN 'discovery: ' || {_ONE} || CASE WHEN n % 9 <> 0 THEN ' | where: here' ELSE '' END || ' | confidence: verified'
+    WHEN 'procedure' THEN 'procedure: a procedure | steps: ' || CASE WHEN n % 9 <> 0 THEN 'one; two' ELSE '' END
+    ELSE 'warning: Don''t ' || {_ONE} || ' | use instead: this' || CASE WHEN n % 9 <> 0 THEN ' | reason: it fails' ELSE '' END END AS line FROM mem)
+SELECT id, CASE WHEN length(line) <= 1500 THEN line ELSE substr(line, 1, 1497) || '...' END AS line FROM lines""",
+)
 def render_record(spark, d):
-    rows = mem(spark, d).where("n % 9 <> 0").withColumn("payload", F.from_json(F.to_json(_payload()), schema.PAYLOAD))
+    rows = mem(spark, d).withColumn("payload", F.from_json(F.to_json(_payload()), schema.PAYLOAD))
     return rows.select("id", records.rendered(F.col("type"), F.col("payload")).alias("line"))
 
 
