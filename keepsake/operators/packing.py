@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.operators import vectors
 from keepsake.runtime import written
 
 
@@ -80,3 +81,24 @@ def maximal_marginal_relevance(df: DataFrame, limit: int | str, weight: float |
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "id string, rank int"])
     return df.select(*by, "id", "score", "embedding", "__limit", "__weight").groupBy(*by).applyInPandas(pick, schema)
+
+
+def diversity_exclusions(pool: DataFrame, chosen: DataFrame, limit: int, weight: float, by: str = "query_id") -> DataFrame:
+    """(by, id, threshold, actual, gap, similar_to, similarity): the best `limit` by score that variety left out, and why.
+
+    `pool`: by, id, score, similarity, embedding; `chosen`: by, id, rank. `actual` is the row's value against all chosen
+    rows, `threshold` that of the row chosen last against those before it (of the only one chosen: its weighted score), and
+    `similar_to` the chosen row it is nearest to, the earliest of equally near ones. Pools are small.
+    """
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), F.desc("similarity"), "id"))
+    taken = chosen.join(pool.select(by, "id", F.col("score").alias("__score"), F.col("embedding").alias("__e")), [by, "id"]).select(by, F.col("id").alias("__id"), "rank", "__score", "__e")
+    out = pool.withColumn("__place", place).where(F.col("__place") <= limit).join(chosen.select(by, "id"), [by, "id"], "left_anti")
+    near = out.join(taken, by).withColumn("__near", vectors.cosine(F.col("embedding"), F.col("__e")))
+    best = F.max_by(F.struct(F.col("__id").alias("similar_to"), F.col("__near").alias("similarity")), F.struct("__near", -F.col("rank")))
+    rows = near.groupBy(by, "id", "score").agg(best.alias("x")).select(by, "id", "score", "x.similar_to", "x.similarity")
+    last = taken.withColumn("__last", F.max("rank").over(Window.partitionBy(by))).where("rank = __last")
+    before = last.select(by, "__last", F.col("__score").alias("s"), F.col("__e").alias("e")).join(taken, by, "left").where("rank < __last or __last = 1")
+    value = F.when(F.first("__last") == 1, weight * F.first("s")).otherwise(weight * F.first("s") - (1 - weight) * F.max(vectors.cosine(F.col("e"), F.col("__e"))))
+    limits = before.groupBy(by).agg(value.alias("threshold"))
+    actual = weight * F.col("score") - (1 - weight) * F.col("similarity")
+    return rows.join(limits, by).select(by, "id", "threshold", actual.alias("actual"), (F.col("threshold") - actual).alias("gap"), "similar_to", "similarity")

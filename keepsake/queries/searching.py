@@ -137,6 +137,25 @@ def mmr(spark, d):
     return packing.maximal_marginal_relevance(pools[0].unionByName(pools[1]).unionByName(pools[2]), 8, 0.7)
 
 
+LEFT_OUT = """,
+best AS (SELECT * FROM pool WHERE place <= 8 AND NOT EXISTS (SELECT 1 FROM picked k WHERE k.query_id = pool.query_id AND k.id = pool.id)),
+to_chosen AS (SELECT b.query_id, b.id, b.score, n.other, n.s, row_number() OVER (PARTITION BY b.query_id, b.id ORDER BY n.s DESC, k.rank) AS r
+    FROM best b JOIN near n ON n.query_id = b.query_id AND n.id = b.id JOIN picked k ON k.query_id = b.query_id AND k.id = n.other),
+ends AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS r FROM picked) WHERE r = 1),
+limits AS (SELECT e.query_id, 0.7 * max(p.score) - 0.3 * max(n.s) AS threshold FROM ends e JOIN pool p ON p.query_id = e.query_id AND p.id = e.id
+    JOIN near n ON n.query_id = e.query_id AND n.id = e.id AND n.other <> e.id JOIN picked k ON k.query_id = e.query_id AND k.id = n.other GROUP BY e.query_id)
+SELECT t.query_id, t.id, round(threshold, 6) AS threshold, round(0.7 * score - 0.3 * s, 6) AS actual, other AS similar_to, round(s, 6) AS similarity FROM to_chosen t JOIN limits USING (query_id) WHERE r = 1"""
+
+
+@query("mmr_exclusions", MMR.rsplit("\nSELECT query_id, id, CAST(rank", 1)[0] + LEFT_OUT)
+def mmr_exclusions(spark, d):
+    m = mem(spark, d)
+    pools = [vectors.top_k(m, vector_of(m, q), 24).select(F.lit(q).alias("query_id"), "id", F.col("similarity").alias("score"), "similarity", "embedding") for q in Q]
+    pool = pools[0].unionByName(pools[1]).unionByName(pools[2])
+    found = packing.diversity_exclusions(pool, packing.maximal_marginal_relevance(pool, 8, 0.7), 8, 0.7)
+    return found.select("query_id", "id", r6("threshold"), r6("actual"), "similar_to", r6("similarity"))
+
+
 @query("pack_tokens", f"""WITH {MEM}, t AS (SELECT id, project, CAST(ceil(length(exact_text) / 4) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY project ORDER BY usage_count DESC, last_used DESC, id) AS place,
  sum(CAST(ceil(length(exact_text) / 4) AS BIGINT)) OVER (PARTITION BY project ORDER BY usage_count DESC, last_used DESC, id ROWS UNBOUNDED PRECEDING) AS running FROM mem WHERE NOT deprecated AND type <> 'warning')
 SELECT id, project, tokens, CAST(place AS INT) AS place FROM t WHERE running <= 4000 AND place <= 8""")

@@ -44,14 +44,40 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("key", key)
 
 
-def transcript(spark: SparkSession, path: str) -> DataFrame:
+# fixed values: who uses tokens, and the counts of a use
+TOKEN_SOURCES = ("extraction", "haiku-query", "usefulness-rating", "maintenance")
+TOKEN_COUNTS = ("inputTokens", "outputTokens", "cacheCreationInputTokens", "cacheReadInputTokens")
+
+
+def token_events(raw: DataFrame) -> DataFrame:
+    """Uses of tokens fit to be kept: those of a known source, with whole counts of at least 0 and a named model.
+
+    A count that is missing or no number is 0; uses without any token go, as do blank optional ids.
+    """
+    whole = lambda c: F.greatest(F.lit(0), F.coalesce(F.expr(f"try_cast(try_cast(`{c}` as double) as long)"), F.lit(0)))
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    rows = raw.where(F.col("source").isin(*TOKEN_SOURCES)).withColumns({c: whole(c) for c in TOKEN_COUNTS if c in raw.columns})
+    rows = rows.withColumn("model", F.coalesce(blank("model"), F.lit("unknown"))).withColumns({c: blank(c) for c in ("sessionId", "runId") if c in raw.columns})
+    return rows.where(sum((F.col(c) for c in TOKEN_COUNTS if c in raw.columns), F.lit(0)) > 0)
+
+
+def parse_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, errors): how many lines of each transcript are neither blank nor JSON."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    bad = (F.col("value") != "") & F.expr("try_parse_json(value)").isNull()
+    return lines.groupBy("file").agg(F.count_if(bad).alias("errors"))
+
+
+def transcript(spark: SparkSession, path: str, marker: str | None = None) -> DataFrame:
     """file, line, place, kind (user, assistant, tool_call, tool_result), text, tool_id, name, input of transcripts' lines.
 
-    Side chains, meta lines and lines that don't parse are skipped. A result takes the name and input of the latest
+    Side chains, meta lines (but those whose list of blocks holds `marker`) and lines that don't parse are skipped. A result takes the name and input of the latest
     earlier call of its id in its file; only rows with an id are brought together for that.
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.from_json("value", LINE).alias("x")).where("x.type is not null")
-    lines = lines.where(~F.coalesce("x.isSidechain", F.lit(False)) & ~F.coalesce("x.isMeta", F.lit(False)))
+    content = F.ltrim("x.message.content")
+    marked = F.lit(False) if marker is None else F.coalesce((content.startswith("[") | content.startswith("{")) & F.contains("x.message.content", F.lit(marker)), F.lit(False))
+    lines = lines.where(~F.coalesce("x.isSidechain", F.lit(False)) & (~F.coalesce("x.isMeta", F.lit(False)) | marked))
     blocks = F.from_json("x.message.content", T.ArrayType(BLOCK))
     plain = F.array(F.struct(F.lit("text").alias("type"), F.col("x.message.content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("id", "name", "input", "tool_use_id", "content")]))
     is_list = F.ltrim("x.message.content").startswith("[")
