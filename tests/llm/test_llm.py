@@ -687,3 +687,43 @@ def test_a_common_line_is_dealt_to_several_copies(spark, monkeypatch):
     df = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("a line that all documents have\nown line of document "), F.col("id").cast("string")).alias("text"))
     got = line_dedup.drop_lines(df)
     assert sorted(tuple(r) for r in got.groupBy("n_lines", "n_dropped").count().collect()) == [(2, 0, 1), (2, 1, 1499)]
+
+
+# op9: the statistics, one text at a time
+
+
+def plain_statistics(t):
+    words, at = [], 0
+    while at < len(t):
+        end = at
+        while end < len(t) and t[end].isalnum():
+            end += 1
+        if end > at:
+            words.append(t[at:end])
+        at = max(end, at + 1)
+    n, some = len(t), max(len(t), 1)
+    letters = sum(c.isalpha() for c in t)
+    upper = lambda c: c.isalpha() and ord(c) < 0x250 and c.isupper()
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+    count = max(len(words), 1)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / count
+    spread = math.sqrt(max(0.0, sum(s * s for s in sizes) / count - mean**2))
+    common, share = ".,;:'\"?-()", lambda k: math.sqrt(k / some)
+    other = sum(not c.isalnum() and not c.isspace() and c not in common + "!|" for c in t)
+    return [
+        math.log1p(n), letters / some, math.sqrt(sum(map(upper, t)) / max(letters, 1)), sum(c.isspace() for c in t) / some, share(sum(c.isalnum() and not c.isalpha() for c in t)),
+        share(sum(c in common for c in t)), share(other), share(t.count("!")), share(t.count("|")), share(t.count("\n")), math.sqrt(sum(a == b for a, b in zip(low, low[1:], strict=False)) / count),
+        math.log1p(len(set(low))) / math.log1p(count) if words else 0.0, math.log1p(mean), math.log1p(spread), sum(s <= 3 for s in sizes) / count, math.sqrt(sum(upper(w[0]) for w in words) / count),
+    ]
+
+
+def test_statistics_equal_plain_python(spark):
+    rng = np.random.default_rng(2)
+    signs = list("abAB Zz019 .,;!|\n\t-()?\"'#é ÉΩ日😀²½ß") + ["the ", "The the ", "x x x "]
+    texts = ["", " ", "a", "A", "!!!", "a a A b", "\n\n", "One two, TWO two.", "日本語 ²½ ΩΩ ÉÉ", "a\nb\n"] + ["".join(rng.choice(signs, rng.integers(0, 80))) for _ in range(300)]
+    texts += [r["text"] for r in real(spark, 40).collect()]
+    got = quality.statistics(texts)
+    assert got.shape == (len(texts), len(quality.STATISTICS))
+    for t, row in zip(texts, got, strict=True):
+        np.testing.assert_allclose(row, plain_statistics(t), rtol=1e-9, atol=1e-7, err_msg=repr(t[:80]))
