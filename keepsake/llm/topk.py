@@ -41,6 +41,16 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate((mean, deviation), axis=1) * np.sqrt(np.concatenate((size, size)))
 
 
+def products(a: np.ndarray, b: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b that are alive; where few are, of these pairs alone (the others are 0)."""
+    i, j = np.nonzero(alive) if (few := np.count_nonzero(alive) * 16 < alive.size) else ((), ())
+    if not few:
+        return a @ b.T
+    out = np.zeros(alive.shape)
+    out[i, j] = exact(a, b, i, j)
+    return out
+
+
 def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Inner products of the rows i of a with the rows j of b."""
     out = np.empty(len(i))
@@ -92,24 +102,15 @@ def best_in_cell(
         block, block_ids = candidates[a : a + STEP], ids[a : a + STEP]
         alive = query_ids[:, None] != block_ids[None, :]
         for q, c in stats:
-            if np.count_nonzero(alive) * 4 >= alive.size:
-                bound = q @ c[a : a + STEP].T
-                alive &= bound + 1e-9 * (1 + np.abs(bound)) >= floor[:, None]
-            else:  # few are left: bounds of these alone
-                i, j = np.nonzero(alive)
-                bound = exact(q, c[a : a + STEP], i, j)
-                alive[i, j] = bound + 1e-9 * (1 + np.abs(bound)) >= floor[i]
+            bound = products(q, c[a : a + STEP], alive)
+            alive &= bound + 1e-9 * (1 + np.abs(bound)) >= floor[:, None]
         left = np.count_nonzero(alive)
         if seen is not None:
             seen["pairs"], seen["exact"] = seen.get("pairs", 0) + alive.size, seen.get("exact", 0) + left
         if not left:
             continue
-        if left * 4 >= alive.size:
-            score = np.where(alive, queries @ block.T, -np.inf)
-        else:
-            score = np.full(alive.shape, -np.inf)
-            i, j = np.nonzero(alive)
-            score[i, j] = exact(queries, block, i, j)
+        score = products(queries, block, alive)
+        score[~alive] = -np.inf
         rows = np.flatnonzero(alive.any(axis=1))
         merged, merged_id = np.concatenate((best[rows], score[rows]), axis=1), np.concatenate((best_id[rows], np.broadcast_to(block_ids, (len(rows), len(block_ids)))), axis=1)
         kth = np.partition(merged, -k, axis=1)[:, [-k]]
