@@ -188,8 +188,20 @@ def needle_distinct(spark, d):
     return history.distinct_ignoring_case(words, "word", ["id"])
 
 
-@query("usage_rank", f"WITH {MEM} SELECT id, CAST(row_number() OVER (ORDER BY usage_count DESC, last_used DESC, ts_ms DESC, id) AS INT) AS place FROM mem")
-def usage_rank(spark, d):
-    rows = mem(spark, d).select("id", "usage_count", "last_used", "ts_ms")
-    found = packing.ranked(rows, [F.desc("usage_count"), F.desc("last_used"), F.desc("ts_ms"), F.col("id")], ["id"])
+RANKED = "CAST(row_number() OVER (ORDER BY usage_count DESC, last_used DESC, ts_ms DESC, id) AS INT) AS place"
+
+
+def _usage_rank(rows):
+    order = [F.desc("usage_count"), F.desc("last_used"), F.desc("ts_ms"), F.col("id")]
+    found = packing.ranked(rows.select("id", "usage_count", "last_used", "ts_ms"), order, ["id"])
     return found.select("id", F.col("place").cast("int").alias("place"))
+
+
+@query("usage_rank", f"WITH {MEM} SELECT id, {RANKED} FROM mem WHERE project = '/p/2'")
+def usage_rank(spark, d):
+    return _usage_rank(mem(spark, d).where("project = '/p/2'"))
+
+
+@query("usage_rank_all", f"WITH {MEM} SELECT id, {RANKED} FROM mem")
+def usage_rank_all(spark, d):
+    return _usage_rank(mem(spark, d))
