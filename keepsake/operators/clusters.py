@@ -13,7 +13,7 @@ from keepsake.operators import graph, mutate, vectors
 from keepsake.runtime import written
 from keepsake.settings import DAY_MS, Settings
 
-TAIL = 20_000  # open pairs of star clusters that one task settles
+TAIL = 20_000  # open rows of star clusters that one task settles
 TYPE_PRIORITY = {"procedure": 4, "warning": 3, "error": 2, "discovery": 1, "command": 0}
 
 
@@ -121,42 +121,82 @@ def star_clusters(
     a `member`, and takes up to most - 1 unused ones. A seed that takes none is a cluster of its own; it stays free for
     a later seed (and then is no cluster any more) unless `alone_is_used`.
 
-    The nearest rows come from cells of bounded size. A round settles every seed that is the first open one to touch
-    itself and each row it lists, and drops what is used by then. At most `tail` open pairs are settled in one task.
+    The nearest rows come from cells of bounded size; `greedy_stars` settles who takes whom.
     """
     found = vectors.neighbours(seeds, pool, near, threshold, same=tuple(by)).select("id", "other", "rank")
     if member is not None:
         found = found.join(pool.where(member).select(F.col("id").alias("other")), "other", "left_semi")
     at = seeds.select("id", F.struct("ts_ms", "id").alias("at"))
-    pairs = written(found.join(at, "id").select("id", "other", "rank", "at"), "star-pairs")
-    waiting = written(at, "star-seeds")
-    taken, alone = [], []
-    while pairs.count() > tail:
-        touch = pairs.select("id", "other", "at").unionByName(waiting.select("id", F.col("id").alias("other"), "at"))
-        first = written(touch.groupBy("other").agg(F.min("at").alias("first")), "star-first")
-        waits = touch.join(first, "other").where("at <> first").select("id").distinct()
+    return greedy_stars(found, at, most, alone_is_used, tail)
+
+
+def greedy_stars(listed: DataFrame, seeds: DataFrame, most: int, alone_is_used: bool = False, tail: int = TAIL) -> DataFrame:
+    """(cluster, id) as in `star_clusters`. `listed`: id, other, rank of what each seed may take; `seeds`: id, at (their order).
+
+    What one seed takes matters only to seeds of its connected component. A round settles the first `tail` open rows of
+    each component in their order, many small components to a task, and then, where a component has more, every seed that is
+    the first open one to touch itself and each row it lists. So a component of n rows takes at most n / tail rounds however
+    long its chains are, and fewer where many seeds don't wait for each other. With `tail` 0 only the second step is taken.
+    """
+    pairs = written(listed, "star-pairs")
+    waiting = written(seeds.select("id", "at"), "star-seeds")
+    touched = pairs.select("id").union(pairs.select(F.col("other").alias("id"))).distinct()
+    if pairs.count() <= tail:  # few enough to be settled as one part
+        parts = touched.withColumn("part", F.lit(""))
+    else:
+        parts = graph.components(pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("cluster", "part")
+    taken, alone = [], [waiting.join(touched, "id", "left_anti").select("id")]
+    waiting = written(waiting.join(parts, "id"), "star-seeds")
+    while not pairs.isEmpty():
+        if tail:
+            first = _first_rows(waiting.join(pairs, "id", "left"), tail)
+            got = _settled(first, most, alone_is_used, tail)
+            heads = got.where("cluster = id").select("id")
+            members = got.where("cluster <> id")
+            used = members.select("id").unionByName(heads if alone_is_used else members.select(F.col("cluster").alias("id"))).distinct()
+            taken.append(members)
+            alone.append(heads)
+            waiting, pairs = _without(waiting, pairs, first.select("id").distinct(), used)
+            if pairs.isEmpty():
+                break
+        touch = waiting.join(pairs, "id").select("id", "other", "at").unionByName(waiting.select("id", F.col("id").alias("other"), "at"))
+        earliest = written(touch.groupBy("other").agg(F.min("at").alias("first")), "star-first")
+        waits = touch.join(earliest, "other").where("at <> first").select("id").distinct()
         ready = written(waiting.join(waits, "id", "left_anti").select("id"), "star-ready")
         place = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
         got = pairs.join(ready, "id", "left_semi").withColumn("place", place).where(F.col("place") < most)
         got = written(got.select(F.col("id").alias("cluster"), F.col("other").alias("id")), "star-members")
         heads = got.select(F.col("cluster").alias("id")).distinct()
         taken.append(got)
-        alone.append(ready.join(heads, "id", "left_anti"))
+        alone.append(ready)
         used = written(got.select("id").unionByName(ready if alone_is_used else heads).distinct(), "star-used")
-        waiting = written(waiting.join(ready, "id", "left_anti").join(used, "id", "left_anti"), "star-seeds")
-        pairs = pairs.join(waiting, "id", "left_semi").join(used.select(F.col("id").alias("other")), "other", "left_anti")
-        pairs = written(pairs.select("id", "other", "rank", "at"), "star-pairs")
-    # what is left, with the open seeds that only are listed or list nothing
-    rest = waiting.select("id", F.col("at.ts_ms").alias("ts_ms"), F.lit(0).alias("all"))
-    listed = pairs.select("id").union(pairs.select("other")).distinct()
-    quiet = written(rest.join(listed, "id", "left_anti").select("id"), "star-quiet")
-    rest = rest.join(listed, "id", "left_semi").join(pairs.select("id", "other", "rank"), "id", "left")
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ms", "id", "rank"])
+        waiting, pairs = _without(waiting, pairs, ready, used)
+    alone.append(waiting.select("id"))
+    members = pairs.select(F.col("id").alias("cluster"), F.col("other").alias("id")).where(F.lit(False))
+    members = written(reduce(DataFrame.unionByName, taken, members), "star-all")
+    heads = members.select(F.col("cluster").alias("id")).distinct()
+    lone = reduce(DataFrame.unionByName, alone).distinct()
+    lone = lone.join(members.select("id"), "id", "left_anti").join(heads, "id", "left_anti").unionByName(heads)
+    return members.unionByName(lone.select(F.col("id").alias("cluster"), "id"))
+
+
+def _first_rows(rows: DataFrame, tail: int) -> DataFrame:
+    """The first `tail` rows of each part by (at, rank), without a last seed that they may not hold whole."""
+    totals = rows.groupBy("part").agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at", "rank"))
+    first = rows.withColumn("place", place).where(F.col("place") <= tail).join(totals, "part")
+    last = F.max("at").over(Window.partitionBy("part"))
+    return written(first.withColumn("last", last).where((F.col("total") <= tail) | (F.col("at") < F.col("last"))).select("part", "id", "at", "other", "rank"), "star-rows")
+
+
+def _settled(rows: DataFrame, most: int, alone_is_used: bool, tail: int) -> DataFrame:
+    """(cluster, id): whom the seeds of `rows` take one after the other, each open seed itself too; whole parts share tasks."""
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["ts_ms", "id", "rank"])
         used: set[str] = set()
         out = []
-        for (_, seed), others in rows.groupby(["ts_ms", "id"], sort=True)["other"]:
+        for (_, seed), others in part.groupby(["ts_ms", "id"], sort=True)["other"]:
             if seed in used:
                 continue
             members = [x for x in others.dropna() if x not in used][: most - 1]
@@ -166,12 +206,16 @@ def star_clusters(
             out += [(seed, x) for x in [*members, seed]]
         return pd.DataFrame(out, columns=["cluster", "id"])
 
-    last = written(rest.groupBy("all").applyInPandas(settle, "cluster string, id string"), "star-rest")
-    members = written(reduce(DataFrame.unionByName, [*taken, last.where("cluster <> id")]), "star-all")
-    lone = reduce(DataFrame.unionByName, [*alone, quiet, last.where("cluster = id").select("id")]).distinct()
-    heads = members.select(F.col("cluster").alias("id")).distinct()
-    lone = lone.join(members.select("id"), "id", "left_anti").join(heads, "id", "left_anti").unionByName(heads)
-    return members.unionByName(lone.select(F.col("id").alias("cluster"), "id"))
+    tasks = max(1, -(-rows.count() // tail))
+    dealt = rows.select("id", F.col("at.ts_ms").alias("ts_ms"), "other", "rank", F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task"))
+    return written(dealt.groupBy("task").applyInPandas(settle, "cluster string, id string"), "star-settled")
+
+
+def _without(waiting: DataFrame, pairs: DataFrame, done: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The seeds that still wait, and what they list that is still free."""
+    waiting = written(waiting.join(done, "id", "left_anti").join(used, "id", "left_anti"), "star-seeds")
+    pairs = pairs.join(waiting, "id", "left_semi").join(used.select(F.col("id").alias("other")), "other", "left_anti")
+    return waiting, written(pairs.select("id", "other", "rank"), "star-pairs")
 
 
 def currentness_clusters(df: DataFrame, s: Settings, seeds: DataFrame) -> DataFrame:

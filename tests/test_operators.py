@@ -156,6 +156,50 @@ def test_star_clusters_equal_brute_force_without_whole_groups(spark, monkeypatch
         assert rows(found, "cluster", "id") == sorted(expected)
 
 
+def _greedy(listed, seeds, most, alone_is_used):
+    used, members, alone = set(), [], []
+    for _, i in sorted(seeds):
+        if i not in used:
+            took = [j for j in listed.get(i, []) if j not in used][: most - 1]
+            used |= set(took) | ({i} if took or alone_is_used else set())
+            members += [(i, j) for j in [i, *took]] if took else []
+            alone += [] if took else [i]
+    inside = {j for _, j in members}
+    return sorted(members + [(i, i) for i in alone if i not in inside])
+
+
+@pytest.mark.parametrize("tail", [7, 10_000])
+def test_greedy_stars_in_parts_of_all_sizes(spark, tail):
+    """Components from two rows to most of all, seeds that list nothing, rows that are no seeds, equal times."""
+    rng = np.random.default_rng(5)
+    names = [f"n{i:03d}" for i in range(160)]
+    seeds = [(int(rng.integers(0, 30)), i) for i in names if i[-1] != "3"]
+    listed = {}
+    for _, i in seeds:
+        n = int(i[1:])
+        pool = names[:90] if n < 90 else names[90 + (n - 90) // 7 * 7 : 97 + (n - 90) // 7 * 7]
+        listed[i] = [j for j in rng.permutation(pool)[: int(rng.integers(0, 4))].tolist() if j != i]
+    pairs = spark.createDataFrame([(i, j, r) for i, js in listed.items() for r, j in enumerate(js)], "id string, other string, rank int")
+    order = spark.createDataFrame(seeds, "ts_ms long, id string").select("id", F.struct("ts_ms", "id").alias("at"))
+    for alone_is_used in (False, True):
+        found = clusters.greedy_stars(pairs, order, 3, alone_is_used, tail)
+        assert rows(found, "cluster", "id") == _greedy(listed, seeds, 3, alone_is_used)
+    nothing = clusters.greedy_stars(pairs.where("false"), order, 3, False, tail)
+    assert rows(nothing, "cluster", "id") == sorted((i, i) for _, i in seeds)
+
+
+def test_greedy_stars_of_a_long_chain(spark):
+    """Each of 100 000 seeds lists the next one: settled in rounds of `TAIL` rows, not one seed a round."""
+    n = 100_000
+    name = lambda c: F.lpad(c.cast("string"), 6, "0")
+    ids = spark.range(n).select(name(F.col("id")).alias("id"), F.col("id").alias("n"))
+    order = ids.select("id", F.struct(F.col("n").alias("ts_ms"), "id").alias("at"))
+    pairs = ids.where(F.col("n") < n - 1).select("id", name(F.col("n") + 1).alias("other"), F.lit(1).alias("rank"))
+    found = clusters.greedy_stars(pairs, order, 2)
+    even = found.groupBy("cluster").agg(F.count("*").alias("n"), F.max(F.col("id").cast("int") - F.col("cluster").cast("int")).alias("far"))
+    assert even.where("n = 2 and far = 1 and cast(cluster as int) % 2 = 0").count() == n // 2 == even.count()
+
+
 def test_warning_clusters_filter_after_the_nearest(spark):
     """The nearest row has no failures: it uses up a place, and only then is left out."""
     data = [("p", "command", "a", 1, 3, [1.0, 0.0]), ("p", "command", "b", 2, 0, [1.0, 0.01]), ("p", "command", "c", 3, 5, [1.0, 0.02]), ("p", "command", "d", 4, 2, [0.0, 1.0])]
