@@ -59,6 +59,33 @@ def documentation_candidates(df: DataFrame) -> DataFrame:
     return df.where(active() & kept).withColumn("project", F.when(project.isin("", "unknown"), "global").otherwise(project))
 
 
+def suggested_notes(records: DataFrame) -> DataFrame:
+    """(target, n, text): the discoveries to add to each target's notes, as markdown grouped by where they hold.
+
+    `records`: target, id, where, what, evidence, project, usage_count, last_used, ts_ms. Groups come in the order of their
+    names, records without a place under General; in a group the most used come first, then the last used, the latest, the
+    least id. White space runs become one blank; evidence stands in brackets. The scope line names the projects in
+    ascending order. A target holds a batch of candidates (`Settings.promotion_batch_size`), so its text is one row.
+    """
+    inline = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    what, evidence = inline(F.col("what")), inline(F.col("evidence"))
+    line = F.concat(F.lit("- "), what, F.when(evidence == "", "").otherwise(F.concat(F.lit(" (Evidence: "), evidence, F.lit(")"))))
+    group = F.when(inline(F.col("where")) == "", "General").otherwise(inline(F.col("where")))
+    project = F.trim(F.coalesce("project", F.lit("")))
+    named = F.when((project != "") & (F.lower(project) != "unknown"), project)
+    order = F.struct((-F.col("usage_count")).alias("u"), (-F.col("last_used")).alias("l"), (-F.col("ts_ms")).alias("t"), "id", line.alias("line"))
+    groups = records.groupBy("target", group.alias("name")).agg(F.sort_array(F.collect_list(order)).alias("rows"), F.collect_set(named).alias("projects"))
+    body = F.concat(F.lit("## "), F.col("name"), F.lit("\n"), F.array_join("rows.line", "\n"))
+    targets = groups.groupBy("target").agg(
+        F.sum(F.size("rows")).alias("n"), F.sort_array(F.collect_list(F.struct("name", body.alias("body")))).alias("groups"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("projects")))).alias("projects"),
+    )
+    many, all_names = F.size("projects"), F.array_join("projects", ", ")
+    scope = F.when(many == 0, "Scope: Global").when(many == 1, F.concat(F.lit("Scope: Project-specific\nProject: "), all_names))
+    scope = scope.otherwise(F.concat(F.lit("Scope: Multiple projects\nProjects: "), all_names))
+    return targets.select("target", "n", F.concat(scope, F.lit("\n\n"), F.array_join("groups.body", "\n\n"), F.lit("\n")).alias("text"))
+
+
 def _generic(text: Column) -> Column:
     bare = F.trim(F.coalesce(text, F.lit("")))
     return (bare == "") | bare.rlike(GENERIC_REMEDY)
