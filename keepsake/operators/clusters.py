@@ -140,16 +140,12 @@ def greedy_stars(listed: DataFrame, seeds: DataFrame, most: int, alone_is_used:
     """
     pairs = written(listed, "star-pairs")
     waiting = written(seeds.select("id", "at"), "star-seeds")
-    touched = pairs.select("id").union(pairs.select(F.col("other").alias("id"))).distinct()
-    if pairs.count() <= tail:  # few enough to be settled as one part
-        parts = touched.withColumn("part", F.lit(""))
-    else:
-        parts = graph.components(pairs.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("cluster", "part")
-    taken, alone = [], [waiting.join(touched, "id", "left_anti").select("id")]
+    parts = graph.parts(pairs, "id", "other", tail)
+    taken, alone = [], [waiting.join(parts, "id", "left_anti").select("id")]
     waiting = written(waiting.join(parts, "id"), "star-seeds")
     while not pairs.isEmpty():
         if tail:
-            first = _first_rows(waiting.join(pairs, "id", "left"), tail)
+            first = graph.first_rows(waiting.join(pairs, "id", "left"), tail, "rank")
             got = _settled(first, most, alone_is_used, tail)
             heads = got.where("cluster = id").select("id")
             members = got.where("cluster <> id")
@@ -180,15 +176,6 @@ def greedy_stars(listed: DataFrame, seeds: DataFrame, most: int, alone_is_used:
     return members.unionByName(lone.select(F.col("id").alias("cluster"), "id"))
 
 
-def _first_rows(rows: DataFrame, tail: int) -> DataFrame:
-    """The first `tail` rows of each part by (at, rank), without a last seed that they may not hold whole."""
-    totals = rows.groupBy("part").agg(F.count("*").alias("total"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("at", "rank"))
-    first = rows.withColumn("place", place).where(F.col("place") <= tail).join(totals, "part")
-    last = F.max("at").over(Window.partitionBy("part"))
-    return written(first.withColumn("last", last).where((F.col("total") <= tail) | (F.col("at") < F.col("last"))).select("part", "id", "at", "other", "rank"), "star-rows")
-
-
 def _settled(rows: DataFrame, most: int, alone_is_used: bool, tail: int) -> DataFrame:
     """(cluster, id): whom the seeds of `rows` take one after the other, each open seed itself too; whole parts share tasks."""
 
@@ -206,8 +193,7 @@ def _settled(rows: DataFrame, most: int, alone_is_used: bool, tail: int) -> Data
             out += [(seed, x) for x in [*members, seed]]
         return pd.DataFrame(out, columns=["cluster", "id"])
 
-    tasks = max(1, -(-rows.count() // tail))
-    dealt = rows.select("id", F.col("at.ts_ms").alias("ts_ms"), "other", "rank", F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task"))
+    dealt = graph.dealt(rows, tail).select("id", F.col("at.ts_ms").alias("ts_ms"), "other", "rank", "task")
     return written(dealt.groupBy("task").applyInPandas(settle, "cluster string, id string"), "star-settled")
 
 

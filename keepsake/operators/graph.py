@@ -28,6 +28,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("clusters don't settle")
 
 
+def parts(pairs: DataFrame, a: str, b: str, tail: int) -> DataFrame:
+    """(id, part) of all ids in the pairs: their connected component, or one part where there are at most `tail` pairs."""
+    if pairs.count() <= tail:
+        return pairs.select(F.col(a).alias("id")).union(pairs.select(b)).distinct().withColumn("part", F.lit(""))
+    return components(pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))).withColumnRenamed("cluster", "part")
+
+
+def first_rows(rows: DataFrame, tail: int, *then: str) -> DataFrame:
+    """The first `tail` rows of each part by `at` and `then`, without those of a last `at` that they may not hold whole."""
+    totals = rows.groupBy("part").agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("at", *then))
+    first = rows.withColumn("place", place).where(F.col("place") <= tail).join(totals, "part")
+    last = F.max("at").over(Window.partitionBy("part"))
+    return written(first.withColumn("last", last).where((F.col("total") <= tail) | (F.col("at") < F.col("last"))).drop("total", "place", "last"), "first-rows")
+
+
+def dealt(rows: DataFrame, tail: int) -> DataFrame:
+    """`rows` with `task`: whole parts share tasks, of about `tail` rows each."""
+    return rows.withColumn("task", F.pmod(F.xxhash64("part"), F.lit(max(1, -(-rows.count() // tail)))))
+
+
 def co_injection_edges(events: DataFrame, group: str, member: str, at: str, min_count: int = 3, full: int = 10) -> DataFrame:
     """(a, b, n, last_at, weight): pairs seen in at least `min_count` groups; the weight is n / full, at most 1."""
     rows = events.groupBy(group, member).agg(F.max(at).alias("at"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from keepsake.operators import graph, mutate, vectors
 from keepsake.runtime import written
 from keepsake.settings import Settings
 
+TAIL = 20_000  # open rows of an ingest that one task settles
 CONTEXT_TYPES = ("command", "error", "procedure")
 
 
@@ -81,44 +83,87 @@ def supersede(target: DataFrame, actions: DataFrame, edges: DataFrame, now: int)
     return mutate.soft_delete(target, good, now), graph.upsert_edges(edges, new, "set"), failed
 
 
-def ingest(new: DataFrame, target: DataFrame, s: Settings) -> DataFrame:
+def ingest(new: DataFrame, target: DataFrame, s: Settings, tail: int = TAIL) -> DataFrame:
     """(id, action, target, similarity): each new record, in (seq, id) order, updates its nearest record or is inserted.
 
     The nearest is that of its project and type at or above the threshold, among the table's active records and the new
     ones inserted before it; an update that changes no field is `skipped` (`same_as`: the digest of what would change,
-    equal on both sides). `new` is one batch of limited size, as all near pairs inside it are held. Candidate pairs come from one similarity join; new records that only the table is near to are
-    settled at once, and those near to each other in rounds, each the first that waits for no other.
+    equal on both sides). Of new records that are equal in project, type and vector only the first can be inserted: what is
+    near to it, or it itself, is near to all later ones. So new records are joined with the table's best and with these heads
+    alone, and many copies in a batch don't make all their pairs. Heads are settled as seeds of `clusters.greedy_stars`
+    are: the first `tail` rows of each connected component a round, then all that wait for no other.
     """
-    old = target.where(~F.col("deprecated"))
-    every = old.select("id", "project", "type", "embedding", "same_as", F.lit(None).cast("long").alias("seq")).unionByName(new.select("id", "project", "type", "embedding", "same_as", "seq"))
-    near = vectors.neighbours(new, every, 2**31 - 1, s.dedup_threshold, same=("project", "type")).select("id", "other", "similarity")
-    at = new.select("id", F.struct("seq", "id").alias("at"))
-    side = every.select(F.col("id").alias("other"), F.when(F.col("seq").isNotNull(), F.struct("seq", "id")).alias("other_at"))
-    pairs = near.join(at, "id").join(side, "other").where("other_at is null or other_at < at")
-    pairs = written(pairs.select("id", "other", "similarity", (F.col("other_at").isNotNull()).alias("fresh")), "ingest-pairs")
-    best_old = pairs.where("not fresh").groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "other")).alias("old"))
-    state = written(at.select("id").join(best_old, "id", "left").select("id", "old"), "ingest-state")
-    rest = written(pairs.where("fresh").select("id", "other", "similarity"), "ingest-fresh")
-    settled: list[DataFrame] = []
-    while True:
-        # a record is ready when no new record before it that it is near to is open
-        ready = state.join(rest.select("id").distinct(), "id", "left_anti").select("id", F.when(F.col("old").isNull(), "insert").otherwise("update").alias("action"), "old")
-        ready = written(ready, "ingest-ready")
-        settled.append(ready)
-        state = written(state.join(ready.select("id"), "id", "left_anti"), "ingest-state")
-        if state.isEmpty():
-            break
-        done = rest.join(ready.select(F.col("id").alias("other"), "action"), "other")
-        better = done.where("action = 'insert'").groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "other")).alias("x"))
-        state = written(state.join(better, "id", "left").select("id", F.least("old", "x").alias("old")), "ingest-state")
-        rest = written(rest.join(ready.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other", "similarity"), "ingest-fresh")
-    found = reduce(DataFrame.unionByName, settled)
-    digest = every.select(F.col("id").alias("target"), F.col("same_as").alias("was"))
+    by = ("project", "type")
+    old = vectors.neighbours(new, target.where(~F.col("deprecated")), 1, s.dedup_threshold, same=by)
+    old = old.select("id", F.struct((-F.col("similarity")).alias("far"), "other").alias("old"))
+    state = written(new.select("id", F.struct("seq", "id").alias("at")).join(old, "id", "left"), "ingest-state")
+    # above such a threshold rounding may part equal vectors: each record is its own head
+    apart = F.lit("") if s.dedup_threshold <= 1 - 1e-6 else F.col("id")
+    heads = new.groupBy("project", "type", "embedding", apart.alias("apart")).agg(F.min(F.struct("seq", "id")).alias("at"))
+    heads = written(heads.select("at.id", "at", "project", "type", "embedding"), "ingest-heads")
+    near = vectors.neighbours(new, heads, 2**31 - 1, s.dedup_threshold, same=by).select("id", "other", "similarity")
+    before = near.join(state.select("id", "at"), "id").join(heads.select(F.col("id").alias("other"), F.col("at").alias("other_at")), "other").where("other_at < at")
+    pairs = written(before.select("id", "other", "similarity"), "ingest-pairs")
+    settled = _settled_heads(state.join(heads.select("id"), "id", "left_semi"), pairs.join(heads.select("id"), "id", "left_semi"), tail)
+    later = _nearer(state.join(heads.select("id"), "id", "left_anti"), pairs, settled)
+    found = settled.unionByName(later.select("id", _action(), "old"))
+    digest = target.select(F.col("id").alias("target"), F.col("same_as").alias("was")).unionByName(new.select(F.col("id").alias("target"), F.col("same_as").alias("was")))
     found = found.select("id", "action", F.col("old.other").alias("target"), (-F.col("old.far")).alias("similarity")).join(digest, "target", "left").join(new.select("id", "same_as"), "id")
     action = F.when((F.col("action") == "update") & F.col("same_as").eqNullSafe(F.col("was")), "skipped").otherwise(F.col("action"))
     return found.select("id", action.alias("action"), "target", "similarity")
 
 
+def _action() -> Column:
+    return F.when(F.col("old").isNull(), "insert").otherwise("update").alias("action")
+
+
+def _nearer(state: DataFrame, pairs: DataFrame, done: DataFrame) -> DataFrame:
+    """`state` with the inserted ones of `done` among what a record may be nearest to; the least id of equally near ones."""
+    inserted = done.where("action = 'insert'").select(F.col("id").alias("other"))
+    best = pairs.join(inserted, "other", "left_semi").groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "other")).alias("x"))
+    return state.join(best, "id", "left").withColumn("old", F.least("old", "x")).drop("x")
+
+
+def _settled_heads(state: DataFrame, pairs: DataFrame, tail: int) -> DataFrame:
+    """(id, action, old) of all records of `state` (id, at, old), each after the earlier ones that it is near to."""
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        inserted: set[str] = set()
+        out = []
+        for (_, id_), mine in rows.sort_values(["seq", "id"]).groupby(["seq", "id"], sort=True):
+            old = mine[["far", "best"]].iloc[0]
+            found = [] if pd.isna(old["far"]) else [(old["far"], old["best"])]
+            found += [(-x, o) for o, x in zip(mine["other"], mine["similarity"]) if o in inserted]
+            if not found:
+                inserted.add(id_)
+            out.append((id_, *(("update", *min(found)) if found else ("insert", None, None))))
+        return pd.DataFrame(out, columns=["id", "action", "far", "other"])
+
+    rest = written(pairs, "ingest-open")
+    parts = graph.parts(rest, "id", "other", tail)
+    settled = [written(state.join(parts, "id", "left_anti").select("id", _action(), "old"), "ingest-alone")]
+    waiting = written(state.join(parts, "id"), "ingest-waiting")
+
+    def without(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        settled.append(done)
+        left = written(_nearer(waiting.join(done.select("id"), "id", "left_anti"), rest, done), "ingest-waiting")
+        open_ = rest.join(done.select(F.col("id").alias("other")), "other", "left_anti").join(left.select("id"), "id", "left_semi")
+        return left, written(open_.select("id", "other", "similarity"), "ingest-open")
+
+    while not waiting.isEmpty():
+        if tail:
+            first = graph.dealt(graph.first_rows(waiting.join(rest, "id", "left"), tail, "other"), tail)
+            flat = first.select("task", "id", "at.seq", F.col("old.far").alias("far"), F.col("old.other").alias("best"), "other", "similarity")
+            done = flat.groupBy("task").applyInPandas(settle, "id string, action string, far double, other string")
+            done = done.select("id", "action", F.when(F.col("far").isNotNull(), F.struct("far", "other")).alias("old"))
+            waiting, rest = without(written(done, "ingest-done"))
+            if waiting.isEmpty():
+                break
+        ready = waiting.join(rest.select("id").distinct(), "id", "left_anti").select("id", _action(), "old")
+        waiting, rest = without(written(ready, "ingest-ready"))
+    return reduce(DataFrame.unionByName, settled)
+
+
 def compact(df: DataFrame, path: str, files: int) -> DataFrame:
     """`df` rewritten in `files` files; raises where the rows don't come back all, and the old files stay as they are."""
     before = df.count()

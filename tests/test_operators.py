@@ -319,17 +319,19 @@ def test_settings_are_checked():
         Settings(suppression_mode="maybe")
 
 
-def test_ingest_equals_a_sequence(spark):
-    """Later new records see those inserted before them; what updates a record is no target itself."""
+@pytest.mark.parametrize("tail", [0, 4, writes.TAIL])
+def test_ingest_equals_a_sequence(spark, tail):
+    """Later new records see those inserted before them; what updates a record is no target itself; copies in the batch."""
     rng = np.random.default_rng(8)
     x = rng.normal(0, 1, (70, 3))
+    x[50:62:3], x[51:63:3] = x[44], x[5]  # of a new record and of one of the table
     data = [("p" if i % 3 else "q", "command", f"r{i:02d}", i, str(i % 4), x[i].tolist(), i >= 40) for i in range(70)]
     df = spark.createDataFrame(data, "project string, type string, id string, seq long, same_as string, embedding array<double>, fresh boolean").withColumn("deprecated", F.lit(False))
-    got = {r["id"]: (r["action"], r["target"]) for r in writes.ingest(df.where("fresh"), df.where("not fresh"), Settings(dedup_threshold=0.9)).collect()}
+    got = {r["id"]: (r["action"], r["target"]) for r in writes.ingest(df.where("fresh"), df.where("not fresh"), Settings(dedup_threshold=0.9), tail).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     pool, expected = list(range(40)), {}
     for i in range(40, 70):
-        near = sorted((-float(unit[i] @ unit[j]), data[j][2], j) for j in pool if data[j][0] == data[i][0] and unit[i] @ unit[j] >= 0.9)
+        near = sorted((-round(float(unit[i] @ unit[j]), 12), data[j][2], j) for j in pool if data[j][0] == data[i][0] and unit[i] @ unit[j] >= 0.9)
         if near:
             expected[data[i][2]] = ("skipped" if near[0][2] % 4 == i % 4 else "update", near[0][1])
         else:
