@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsake.queries import base, batch, maintaining, measuring, more, plans, reporting, runs, searching, store, streams, upkeeping  # noqa: F401  they register themselves
+from keepsake.queries import base, batch, logs, maintaining, measuring, more, plans, reporting, runs, searching, store, streams, upkeeping  # noqa: F401  they register themselves
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,7 +192,24 @@ def supersede_failures(spark, d):
     return _superseded(spark, d)[2]
 
 
-@query("ingest_sequence", None)
+@query(
+    "ingest_sequence",
+    f"""
+WITH RECURSIVE {MEM}, fresh AS (SELECT *, row_number() OVER (ORDER BY n, id) AS i FROM mem WHERE n % 10 = 0),
+near AS (
+    SELECT f.i, t.id AS other, {COS.format(a="f.embedding", b="t.embedding")} AS s, t.n % 10 = 0 AS is_new
+    FROM fresh f JOIN mem t ON f.project = t.project AND f.type = t.type AND (t.n % 10 = 0 AND t.n < f.n OR t.n % 10 <> 0 AND NOT t.deprecated)),
+run AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS inserted, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS STRUCT(far DOUBLE, other VARCHAR)) AS best
+    UNION ALL SELECT i, CASE WHEN best IS NULL THEN list_append(inserted, id) ELSE inserted END, id, best
+    FROM (
+        SELECT f.i, any_value(r.inserted) AS inserted, any_value(f.id) AS id,
+            min(struct_pack(far := -x.s, other := x.other)) FILTER (x.s >= 0.2 AND (NOT x.is_new OR list_contains(r.inserted, x.other))) AS best
+        FROM run r JOIN fresh f ON f.i = r.i + 1 LEFT JOIN near x ON x.i = f.i GROUP BY f.i))
+SELECT id, CASE WHEN best IS NULL THEN 'insert' WHEN m.usage_count = t.usage_count THEN 'skipped' ELSE 'update' END AS action,
+    best.other AS target, round(-best.far, 6) AS similarity
+FROM run JOIN mem m USING (id) LEFT JOIN mem t ON t.id = best.other""",
+)
 def ingest_sequence(spark, d):
     m = mem(spark, d).withColumn("same_as", F.col("usage_count").cast("string"))
     fresh = m.where("n % 10 = 0").withColumn("seq", F.col("n"))
