@@ -70,3 +70,15 @@ def recent_ids(uses: DataFrame, n: int, by: str, member: str, seq: str) -> DataF
 def distinct_ignoring_case(df: DataFrame, value: str, order: list[Column | str]) -> DataFrame:
     w = Window.partitionBy(F.lower(F.col(value))).orderBy(*order)
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def latest_injections(entries: DataFrame) -> DataFrame:
+    """(session, ts_ms, prompt, id): of each session the ids given at its latest time that has a prompt, once each.
+
+    `entries`: session, ts_ms, prompt, id. A blank prompt is none; of several at that time the least counts. Entries of
+    that time belong to it whether they carry the prompt or not, but for those without an id; sessions without any prompt give no rows.
+    """
+    text = F.regexp_replace("prompt", r"^\s+|\s+\z", "")
+    latest = entries.where(text != "").groupBy("session", "ts_ms").agg(F.min(text).alias("prompt"))
+    latest = latest.groupBy("session").agg(F.max(F.struct("ts_ms", "prompt")).alias("x")).select("session", "x.ts_ms", "x.prompt")
+    return entries.where("id <> ''").select("session", "ts_ms", "id").distinct().join(latest, ["session", "ts_ms"]).select("session", "ts_ms", "prompt", "id")

@@ -37,6 +37,14 @@ def delete_ids(target: DataFrame, ids: DataFrame) -> DataFrame:
     return target.join(ids.select("id"), "id", "left_anti")
 
 
+def delete_reported(target: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the table without `ids`, (id, outcome) of each distinct id asked for: deleted or missing); null ids are no ids."""
+    asked = ids.where("id is not null").select("id").distinct()
+    there = target.select("id", F.lit(True).alias("__there")).distinct()
+    report = asked.join(there, "id", "left").select("id", F.when(F.col("__there"), "deleted").otherwise("missing").alias("outcome"))
+    return delete_ids(target, asked), report
+
+
 def delete_where(target: DataFrame, condition: Column) -> DataFrame:
     return target.where(~F.coalesce(condition, F.lit(False)))
 

@@ -198,6 +198,49 @@ def slugs(spark, d):
     return table(spark, d, "customer").select("c_custkey", tx.slug(F.col("c_name")).alias("slug"))
 
 
-@query("keywords", None)
+WORDS = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(
+    "keywords",
+    f"""
+WITH {MEM}, t AS (SELECT id, regexp_extract_all(coalesce(exact_text, ''), '{tx.TOKEN}') AS found FROM mem),
+w AS (SELECT id, unnest(found) AS word, generate_subscripts(found, 1) AS place FROM t),
+kept AS (
+    SELECT id, lower(word) AS low, min(place) AS place FROM w
+    WHERE lower(word) NOT IN ({WORDS(tx.STOPWORDS)}) AND (lower(word) IN ({WORDS(tx.SHORT_TECH)})
+        OR length(word) >= 3 AND regexp_matches(word, '^\\p{{Lu}}') OR regexp_matches(word, '\\d') OR regexp_matches(word, '[/:\\\\]')
+        OR regexp_matches(word, '\\.[A-Za-z0-9]+') OR length(word) >= 4 AND regexp_matches(word, '^[\\p{{Ll}}\\p{{M}}]+$'))
+    GROUP BY id, low)
+SELECT id, coalesce(string_agg(low, ' ' ORDER BY place), '') AS keywords FROM t LEFT JOIN kept USING (id) GROUP BY id""",
+)
 def keywords(spark, d):
-    return mem(spark, d).select("id", tx.keywords(F.col("exact_text")).alias("keywords"))
+    return mem(spark, d).select("id", F.array_join(tx.keywords(F.col("exact_text")), " ").alias("keywords"))
+
+
+ENTRIES = "entries AS (SELECT session, ts_ms // 3600000 * 3600000 AS ts_ms, CASE k % 4 WHEN 0 THEN ' ' WHEN 1 THEN ' p' || CAST(k AS VARCHAR) END AS prompt, 'm' || CAST(k % 5 AS VARCHAR) AS id FROM ev)"
+
+
+@query(
+    "latest_injections",
+    f"""
+WITH {EV}, {ENTRIES}, g AS (SELECT session, ts_ms, min(trim(prompt)) AS prompt FROM entries WHERE trim(prompt) <> '' GROUP BY ALL),
+l AS (SELECT session, max(ts_ms) AS ts_ms, arg_max(prompt, ts_ms) AS prompt FROM g GROUP BY session)
+SELECT DISTINCT session, ts_ms, l.prompt, id FROM l JOIN entries USING (session, ts_ms)""",
+)
+def latest_injections(spark, d):
+    k = F.col("k")
+    hour = (F.floor(F.col("ts_ms") / 3600000) * 3600000).alias("ts_ms")
+    prompt = F.when(k % 4 == 0, " ").when(k % 4 == 1, F.concat(F.lit(" p"), k.cast("string")))
+    return history.latest_injections(events(spark, d).select("session", hour, prompt.alias("prompt"), F.concat(F.lit("m"), (k % 5).cast("string")).alias("id")))
+
+
+@query(
+    "delete_report",
+    f"""
+WITH {MEM}, asked AS (SELECT DISTINCT 'm' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS id FROM orders)
+SELECT id, CASE WHEN id IN (SELECT id FROM mem) THEN 'deleted' ELSE 'missing' END AS outcome FROM asked""",
+)
+def delete_report(spark, d):
+    asked = table(spark, d, "orders").select(F.concat(F.lit("m"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("id"))
+    return mutate.delete_reported(mem(spark, d), asked)[1]

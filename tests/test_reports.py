@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from keepsake.operators import evaluate, hints, scans
+from keepsake.operators import evaluate, hints, history, mutate, scans
 
 
 def _front(content):
@@ -115,3 +115,16 @@ def test_notes_by_place_and_use(spark):
         "t": (3, "Scope: Multiple projects\nProjects: p, q\n\n## General\n- four\n\n## src x\n- three\n- one two (Evidence: seen here)\n"),
         "u": (1, "Scope: Global\n\n## General\n- five\n"),
     }
+
+
+def test_latest_injections_need_a_prompt(spark):
+    data = [("a", 5, None, "1"), ("a", 4, " hi ", "1"), ("a", 4, None, "2"), ("a", 4, "hi", "1"), ("a", 3, "old", "3"), ("a", 4, "hi", ""), ("a", 4, "hi", None), ("b", 1, " \n", "1"), (None, 1, "x", "1")]
+    got = history.latest_injections(spark.createDataFrame(data, "session string, ts_ms long, prompt string, id string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 4, "hi", "1"), ("a", 4, "hi", "2")]
+
+
+def test_delete_reports_what_was_not_there(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "id string, v int")
+    left, report = mutate.delete_reported(df, spark.createDataFrame([("a",), ("z",), ("a",), (None,)], "id string"))
+    assert sorted(tuple(r) for r in report.collect()) == [("a", "deleted"), ("z", "missing")]
+    assert sorted(r["v"] for r in left.collect()) == [2, 3]
