@@ -41,8 +41,8 @@ def event_log(spark, d):
     return found.select("id", "type", F.col("timestamp").alias("at_ms"), F.col("groupId").alias("session"), F.col("coInjectedIds")[0].alias("member"), F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
-@query("event_days", f"WITH {EV}, {LOG} SELECT DISTINCT strftime(epoch_ms(at_ms), '%Y-%m-%d') AS day FROM log_")
-def event_days(spark, d):
+@query("event_log_days", f"WITH {EV}, {LOG} SELECT DISTINCT strftime(epoch_ms(at_ms), '%Y-%m-%d') AS day FROM log_")
+def event_log_days(spark, d):
     return logs.days(spark, _log(spark, d)).select(F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 

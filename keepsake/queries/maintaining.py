@@ -178,13 +178,39 @@ def conflict_verdict(spark, d):
     return m.join(b, "n").select("id", clusters.settled_verdict(verdict, F.col("ts_ms"), F.col("other_ms")).alias("verdict"))
 
 
-@query("currentness_clusters", None)
+# seeds one after the other, with the list of used ids; {kinds}, {often}, {near}, {most}, {by} and {alone} say which clusters
+STARS = f"""
+pool AS (SELECT * FROM mem WHERE NOT deprecated AND type IN ({{kinds}})),
+seeds AS (SELECT *, row_number() OVER (ORDER BY ts_ms, id) AS i FROM pool WHERE ts_ms < {CHECKED} AND {{often}}),
+sims AS (
+    SELECT s.i, p.id AS other, p.failure_count, {COS.format(a="s.embedding", b="p.embedding")} AS s,
+        row_number() OVER (PARTITION BY s.i ORDER BY {COS.format(a="s.embedding", b="p.embedding")} DESC, p.id) AS r
+    FROM seeds s JOIN pool p ON s.project = p.project AND s.id <> p.id AND {{by}}),
+lists AS (
+    SELECT seeds.i, seeds.id, coalesce(list(other ORDER BY r) FILTER (other IS NOT NULL), []) AS near
+    FROM seeds LEFT JOIN (SELECT * FROM sims WHERE r <= {{near}} AND s >= 0.3 AND {{often}}) x ON x.i = seeds.i GROUP BY ALL),
+steps AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR[]) AS took
+    UNION ALL SELECT i, CASE WHEN took IS NULL THEN used WHEN len(took) > 0 OR {{alone}} THEN list_concat(used, took, [id]) ELSE used END, id, took
+    FROM (
+        SELECT l.i, used, l.id, CASE WHEN NOT list_contains(used, l.id) THEN list_filter(near, lambda x: NOT list_contains(used, x))[1:{{most}}] END AS took
+        FROM steps JOIN lists l ON l.i = steps.i + 1)),
+taken AS (SELECT id AS cluster, unnest(list_concat(took, [id])) AS id FROM steps WHERE len(took) > 0),
+stars AS (SELECT * FROM taken UNION ALL SELECT id, id FROM steps WHERE len(took) = 0 AND id NOT IN (SELECT id FROM taken))"""
+
+
+@query("currentness_clusters", f"WITH RECURSIVE {MEM}, {STARS.format(kinds="'discovery'", often='true', near=12, most=7, by='true', alone='false')} SELECT cluster, id FROM stars")
 def currentness_clusters(spark, d):
     found = _active(spark, d).where("type = 'discovery'")
     return clusters.currentness_clusters(found, LOOSE, found.where(filters.due(F.col("ts_ms"), CHECKED)))
 
 
-@query("warning_clusters", None)
+@query(
+    "warning_clusters",
+    f"""
+WITH RECURSIVE {MEM}, {STARS.format(kinds="'command', 'error'", often="failure_count >= 2", near=5, most=5, by="s.type = p.type", alone="true")}
+SELECT cluster, id, CAST(sum(failure_count) OVER (PARTITION BY cluster) AS BIGINT) AS failures FROM stars JOIN mem USING (id)""",
+)
 def warning_clusters(spark, d):
     found = _active(spark, d).where("type in ('command', 'error')")
     return clusters.warning_clusters(found, LOOSE, found.where(filters.due(F.col("ts_ms"), CHECKED)))
