@@ -44,6 +44,12 @@ def entity(raw: Column) -> Column:
     return F.when(F.char_length(bare).between(3, 120) & bare.rlike(r"\p{L}") & ~bare.isin(GENERIC_ENTITIES), bare)
 
 
+def entity_of_token(token: Column) -> Column:
+    """`entity` of a token of TOKEN, which begins and ends with no sign that comes off."""
+    low = F.lower(token)
+    return F.when(F.char_length(low).between(3, 120) & low.rlike(r"\p{L}") & ~low.isin(GENERIC_ENTITIES), low)
+
+
 def long_words(text: Column, n: int = 8) -> Column:
     """Distinct lower-case words of at least n letters."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}]{{{n},}}"), F.lit(0)))

@@ -54,18 +54,22 @@ def entity_needles(prompts: DataFrame, vocabulary: DataFrame | None = None, most
     entity that any tier takes counts. Texts are read in Unicode's composed form.
     """
     tokens = F.regexp_extract_all(tx.composed(F.coalesce(F.col(text), F.lit(""))), F.lit(tx.TOKEN), F.lit(0))
-    rows = prompts.select("prompt", F.posexplode(tokens).alias("at", "token")).withColumn("entity", tx.entity(F.col("token"))).where("entity is not null")
     t, n = F.col("token"), F.char_length("token")
     tier = (
-        F.when(t.rlike(r"[/:\\]|\.[A-Za-z0-9]"), 0).when((n >= 3) & t.rlike(r"^\p{Lu}"), 1).when(t.rlike(r"\p{L}[-_]\p{L}"), 2).when(t.rlike(r"[0-9]"), 3)
+        F.when(~t.rlike(r"[^\p{Ll}]"), None)  # most tokens: small letters alone
+        .when(t.rlike(r"[/:\\]|\.[A-Za-z0-9]"), 0).when((n >= 3) & t.rlike(r"^\p{Lu}"), 1).when(t.rlike(r"\p{L}[-_]\p{L}"), 2).when(t.rlike(r"[0-9]"), 3)
     )
-    rows = rows.withColumn("tier", tier).select("prompt", "entity", "at", "tier")
-    taken = rows.where("tier is not null")
+    rows = prompts.select("prompt", F.posexplode(tokens).alias("at", "token")).select("prompt", "at", tx.entity_of_token(t).alias("entity"), tier.alias("tier"))
+    # texts are read once: where an entity first stands, and with which tier, as at * 8 + tier, which hash aggregation can hold.
+    # What is no entity goes by the group of null, as a filter of rows would work out entities twice.
+    place_of = F.when(F.col("entity").isNotNull(), F.col("at").cast("long") * 8 + F.coalesce("tier", F.lit(4)))
+    first = rows.groupBy("prompt", "entity").agg(F.min(F.when(F.col("tier").isNotNull(), place_of)).alias("shaped"), F.min(place_of).alias("any"))
+    first = first.where(F.col("any").isNotNull() if vocabulary is not None else F.col("shaped").isNotNull())
+    at = F.col("shaped")
     if vocabulary is not None:
-        known = vocabulary.select("entity").where("entity is not null").distinct()
-        plain = rows.where("tier is null").groupBy("prompt", "entity").agg(F.min("at").alias("at"))
-        taken = taken.unionByName(plain.join(known, "entity", "left_semi").select("prompt", "entity", "at", F.lit(4).alias("tier")))
-    first = taken.groupBy("prompt", "entity").agg(F.min(F.struct("at", "tier")).alias("x"))
+        known = vocabulary.select("entity").where("entity is not null").distinct().withColumn("known", F.lit(True))
+        first, at = first.join(known, "entity", "left"), F.when(F.col("known"), F.col("any")).otherwise(F.col("shaped"))
+    first = first.select("prompt", "entity", F.struct(F.floor(at / 8).alias("at"), (at % 8).cast("int").alias("tier")).alias("x")).where(at.isNotNull())
     place = F.row_number().over(Window.partitionBy("prompt").orderBy("x.tier", "x.at"))
     return first.select("prompt", F.col("entity").alias("needle"), "x.tier", place.alias("place")).where(F.col("place") <= most)
 

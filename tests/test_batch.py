@@ -148,6 +148,12 @@ def test_entity_needles_by_tier(spark, most, vocabulary):
         assert {r["tier"] for r in got} == {0, 1, 2, 3, 4}
 
 
+def test_entity_needles_read_texts_once(spark):
+    words = spark.createDataFrame([("phantom",)], "entity string")
+    found = needles.entity_needles(spark.createDataFrame(list(enumerate(PROMPTS)), "prompt long, text string"), words)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 1
+
+
 def test_a_budget_keeps_signals_before_words(spark):
     rows = [(1, ["e1", "e2", "e3", "e4"], ["c1"], ["w"]), (2, [], None, ["w1", "w2"]), (3, None, ["c1", "c2", "c3", "c4"], []), (4, None, None, None)]
     df = spark.createDataFrame(rows, "id int, e array<string>, c array<string>, w array<string>")
