@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from keepsake.functions import text as tx
 from keepsake.runtime import written
 
 GRAM, FREQUENT = 3, 100_000  # texts with a trigram beyond which it is used together with another one only
+RUN_GRAM, FEW = 6, 10_000  # code points of the runs of letters that pieces are looked up by; short needles that may be broadcast
+LETTERS, OTHERS = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 ENTITY_NEEDLES = 3
 
 
@@ -17,33 +21,74 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)))
 
 
+def pieces(low: Column) -> Column:
+    """The maximal runs of letters and digits of a text, and those of other signs."""
+    return F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (LETTERS, OTHERS)])
+
+
 def matches(texts: DataFrame, needles: DataFrame, text: str = "exact_text", frequent: int = FREQUENT) -> DataFrame:
     """(id, needle): each text with each needle it holds, whatever the case. `texts`: id, text; `needles`: needle.
 
-    Each distinct needle meets only texts with its rarest trigram, and, where more than `frequent` texts have that one,
-    with its second rarest too; those are verified whole. Needles of one or two code points go by their own posting lists of
-    runs of that length. Posting lists hold only what some needle has, once a text. Null and blank needles match nothing.
+    A text is cut into its runs of letters and digits and of other signs; the longest run of a needle lies inside one of
+    them. So each distinct run of all texts, not each text, is looked at for the needles' longest runs, and what is found
+    goes back to the texts by the posting lists of the runs. Only runs as long as the shortest such piece are listed, and
+    needles that are more than one run are verified whole. Needles whose runs are all shorter than three code points meet
+    the texts themselves, by the trigrams (or shorter, by the runs of one or two code points) they hold. Null and blank
+    needles match nothing.
     """
     wanted = needles.where(F.trim("needle") != "").select("needle", F.lower("needle").alias("low")).distinct()
-    wanted = written(wanted.withColumn("n", F.least(F.char_length("low"), F.lit(GRAM))), "needles")
-    each = lambda rows, low, n: rows.withColumn("gram", F.explode(F.when(n == 1, grams(low, 1)).when(n == 2, grams(low, 2)).otherwise(grams(low, GRAM))))
-    of_needle = each(wanted, F.col("low"), F.col("n"))
-    lengths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most GRAM numbers
+    longest = F.array_max(F.transform(pieces(F.col("low")), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("piece"))))
+    wanted = written(wanted.withColumn("x", longest).select("needle", "low", "x.n", "x.piece"), "needles")
+    known = wanted.agg(F.min(F.when(F.col("n") >= GRAM, F.col("n"))), F.count(F.when(F.col("n") < GRAM, 1)), F.count(F.when((F.col("n") >= GRAM) & (F.col("low") != F.col("piece")), 1))).first()
+    least, short, mixed = known
     low = texts.select("id", F.lower(text).alias("low"))
-    every = low.select("id", F.explode(F.concat(*[grams(F.col("low"), n) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("gram"))
-    postings = written(every.join(of_needle.select("gram").distinct(), "gram", "left_semi"), "postings")
+    parts = []
+    if short:
+        parts.append(_containing(low, wanted.where(F.col("n") < GRAM).select("needle", "low"), GRAM, frequent, short <= FEW))
+    if least is not None:
+        long = wanted.where(F.col("n") >= GRAM)
+        runs = F.array_distinct(F.filter(pieces(F.col("low")), lambda x: F.char_length(x) >= least))
+        postings = written(low.select("id", F.explode(runs).alias("run")), "runs")
+        each = postings.select(F.col("run").alias("id"), F.col("run").alias("low")).distinct()
+        inside = _containing(each, long.select(F.col("piece").alias("needle"), F.col("piece").alias("low")).distinct(), RUN_GRAM, frequent)
+        held = postings.join(inside.select(F.col("id").alias("run"), F.col("needle").alias("piece")), "run").select("id", "piece").distinct()
+        parts.append(held.join(long.where(F.col("low") == F.col("piece")).select("piece", "needle"), "piece").select("id", "needle"))
+        if mixed:
+            maybe = held.join(long.where(F.col("low") != F.col("piece")).select("piece", "needle", F.col("low").alias("wanted")), "piece")
+            parts.append(maybe.join(low, "id").where(F.contains("low", "wanted")).select("id", "needle"))
+    return reduce(DataFrame.unionByName, parts, low.select("id", F.lit("").alias("needle")).where("false"))
+
+
+def _containing(texts: DataFrame, wanted: DataFrame, gram: int, frequent: int, few: bool = False) -> DataFrame:
+    """(id, needle): texts (id, low) that hold needles (needle, low), all in lower case and distinct.
+
+    Each needle meets only texts with its rarest run of `gram` code points (a shorter needle: with itself), and, where
+    more than `frequent` texts have that one, with its second rarest too; those are verified whole, unless the run is the
+    needle. Posting lists hold only what some needle has, once a text.
+    """
+    wanted = written(wanted.withColumn("n", F.least(F.char_length("low"), F.lit(gram))), "wanted")
+    one_of = lambda low, n: F.coalesce(*[F.when(n == i, grams(low, i)) for i in range(1, gram + 1)])
+    of_needle = wanted.withColumn("gram", F.explode(one_of(F.col("low"), F.col("n"))))
+    lengths = sorted(r["n"] for r in wanted.select("n").distinct().collect())  # at most `gram` numbers
+    every = texts.select("id", F.explode(F.concat(*[grams(F.col("low"), n) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("gram"))
+    sought = of_needle.select("gram").distinct()
+    postings = written(every.join(F.broadcast(sought) if few else sought, "gram", "left_semi"), "postings")
 
     counted = of_needle.join(postings.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rarest = F.slice(F.sort_array(F.collect_list(F.struct("df", "gram"))), 1, 2)  # a needle is short
     keyed = counted.groupBy("needle", "low").agg(rarest.alias("r")).select("needle", "low", F.col("r")[0]["gram"].alias("gram"), F.col("r")[0]["df"].alias("df"), F.get("r", F.lit(1))["gram"].alias("second"))
     keyed = written(keyed.where("df > 0"), "needle-grams")
+    itself = F.col("gram") == F.col("low")
+    sure = keyed.where(itself).join(postings, "gram").select("id", "needle")
     alone = (F.col("df") <= frequent) | F.col("second").isNull()
-    one = keyed.where(alone).join(postings, "gram").select("id", "needle", "low")
-    pairs = keyed.where(~alone).select("gram", "second").distinct()
+    one = keyed.where(~itself & alone).join(postings, "gram").select("id", "needle", "low")
+    pairs = keyed.where(~itself & ~alone).select("gram", "second").distinct()
     both = pairs.join(postings, "gram").join(postings.select("id", F.col("gram").alias("second")), ["id", "second"], "left_semi")
-    two = keyed.where(~alone).join(both, ["gram", "second"]).select("id", "needle", "low")
-    found = one.unionByName(two).join(low.withColumnRenamed("low", "whole"), "id")
-    return found.where(F.contains("whole", "low")).select("id", "needle")
+    two = keyed.where(~itself & ~alone).join(both, ["gram", "second"]).select("id", "needle", "low")
+    maybe = one.unionByName(two)
+    if lengths and lengths[-1] == gram:  # else all needles are their own runs
+        sure = sure.unionByName(maybe.join(texts.withColumnRenamed("low", "whole"), "id").where(F.contains("whole", "low")).select("id", "needle"))
+    return sure
 
 
 def entity_needles(prompts: DataFrame, vocabulary: DataFrame | None = None, most: int = ENTITY_NEEDLES, text: str = "text") -> DataFrame:

@@ -102,6 +102,24 @@ def test_matches_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_many_texts_are_looked_up_by_their_distinct_runs(spark, monkeypatch):
+    """Posting lists of grams grow with the distinct runs of letters, not with the texts; needles of several runs are verified."""
+    sizes, keep = {}, needles.written
+
+    def counted(df, name="step"):
+        out = keep(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(needles, "written", counted)
+    texts = spark.range(400).select("id", F.concat(F.lit("configuration, reload-server "), F.col("id").cast("string")).alias("text"))
+    wanted = spark.createDataFrame([(w,) for w in ["figura", "reload", "load-serv", "server 7", "server 39", "reload server"]], "needle string")
+    got = sorted((r["id"], r["needle"]) for r in needles.matches(texts, wanted, "text").collect())
+    plain = texts.join(wanted, F.contains(F.lower("text"), F.lower("needle")))
+    assert got == sorted((r["id"], r["needle"]) for r in plain.collect()) and len(got) > 1200
+    assert sizes["postings"] < 20
+
+
 PROMPTS = [
     "see src/lib/a.ts and Foo.Bar on k8s with claude-memory",
     "phantom runs sha256 on NASA's phantom-host, and on git",
