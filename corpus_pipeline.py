@@ -59,20 +59,21 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 @with_further_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order of the mixture, whose place the last stage works out again and keeps."""
+    """All rows, in the order of the mixture: the last stage takes their places from the order in the files."""
     return mixing.mix(docs)
 
 
 def to_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, mix_slot, mix_place, n_tokens, ids, and digests of the ids and of the bytes they decode to.
 
-    The place in the mixture is worked out again (it depends on doc_id and source alone), as no order of rows survives
-    the files between the stages: sorted by (mix_slot, mix_place) the rows are the mixture.
+    The place in the mixture is that of the row in the files that mix_sources wrote: sorted by (mix_slot, mix_place) the
+    rows are the mixture. Of rows that are not read from files, which have no order, it is worked out again.
     """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    placed = mixing.schedule(docs.select("doc_id", "lang", "source", "text"))
+    rows = docs.select("doc_id", "lang", "source", "text")
+    placed = mixing.places_of_files(rows) if docs.inputFiles() else mixing.schedule(rows)
     placed = written(placed.select("doc_id", "lang", "source", "mix_slot", "mix_place", "text"), "placed")
     encoded = byte_pairs.encode(placed, path, public_tokenizers.PATTERN).drop("text")
     both = byte_pairs.decode(encoded, path)

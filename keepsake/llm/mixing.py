@@ -164,5 +164,44 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def places_of_files(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """`docs`, read from files that `mix` wrote, with mix_slot and mix_place, which the order of the rows in these files tells.
+
+    Rows of one source in a row are whole blocks, of which the source's last one may be shorter: a block begins where the
+    source changes and after every `block_docs` rows. What a file needs of those before it are sums and the last row of each.
+    """
+    source, of_file = F.coalesce(F.col("source").cast("string"), F.lit("")), Window.partitionBy("__f").orderBy("__i")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*kept, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__i"), source.alias("__s"))
+    upto = of_file.rowsBetween(Window.unboundedPreceding, 0)
+
+    def first_of(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__start", F.coalesce(F.lag("__s").over(of_file) != F.col("__s"), F.lit(True)))
+
+    spans = first_of(rows.select("__f", "__i", "__s")).groupBy("__f").agg(
+        F.count("*").alias("n"), F.min_by("__s", "__i").alias("first"), F.max_by("__s", "__i").alias("last"), F.max(F.when(F.col("__start"), F.col("__i"))).alias("at")
+    )
+    known, files, n, last, start, slots = sorted(spans.collect()), [], 0, None, 0, 0  # a row a file
+    for r in known:
+        goes_on = r["first"] == last
+        files.append((r["__f"], n, goes_on, start))
+        start = n + r["at"] if r["at"] or not goes_on else start
+        n, last = n + r["n"], r["last"]
+    spark = docs.sparkSession
+    bases = spark.createDataFrame(files, "__f string, __n long, __on boolean, __before long")
+    placed = first_of(rows).join(F.broadcast(bases), "__f")
+    begins = F.when(F.col("__start") & ~((F.col("__i") == 0) & F.col("__on")), F.col("__n") + F.col("__i"))
+    placed = placed.withColumn("__at", F.coalesce(F.max(begins).over(upto), "__before"))
+    placed = placed.withColumn("mix_place", ((F.col("__n") + F.col("__i") - F.col("__at")) % block_docs).cast("int"))
+    heads = {r["__f"]: r["heads"] for r in placed.where("mix_place = 0").groupBy("__f").agg(F.count("*").alias("heads")).collect()}
+    sums = []
+    for f, *_ in files:
+        sums.append((f, slots))
+        slots += heads.get(f, 0)
+    sums = spark.createDataFrame(sums, "__f string, __slots long")
+    slot = F.col("__slots") + F.sum((F.col("mix_place") == 0).cast("long")).over(upto) - 1
+    return placed.join(F.broadcast(sums), "__f").select(*kept, slot.alias("mix_slot"), "mix_place")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -631,6 +631,20 @@ def test_pipeline_result_holds_the_mixture(spark, tmp_path):
     assert {d: (r["mix_slot"], r["mix_place"]) for d, r in got.items()} == expected
 
 
+def test_token_ids_follow_the_order_that_mix_sources_wrote(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "b").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    found = []
+    for name, rows in (("mixed", mixed), ("plain", docs.coalesce(2))):
+        rows.write.parquet(str(tmp_path / name))
+        read = spark.read.parquet(str(tmp_path / name))
+        found.append({r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in corpus_pipeline.to_token_ids(spark, read, "").collect()})
+    assert found[0] == {r["doc_id"]: (r["mix_slot"], r["mix_place"]) for r in mixing.schedule(docs).collect()}
+    assert found[1] != found[0]  # without the stage the places are others
+
+
 # op8: pruning
 
 
