@@ -11,6 +11,7 @@ from keepsake.functions import text as tx
 from keepsake.runtime import written
 
 GRAM, FREQUENT = 3, 100_000  # texts with a trigram beyond which it is used together with another one only
+LITERAL = 32  # needles up to which each text is simply searched for all
 RUN_GRAM, FEW = 6, 10_000  # code points of the runs of letters that pieces are looked up by; short needles that may be broadcast
 LETTERS, OTHERS = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}]+"
 ENTITY_NEEDLES = 3
@@ -26,7 +27,7 @@ def pieces(low: Column) -> Column:
     return F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (LETTERS, OTHERS)])
 
 
-def matches(texts: DataFrame, needles: DataFrame, text: str = "exact_text", frequent: int = FREQUENT) -> DataFrame:
+def matches(texts: DataFrame, needles: DataFrame, text: str = "exact_text", frequent: int = FREQUENT, literal: int = LITERAL) -> DataFrame:
     """(id, needle): each text with each needle it holds, whatever the case. `texts`: id, text; `needles`: needle.
 
     A text is cut into its runs of letters and digits and of other signs; the longest run of a needle lies inside one of
@@ -34,7 +35,7 @@ def matches(texts: DataFrame, needles: DataFrame, text: str = "exact_text", freq
     goes back to the texts by the posting lists of the runs. Only runs as long as the shortest such piece are listed, and
     needles that are more than one run are verified whole. Needles whose runs are all shorter than three code points meet
     the texts themselves, by the trigrams (or shorter, by the runs of one or two code points) they hold. Null and blank
-    needles match nothing.
+    needles match nothing. As few as `literal` needles are looked for in each text where it is read, without any list.
     """
     wanted = needles.where(F.trim("needle") != "").select("needle", F.lower("needle").alias("low")).distinct()
     longest = F.array_max(F.transform(pieces(F.col("low")), lambda x: F.struct(F.char_length(x).alias("n"), x.alias("piece"))))
@@ -42,6 +43,9 @@ def matches(texts: DataFrame, needles: DataFrame, text: str = "exact_text", freq
     known = wanted.agg(F.min(F.when(F.col("n") >= GRAM, F.col("n"))), F.count(F.when(F.col("n") < GRAM, 1)), F.count(F.when((F.col("n") >= GRAM) & (F.col("low") != F.col("piece")), 1))).first()
     least, short, mixed = known
     low = texts.select("id", F.lower(text).alias("low"))
+    if (few := wanted.select("needle").limit(literal + 1).collect()) and len(few) <= literal:
+        held = [F.when(F.contains("low", F.lower(F.lit(r["needle"]))), F.lit(r["needle"])) for r in few]
+        return low.select("id", F.explode(F.array_compact(F.array(*held))).alias("needle"))
     parts = []
     if short:
         parts.append(_containing(low, wanted.where(F.col("n") < GRAM).select("needle", "low"), GRAM, frequent, short <= FEW))

@@ -10,7 +10,7 @@ from keepsake.plans import sweep
 from keepsake.queries.base import COS, EV, MEM, mem, query, r6
 from keepsake.queries.maintaining import CO, _edges
 from keepsake.queries.searching import LOOSE, RATIO
-from keepsake.runtime import table
+from keepsake.runtime import table, written
 
 WORDS_OF_QUERIES = r"""
 words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}]{7,}')) AS needle FROM documents WHERE doc_id % 50 = 0),
@@ -130,7 +130,7 @@ def _prompts(m):
 
 @query("settings_sweep", SWEEP_SQL)
 def settings_sweep(spark, d):
-    m = mem(spark, d)
+    m = written(mem(spark, d), "records")  # read by many steps, each of which would join the texts of all documents again
     pad = lambda c: F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 6, "0")).alias(c)
     edges = _edges(spark, d).select(pad("source"), pad("target"), "kind", "weight")
     rows, wanted = _prompts(m)

@@ -9,6 +9,7 @@ from keepsake.queries.base import MEM, NOW, mem, query, vector_of
 from keepsake.queries.maintaining import LOOSE, _edges
 from keepsake.queries.searching import LOOSE as SEARCH
 from keepsake.queries.searching import NEEDLES
+from keepsake.runtime import written
 
 NAMES = ["stale", "low-usage", "zero-usage", "stale-unused", "promotion"]
 
@@ -54,7 +55,7 @@ def maintenance_report(spark, d):
 
 @query("retrieval_plan", None)
 def retrieval_plan(spark, d):
-    m = mem(spark, d)
+    m = written(mem(spark, d), "records")  # read by many steps, each of which would join the texts of all documents again
     pad = lambda c: F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 6, "0")).alias(c)
     edges = _edges(spark, d).select(pad("source"), pad("target"), "kind", "weight")
     s = SEARCH.using(min_expanded_score=0.05)

@@ -102,6 +102,21 @@ def test_matches_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("frequent", [0, 1, 100_000])
+def test_matches_by_lists_equal_contains(spark, frequent):
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    wanted = spark.createDataFrame([(w,) for w in WANTED * 2], "needle string")
+    got = sorted((r["id"], r["needle"]) for r in needles.matches(texts, wanted, "text", frequent, literal=0).collect())
+    plain = texts.join(wanted.where("trim(needle) <> ''").distinct(), F.contains(F.lower("text"), F.lower("needle")))
+    assert got == sorted((r["id"], r["needle"]) for r in plain.collect()) and len(got) > 15
+
+
+def test_few_needles_shuffle_no_texts(spark):
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    plan = needles.matches(texts, spark.createDataFrame([("abc",)], "needle string"), "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_many_texts_are_looked_up_by_their_distinct_runs(spark, monkeypatch):
     """Posting lists of grams grow with the distinct runs of letters, not with the texts; needles of several runs are verified."""
     sizes, keep = {}, needles.written
@@ -114,7 +129,7 @@ def test_many_texts_are_looked_up_by_their_distinct_runs(spark, monkeypatch):
     monkeypatch.setattr(needles, "written", counted)
     texts = spark.range(400).select("id", F.concat(F.lit("configuration, reload-server "), F.col("id").cast("string")).alias("text"))
     wanted = spark.createDataFrame([(w,) for w in ["figura", "reload", "load-serv", "server 7", "server 39", "reload server"]], "needle string")
-    got = sorted((r["id"], r["needle"]) for r in needles.matches(texts, wanted, "text").collect())
+    got = sorted((r["id"], r["needle"]) for r in needles.matches(texts, wanted, "text", literal=0).collect())
     plain = texts.join(wanted, F.contains(F.lower("text"), F.lower("needle")))
     assert got == sorted((r["id"], r["needle"]) for r in plain.collect()) and len(got) > 1200
     assert sizes["postings"] < 20
