@@ -16,9 +16,13 @@ def _folder(spark):
     return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def _parts(rows, part):
+    return sorted(r[0] for r in rows.select(part.alias("part")).distinct().collect())  # a handful
+
+
 def _in_parts(rows, part, folder):
     """Files of `rows`, one for each number of `part`, written in its order; read as a stream a file a batch."""
-    for n in sorted(r[0] for r in rows.select(part).distinct().collect()):  # a handful
+    for n in _parts(rows, part):
         rows.where(part == n).coalesce(1).write.mode("append").parquet(folder)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
@@ -29,6 +33,14 @@ def _run(stream, folder):
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _run_parts(rows, part, folder, of):
+    """What the stream `of` the files appends, when the rows of each number of `part` come in turn, each in one batch by many tasks."""
+    for n in _parts(rows, part):
+        rows.where(part == n).write.mode("append").parquet(f"{folder}/in")
+        found = _run(of(rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")), folder)
+    return found
+
+
 @query(
     "session_states",
     f"""
@@ -45,8 +57,7 @@ def session_states(spark, d):
     )
     most = e.agg(F.max("seq")).first()[0]
     folder = _folder(spark)
-    stream = _in_parts(e, F.floor(F.col("seq") * 3 / (most + 1)), f"{folder}/in")
-    found = _run(sessions.session_states(stream, LOOSE.using(recently_injected_window=3)), folder)
+    found = _run_parts(e, F.floor(F.col("seq") * 3 / (most + 1)), folder, lambda rows: sessions.session_states(rows, LOOSE.using(recently_injected_window=3)))
     last = found.groupBy("session").agg(F.max_by(F.struct("version", "ids"), "seq").alias("x"))
     return last.select("session", F.size("x.ids").cast("long").alias("held"), F.array_join("x.ids", ",").alias("ids"), "x.version")
 
@@ -67,8 +78,7 @@ def growing_transcripts(spark, d):
     """Conversations that come in three files: new turns, with the two user turns before them."""
     c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").cast("long").alias("seq"), "role", "text")
     folder = _folder(spark)
-    stream = _in_parts(c, F.least(F.lit(2), F.floor(F.col("seq") / 3)), f"{folder}/in")
-    return _run(sessions.growing_events(stream, 2), folder).select("key", "emission", "seq", "is_new")
+    return _run_parts(c, F.least(F.lit(2), F.floor(F.col("seq") / 3)), folder, lambda rows: sessions.growing_events(rows, 2)).select("key", "emission", "seq", "is_new")
 
 
 def _ingest_rows(m):

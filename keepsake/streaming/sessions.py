@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keepsake.settings import Settings
 
-SESSION_STATE = "ids array<string>, previous array<double>, version long, at long"
+SESSION_STATE = "sessions array<string>, ids array<array<string>>, previous array<array<double>>, version array<long>, at array<long>"
+BUCKETS = 2**12  # groups of sessions that share a state: a call costs milliseconds, however few sessions it has
+Row = namedtuple("Row", ["session", "seq", "kind", "ids", "embedding", "expected", "ts_ms"])
 EVENTS_STATE = "emissions long, last long, seqs array<long>, roles array<string>, texts array<string>"
 SESSION_OUT = "session string, seq long, kind string, accepted boolean, version long, similarity double, cleared int, ids array<string>"
 EVENTS_OUT = "key string, emission long, seq long, role string, text string, is_new boolean"
@@ -59,30 +62,39 @@ def session_states(events: DataFrame, s: Settings, ttl_ms: int | None = None, la
     the list is cleared; then its embedding is kept. A write that expects another version than there is is refused (a
     topic shift clears the list all the same). With `ttl_ms`, `events` has their time `ts` too, and a session is forgotten
     once the watermark, `late` behind the newest event, is so far past its last one; events before the watermark are lost.
-    Times are those of events, as a stream that waits for the clock never ends over all there is.
+    Times are those of events, as a stream that waits for the clock never ends over all there is. The states of the
+    sessions of a bucket are held as one, as a call a session costs more than its events do.
     """
     window, threshold = s.recently_injected_window, s.topic_change_threshold
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        states = {x[0]: (list(x[1]), None if x[2] is None else list(x[2]), int(x[3]), int(x[4])) for x in zip(*state.get, strict=True)} if state.exists else {}
+        out, came = [], set()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["session", "seq", "kind"])
+            for r in map(Row._make, zip(*[rows[c].to_numpy(object) for c in Row._fields], strict=True)):
+                *held, at = states.get(r.session, ([], None, 0, 0))
+                held, said = step(tuple(held), r, window, threshold)
+                states[r.session] = (*held, max(at, int(r.ts_ms)))
+                came.add(r.session)
+                out.append((r.session, r.seq, r.kind, said[0], held[2], said[1], said[2], held[0]))
+        if ttl_ms is not None:  # sessions with new events stay, as the clock is looked at after them
+            gone = state.getCurrentWatermarkMs()
+            states = {k: x for k, x in states.items() if k in came or x[3] + ttl_ms >= gone}
+        if not states:
             state.remove()
             return
-        ids, previous, version, at = state.get if state.exists else ([], None, 0, 0)
-        held, out = (list(ids), None if previous is None else list(previous), int(version)), []
-        rows = pd.concat(list(batches)).sort_values(["seq", "kind"])
-        at = max(int(at), int(rows["ts_ms"].max()))
-        for r in rows.itertuples():
-            held, said = step(held, r, window, threshold)
-            out.append((key[0], r.seq, r.kind, said[0], held[2], said[1], said[2], list(held[0])))
-        state.update((*held, at))
+        state.update(tuple(list(c) for c in zip(*[(k, *x) for k, x in states.items()], strict=True)))
         if ttl_ms is not None:
-            state.setTimeoutTimestamp(max(at + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["session", "seq", "kind", "accepted", "version", "similarity", "cleared", "ids"])
+            state.setTimeoutTimestamp(max(min(x[3] for x in states.values()) + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["session", "seq", "kind", "accepted", "version", "similarity", "cleared", "ids"])
 
     timed = events if ttl_ms is None else events.withWatermark("ts", late)
     rows = timed.select("session", "seq", "kind", "ids", "embedding", "expected", *([] if ttl_ms is None else ["ts"]), (F.lit(0) if ttl_ms is None else F.unix_millis("ts")).alias("ts_ms"))
     timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("session").applyInPandasWithState(run, SESSION_OUT, SESSION_STATE, "append", timeout)
+    bucket = F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).cast("int")
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(run, SESSION_OUT, SESSION_STATE, "append", timeout)
 
 
 def growing_events(events: DataFrame, overlap: int) -> DataFrame:

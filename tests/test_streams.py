@@ -75,6 +75,22 @@ def test_a_session_is_forgotten_after_its_time(spark, tmp_path):
     assert got == {1: (1, ["a"]), 2: (1, ["b"]), 3: (2, ["b", "c"]), 4: (1, ["d"])}
 
 
+def test_sessions_of_a_bucket_share_a_state_and_are_told_apart(spark, tmp_path, monkeypatch):
+    """One bucket: each session has its own list, version and end of life, and one state row is held for all."""
+    monkeypatch.setattr(sessions, "BUCKETS", 1)
+    rows = session_rows()
+    s = Settings(recently_injected_window=3, topic_change_threshold=0.2)
+    stream = started(spark, rows, EVENTS, [range(25), range(25, 26), range(26, 60)], str(tmp_path / "in"))
+    got = {(r.session, r.seq): (r.accepted, r.version, None if r.similarity is None else round(r.similarity, 9), r.cleared, list(r.ids)) for r in ran(sessions.session_states(stream, s), str(tmp_path))}
+    assert got == replay(rows, 3, 0.2)
+    assert spark.read.format("statestore").load(str(tmp_path / "cp")).count() == 1
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    rows = [("s", 1, "inject", ["a"], None, None, day(0)), ("t", 2, "inject", ["b"], None, None, day(40)), ("t", 3, "inject", ["c"], None, None, day(41)), ("s", 4, "inject", ["d"], None, None, day(42))]
+    stream = started(spark, rows, EVENTS, [[0], [1], [2], [3]], str(tmp_path / "in2"))
+    got = {r.seq: (r.version, list(r.ids)) for r in ran(sessions.session_states(stream, Settings(), ttl_ms=30 * 86_400_000), str(tmp_path / "timed"))}
+    assert got == {1: (1, ["a"]), 2: (1, ["b"]), 3: (2, ["b", "c"]), 4: (1, ["d"])}
+
+
 @pytest.mark.parametrize("overlap", [0, 1, 2])
 def test_growing_events_equal_the_batch_form(spark, tmp_path, overlap):
     rng = np.random.default_rng(overlap)
