@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from keepsake.runtime import written
 
-GROUP, BLOCK = 4096, 512  # rows of one side of a cell of the similarity join, and of those worked on at a time
+# rows of the seeds and of the pool in a cell of the similarity join, and of those worked on at a time
+SEEDS, GROUP, BLOCK = 16_384, 131_072, 512
+# where each seed may have more neighbours than MANY, both sides of a cell have at most SMALL rows
+MANY, SMALL = 1024, 4096
+# a cell of more than PAIRS pairs is cut into further groups of seeds, up to SPREAD
+PAIRS, SPREAD = 2**29, 24
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,7 +72,9 @@ def neighbours(
 
     Global rows are compared in joins of their own, so only they meet other groups. Both sides of a join are dealt to
     cells of bounded size: a grid inside equal `same` values, sized by that group, so rows of small groups are not
-    copied. A cell is worked through in blocks of rows, keeps at most k a seed, and a window merges the cells.
+    copied. A cell is worked through in blocks of rows, keeps at most k a seed, and a window merges the cells. All pairs
+    are compared, so products grow with the square of a group; what is shuffled is a row for every SEEDS rows of the
+    other side.
     """
     keep = ["id", "embedding", *dict.fromkeys([*same, *([differ] if differ else []), *(["scope"] if or_global else [])])]
     seeds, pool = (df.select(*[F.col(c).alias(c) for c in keep]).where(valid()).withColumn("dims", F.size("embedding")) for df in (seeds, pool))  # new columns, also of one table
@@ -92,13 +99,93 @@ def best_of_each_row(close: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     return np.nonzero((above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= spare))) & np.isfinite(close))
 
 
+def cosines(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Products of the rows of x with the columns of y, which do not depend on where these are."""
+    out = np.empty(len(rows))
+    for a in range(0, len(rows), 8192):
+        out[a : a + 8192] = np.einsum("nd,nd->n", x[rows[a : a + 8192]], y[cols[a : a + 8192]])
+    return out
+
+
+def places_reaching(close: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the values that reach their row's `low`; rows whose greatest value doesn't are not searched."""
+    low = low.astype(close.dtype)
+    some = np.flatnonzero(close.max(axis=1) >= low)
+    rows, cols = np.divmod(np.flatnonzero(close[some] >= low[some, None]), close.shape[1])
+    return some[rows], cols
+
+
+def first_copies(y: np.ndarray, codes: list[np.ndarray], k: int) -> np.ndarray:
+    """Places of the rows of y that can be among a seed's k best: of rows equal in vector and in all codes but the first,
+    that of the id, those of the k + 1 smallest ids, as one may be the seed's own. Rows are in the order of their ids."""
+    salt = np.random.default_rng(0).integers(1, 2**62, y.shape[1], dtype=np.int64) * 2 + 1
+    rows = pd.DataFrame({"vector": ((y + 0.0).view(np.int64) * salt).sum(axis=1), **{str(i): c for i, c in enumerate(codes[1:])}})
+    groups = rows.groupby(list(rows.columns), sort=False)
+    if groups.size().max() <= k + 1:
+        return np.arange(len(y))
+    group = groups.ngroup().to_numpy()
+    lead = np.unique(group, return_index=True)[1][group]
+    _, first, which = np.unique(codes[0], return_index=True, return_inverse=True)
+    place = pd.Series(first[which]).groupby(group, sort=False).rank("dense").to_numpy()  # first places of ids are in their order
+    return np.flatnonzero((place <= k + 1) | (y != y[lead]).any(axis=1))
+
+
+def best_in_cell(x: np.ndarray, y: np.ndarray, mine: list[np.ndarray], others: list[np.ndarray], k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, cosine): of each row of x the k rows of y of greatest cosine at or above the threshold, of equal ones the leftmost; pairs that agree in a code of `mine` and `others` take no part. Vectors are of length one.
+
+    Products in single precision tell which pairs can be among these: those that reach the row's floor, the k-th best so
+    far, but for the error of such a product. These pairs alone get products in double precision.
+    """
+    error = (x.shape[1] + 4) * 2.0**-23  # twice the bound for unit vectors
+    thin_x, thin_y, parts = x.astype(np.float32), y.astype(np.float32), []
+    for a in range(0, len(x), BLOCK):
+        n = min(BLOCK, len(x) - a)
+        floor, found, waiting = np.full(n, float(threshold)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        for c in range(0, len(y), BLOCK):
+            m = min(BLOCK, len(y) - c)
+            close = thin_x[a : a + n] @ thin_y[c : c + m].T
+            rows, cols = places_reaching(close, floor - error)
+            if len(rows) > 4 * k * n:  # many: the block's own k-th best is a floor
+                for u, v in zip(mine, others, strict=True):
+                    close[u[a : a + n, None] == v[None, c : c + m]] = -np.inf
+                floor = np.maximum(floor, np.partition(close, m - k, axis=1)[:, m - k] - error)
+                rows, cols = places_reaching(close, floor - error)
+            for u, v in zip(mine, others, strict=True):
+                unlike = u[rows + a] != v[cols + c]
+                rows, cols = rows[unlike], cols[unlike]
+            value = cosines(x, y, rows + a, cols + c)
+            enough = value >= floor[rows]
+            rows, cols, value = rows[enough], cols[enough], value[enough]
+            if len(rows) > 4 * k * n:  # still many: about as near as each other
+                whole = np.full((n, m), -np.inf)
+                whole[rows, cols] = value
+                rows, cols = best_of_each_row(whole, k)
+                value = whole[rows, cols]
+            found.append((rows, cols + c, value))
+            waiting += len(rows)
+            if waiting > 2 * k * n or (k < len(y) and c + m == len(y)):
+                rows, cols, value = (np.concatenate(p) for p in zip(*found, strict=True))
+                order = np.lexsort((cols, -value, rows))
+                rows, cols, value = rows[order], cols[order], value[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                last = place == k - 1
+                floor[rows[last]] = value[last]
+                found, waiting = [(rows[place < k], cols[place < k], value[place < k])], 0
+        parts += [(rows + a, cols, value) for rows, cols, value in found]
+    rows, cols, value = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return rows, cols, value
+
+
 def _grid(seeds: DataFrame, pool: DataFrame, k: int, threshold: float, same: tuple[str, ...], unlike: tuple[str, ...]) -> DataFrame:
     """(id, other, similarity): at most k a seed and cell, `same` and dims equal, `unlike` columns different."""
     fixed = ("dims", *same)
     group = F.struct(*fixed)
-    cells = lambda df, name: df.groupBy(group.alias("g")).agg(F.ceil(F.count("*") / GROUP).cast("int").alias(name))
+    rows_of = lambda df, name: df.groupBy(group.alias("g")).agg(F.count("*").alias(name))
+    a, b = (min(most, GROUP) for most in ((SEEDS, GROUP) if k <= MANY else (SMALL, SMALL)))
+    ni = F.greatest(F.ceil(F.col("seeds") / a), F.least(F.ceil(F.col("seeds").cast("double") * F.col("pool") / PAIRS), F.lit(SPREAD), F.col("seeds")))
     # written first, so that the rows' join alone is dealt by group and a hot one can be split
-    sizes = written(cells(seeds, "ni").join(cells(pool, "nj"), "g"), "grid-sizes")
+    sizes = rows_of(seeds, "seeds").join(rows_of(pool, "pool"), "g")
+    sizes = written(sizes.select("g", ni.cast("int").alias("ni"), F.ceil(F.col("pool") / b).cast("int").alias("nj")), "grid-sizes")
     deal = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = seeds.withColumn("g", group).join(sizes, "g").withColumn("i", deal("ni")).withColumn("j", every("nj")).drop("g", "ni", "nj")
@@ -106,25 +193,19 @@ def _grid(seeds: DataFrame, pool: DataFrame, k: int, threshold: float, same: tup
 
     def unit(rows: pd.DataFrame) -> np.ndarray:
         x = np.stack(rows["embedding"].to_numpy()).astype(float)
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # so that no square is out of range
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def cell(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": object, "other": object, "similarity": float})
         if not len(mine) or not len(others):
-            return nothing
+            return pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": object, "other": object, "similarity": float})
         others = others.sort_values("id", kind="stable")  # so that the leftmost of equal values is the smaller id
-        codes = {c: pd.factorize(np.concatenate((mine[c].to_numpy(object), others[c].to_numpy(object))))[0] for c in ("id", *unlike)}
-        x, y, n, parts = unit(mine), unit(others).T, len(mine), []
-        for a in range(0, n, BLOCK):
-            b = min(a + BLOCK, n)
-            close = x[a:b] @ y
-            close[close < threshold] = -np.inf
-            for c in codes.values():
-                close[c[a:b, None] == c[None, n:]] = -np.inf
-            rows, cols = best_of_each_row(close, k)
-            parts.append((rows + a, cols, close[rows, cols]))
-        rows, cols, close = (np.concatenate(p) for p in zip(*parts, strict=True))
-        return pd.DataFrame({"id": mine["id"].to_numpy(object)[rows], "other": others["id"].to_numpy(object)[cols], "similarity": close})
+        n, y = len(mine), unit(others)
+        codes = [pd.factorize(np.concatenate((mine[c].to_numpy(object), others[c].to_numpy(object))))[0] for c in ("id", *unlike)]
+        own, their = [c[:n] for c in codes], [c[n:] for c in codes]
+        kept = first_copies(y, their, k)
+        rows, cols, close = best_in_cell(unit(mine), y[kept], own, [c[kept] for c in their], k, threshold)
+        return pd.DataFrame({"id": mine["id"].to_numpy(object)[rows], "other": others["id"].to_numpy(object)[kept[cols]], "similarity": close})
 
     keys = [*fixed, "i", "j"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, "id string, other string, similarity double")

@@ -80,6 +80,60 @@ def test_a_full_cell_without_threshold_is_quick(spark):
     assert time.time() - began < 20
 
 
+def vectors_and_ids(spark, x, ids=None):
+    ids = [f"i{i:05}" for i in range(len(x))] if ids is None else ids
+    return spark.createDataFrame(pd.DataFrame({"id": ids, "type": ["xyz"[i % 3] for i in range(len(x))], "embedding": x.tolist()})).repartition(4)
+
+
+def test_a_large_pool_gives_few_rows_a_seed(spark):
+    df = vectors_and_ids(spark, np.random.default_rng(4).normal(size=(9000, 8)))
+    seeds, pool = (d.select(*[F.col(c).alias(c) for c in df.columns], F.lit(8).alias("dims")) for d in (df.where("id < 'i00005'"), df))
+    assert vectors._grid(seeds, pool, 2, -1.0, (), ("type",)).count() == 5 * 2  # one group of the pool, not three
+
+
+@pytest.mark.parametrize("how", [{"k": 3}, {"k": 3, "differ": "type"}, {"k": 2**31 - 1, "same": ("project",)}])
+def test_neighbours_with_seeds_dealt_further(awkward, how, monkeypatch):
+    for name, value in {"SEEDS": 20, "PAIRS": 200, "SPREAD": 5, "GROUP": 16, "SMALL": 9, "BLOCK": 7}.items():
+        monkeypatch.setattr(vectors, name, value)
+    rows, df = awkward
+    k, how = how["k"], {c: v for c, v in how.items() if c != "k"}
+    got = sorted((r["id"], r["other"], r["rank"]) for r in vectors.neighbours(df, df, k, 0.1, **how).collect())
+    assert got == brute_neighbours(rows, k, 0.1, **how)
+
+
+@pytest.mark.parametrize("k", [1, 3, 12, 2**31 - 1])
+@pytest.mark.parametrize("threshold", [-2.0, 0.3, 0.9999999])
+def test_best_in_cell_equals_double_precision(k, threshold, monkeypatch):
+    """Also with copies, and with vectors that single precision can't tell apart."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 16))
+    y = np.concatenate((base, base[:50], base[:1] + rng.normal(size=(200, 16)) * 1e-9, base[:1].repeat(100, 0)))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    mine = [np.arange(len(y)), np.arange(len(y)) % 4]
+    close = np.stack([vectors.cosines(y, y, np.full(len(y), i), np.arange(len(y))) for i in range(len(y))])
+    close[(close < threshold) | (mine[1][:, None] == mine[1][None])] = -np.inf
+    rows, cols = vectors.best_of_each_row(close, k)
+    want = list(zip(rows.tolist(), cols.tolist(), close[rows, cols].tolist(), strict=True))
+    assert sorted(zip(*(p.tolist() for p in vectors.best_in_cell(y, y, mine, mine, k, threshold)), strict=True)) == want and want
+
+
+def test_many_copies_meet_those_of_the_smallest_ids(spark):
+    x = np.concatenate((np.ones((6000, 8)), np.random.default_rng(6).normal(size=(50, 8))))
+    kept = vectors.first_copies(x, [np.arange(len(x)), np.arange(len(x)) % 3], 4)
+    assert kept.tolist() == [*range(15), *range(6000, 6050)]
+    df = vectors_and_ids(spark, x)
+    got = {r["id"]: [n[1] for n in sorted(r["n"])] for r in vectors.neighbours(df, df, 4, 0.999, differ="type").groupBy("id").agg(F.collect_list(F.struct("rank", "other")).alias("n")).collect()}
+    want = {t: [f"i{i:05}" for i in range(8) if i % 3 != t][:4] for t in range(3)}
+    assert got == {f"i{i:05}": want[i % 3] for i in range(6000)}
+
+
+def test_neighbours_of_very_small_and_very_large_vectors(spark):
+    df = vectors_and_ids(spark, np.array([[1e300, 2e300], [1e-300, 2e-300], [1.0, 2.0], [5e-324, 0.0]]))
+    got = {(r["id"], r["other"]): round(r["similarity"], 9) for r in vectors.neighbours(df, df, 3, 0.0).collect()}
+    assert got == {(f"i0000{a}", f"i0000{b}"): round(5**-0.5, 9) if 3 in (a, b) else 1.0 for a in range(4) for b in range(4) if a != b}
+
+
 # ---- needles
 
 TEXTS = ["Straße am Fluß", "ABC abc", "a", "", None, "x%y_z\\", "日本語のテキスト", "😀 smile 😀😀", "line\nbreak", "needle in a haystack", "NEEDLE", "nee dle", "aaaa", "İstanbul"]
