@@ -50,13 +50,20 @@ def candidates(records_df: DataFrame, prompts: DataFrame, needles: DataFrame, ar
     enough = (F.col("similarity") >= F.col("s.min_semantic_similarity")) & (F.col("similarity") + F.col("ratio") * F.col("s.usage_ratio_weight") >= F.col("s.min_semantic_only_score"))
     like = like.where((F.col("rank") <= _pool()) & enough).select(*KEY, "id", "similarity", F.lit(False).alias("word"))
 
-    wanted = needles.join(prompts.select("prompt", "project", "ancestors"), "prompt")
-    hits = nd.matches(live, needles).join(wanted, "needle").join(facts, "id").where(F.col("id") != F.col("prompt"))
-    own = (F.col("__project") == F.col("project")) | F.array_contains(F.coalesce("ancestors", F.array().cast("array<string>")), F.col("__project")) | (F.col("__scope") == "global")
-    hits = hits.where(F.coalesce(own, F.lit(False))).select("prompt", "id", "needle", "entity", "ratio")
-    hits = under(hits, arms, ("max_records", "enable_entity_keywords")).where(~F.col("entity") | F.col("s.enable_entity_keywords"))
-    first = F.row_number().over(Window.partitionBy(*KEY, "needle").orderBy("id"))
-    hits = hits.withColumn("__first", first).where(F.col("__first") <= _pool()).groupBy(*KEY, "id").agg(F.first("ratio").alias("ratio"), F.first("s").alias("s"))
+    # a prompt's words are looked for in the groups of records it can see; of each word and group only the first records count
+    of_project, none = lambda c: F.concat(F.lit("in "), c), F.array().cast("array<string>")
+    seen = F.concat(F.array("project"), F.coalesce("ancestors", none))
+    groups = F.concat(F.transform(F.array_compact(F.array_distinct(seen)), of_project), F.array(F.lit("global")))
+    wanted = needles.groupBy("prompt", "needle").agg(F.min("entity").alias("entity")).join(prompts.select("prompt", groups.alias("groups")), "prompt")
+    wanted = written(wanted.select("prompt", "needle", "entity", F.explode("groups").alias("group")), "wanted")
+    own = F.array_compact(F.array(of_project(F.col("project")), F.when(F.col("scope") == "global", "global")))
+    most = 3 * max(s.max_records for s in arms.values())
+    hits = nd.first_matches(live.select("id", F.explode(own).alias("group"), "exact_text"), wanted.select("needle", "group"), most + 1)  # one may be the prompt
+    hits = wanted.join(hits, ["needle", "group"]).where(F.col("id") != F.col("prompt")).select("prompt", "needle", "entity", "id").distinct()
+    first = F.row_number().over(Window.partitionBy("prompt", "needle").orderBy("id"))
+    hits = hits.withColumn("__first", first).where(F.col("__first") <= most).join(facts.select("id", "ratio"), "id")
+    hits = under(hits, arms, ("max_records", "enable_entity_keywords")).where((F.col("__first") <= _pool()) & (~F.col("entity") | F.col("s.enable_entity_keywords")))
+    hits = hits.groupBy(*KEY, "id").agg(F.first("ratio").alias("ratio"), F.first("s").alias("s"))
     hits = _first(hits, [F.desc("ratio"), F.col("id")], _pool()).select(*KEY, "id", F.lit(0.0).alias("similarity"), F.lit(True).alias("word"))
 
     both = like.unionByName(hits).groupBy(*KEY, "id").agg(F.max("similarity").alias("__like"), F.max("word").alias("keyword_match"))
@@ -136,9 +143,10 @@ def sweep(records_df: DataFrame, edges: DataFrame, prompts: DataFrame, needles:
     """
     found = written(anchored(candidates(records_df, prompts, needles, arms), records_df, prompts, arms), "found")
     both = expanded(found, edges, records_df, arms)
-    both = _arm_settings(both, arms, ("max_records", "mmr_lambda", "max_tokens")).join(records_df.select("id", "exact_text", "embedding"), "id")
-    both = both.select(*KEY, "id", "similarity", "score", "parent", "hop", "exact_text", "embedding", "s.max_records", "s.mmr_lambda", "s.max_tokens")
+    size = records.tokens(F.col("exact_text")).alias("size")  # of each record once; texts don't go along
+    both = _arm_settings(both, arms, ("max_records", "mmr_lambda", "max_tokens")).join(records_df.select("id", size, "embedding"), "id")
+    both = both.select(*KEY, "id", "similarity", "score", "parent", "hop", "size", "embedding", "s.max_records", "s.mmr_lambda", "s.max_tokens")
     order = packing.maximal_marginal_relevance(both, "max_records", "mmr_lambda", KEY)
     ranked = order.join(both.drop("embedding"), [*KEY, "id"])
-    packed = packing.stop_at_overflow(ranked, records.tokens(F.col("exact_text")), F.col("max_tokens"), [F.col("rank")], KEY)
+    packed = packing.stop_at_overflow(ranked, F.col("size"), F.col("max_tokens"), [F.col("rank")], KEY)
     return packed.select(*KEY, "place", "id", "score", "similarity", "tokens", "parent", "hop")

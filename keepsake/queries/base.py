@@ -25,9 +25,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def mem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records made of `embeddings` and the texts of `documents`."""
-    v = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+def mem(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """Records made of `embeddings` and the texts of `documents`, or of those of them that are given."""
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    v = table(spark, sf_dir, "embeddings").join(documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
     n = F.col("vec_id")
     kind = F.when(n % 5 == 0, "command").when(n % 5 == 1, "error").when(n % 5 == 2, "discovery").when(n % 5 == 3, "procedure").otherwise("warning")
     return v.select(

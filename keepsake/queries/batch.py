@@ -130,7 +130,10 @@ def _prompts(m):
 
 @query("settings_sweep", SWEEP_SQL)
 def settings_sweep(spark, d):
-    m = written(mem(spark, d), "records")  # read by many steps, each of which would join the texts of all documents again
+    # documents beyond the least and greatest id of a vector join none, and their texts need no shuffle
+    ids = table(spark, d, "embeddings").agg(F.min("vec_id").alias("least"), F.max("vec_id").alias("greatest"))
+    near = table(spark, d, "documents").join(F.broadcast(ids), F.col("doc_id").between(F.col("least"), F.col("greatest")))
+    m = written(mem(spark, d, near), "records")  # read by many steps, each of which would join the texts of all documents again
     pad = lambda c: F.concat(F.lit("m"), F.lpad(F.col(c).cast("string"), 6, "0")).alias(c)
     edges = _edges(spark, d).select(pad("source"), pad("target"), "kind", "weight")
     rows, wanted = _prompts(m)

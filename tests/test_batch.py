@@ -189,6 +189,43 @@ def test_many_texts_are_looked_up_by_their_distinct_runs(spark, monkeypatch):
     assert sizes["postings"] < 20
 
 
+def test_needles_of_several_runs_go_by_the_rarest(spark, monkeypatch):
+    sizes, keep = {}, needles.written
+
+    def counted(df, name="step"):
+        out = keep(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(needles, "written", counted)
+    texts = spark.range(300).select("id", F.concat(F.lit("mail to u"), F.col("id").cast("string"), F.lit("@example.com")).alias("text"))
+    wanted = spark.createDataFrame([(f"u{i}@example.com",) for i in range(40, 90)] + [("u9@nowhere.com",), ("to",), ("nil",)], "needle string")
+    got = sorted((r["id"], r["needle"]) for r in needles.matches(texts, wanted, "text").collect())
+    assert got == sorted([(i, f"u{i}@example.com") for i in range(40, 90)] + [(i, "to") for i in range(300)])
+    assert sizes["candidates"] <= 2 * 50
+
+
+@pytest.mark.parametrize(("most", "first", "literal"), [(2, 30, 0), (100, 40, 0), (2, 8192, 32)])
+def test_first_matches_equal_contains(spark, monkeypatch, most, first, literal):
+    for name, value in {"FIRST": first, "GROWTH": 2}.items():
+        monkeypatch.setattr(needles, name, value)
+    texts = spark.createDataFrame([(i, g, t) for i, t in enumerate(TEXTS * 4) for g in ("a" if i % 3 else "b", "all")[: 1 + i % 2]], "id long, group string, text string")
+    wanted = spark.createDataFrame([(w, g) for w in [*WANTED, "e\nb", "İstanbul"] for g in ("b", "all", "c", None)], "needle string, group string")
+    got = sorted(tuple(r) for r in needles.first_matches(texts, wanted, most, "text", literal).select("needle", "group", "id").collect())
+    plain = texts.join(wanted.where("trim(needle) <> ''").distinct(), "group").where(F.contains(F.lower("text"), F.lower("needle"))).select("needle", "group", "id").collect()
+    held = {}
+    for needle, group, i in sorted(map(tuple, plain)):
+        held.setdefault((needle, group), []).append(i)
+    assert got == sorted((*key, i) for key, ids in held.items() for i in ids[:most]) and len(got) > 20
+
+
+def test_first_matches_by_needle_lists_of_few_needles(spark):
+    texts = spark.createDataFrame([(i, f"g{i % 50}", "one two") for i in range(200)], "id long, group string, text string")
+    wanted = spark.createDataFrame([("one", f"g{g}") for g in range(50)] + [("two", "g3")], "needle string, group string")
+    got = sorted(tuple(r) for r in needles.first_matches(texts, wanted, 2, "text").select("needle", "group", "id").collect())
+    assert got == sorted([("one", f"g{g}", i) for g in range(50) for i in (g, g + 50)] + [("two", "g3", 3), ("two", "g3", 53)])
+
+
 PROMPTS = [
     "see src/lib/a.ts and Foo.Bar on k8s with claude-memory",
     "phantom runs sha256 on NASA's phantom-host, and on git",
@@ -355,3 +392,32 @@ def test_mmr_by_several_keys_and_column_limits(spark):
     df = spark.createDataFrame(rows, "arm string, prompt string, id string, score double, embedding array<double>, most int, w double")
     got = packing.maximal_marginal_relevance(df, "most", "w", ["arm", "prompt"]).groupBy("arm", "prompt").count().collect()
     assert sorted(tuple(r) for r in got) == [("x", "p", 1), ("x", "q", 1), ("y", "p", 3), ("y", "q", 3)]
+
+
+def test_frequent_needles_of_prompts_meet_few_records(spark, monkeypatch):
+    """Every record holds every needle: prompts take their first records without the pairs of all records and needles."""
+    rows, keep = [], needles.matches
+
+    def counted(*args, **how):
+        out = keep(*args, **how)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(needles, "matches", counted)
+    monkeypatch.setattr(needles, "FIRST", 50, raising=False)
+    monkeypatch.setattr(needles, "GROWTH", 2, raising=False)
+    words = [f"word{'abcdefghij'[i % 10]}{'klmno'[i // 10]}" for i in range(50)]
+    x = np.random.default_rng(1).normal(size=(600, 4))
+    records = [(f"r{i:03}", "ab"[i % 2], "global" if i % 9 == 0 else "project", " ".join(words), x[i].tolist(), i % 4, i % 6, i % 11 == 0) for i in range(600)]
+    prompts = [(f"r{j:03}", "ab"[j % 2], ["b"] if j == 0 else None, x[j].tolist()) for j in range(10)]
+    wanted = [(f"r{j:03}", w, i == 4) for j in range(10) for i, w in enumerate(words[5 * j : 5 * j + 5])]
+    base = Settings(min_score=0.0, min_semantic_only_score=5.0, semantic_anchor_threshold=0.0, max_records=4, enable_entity_keywords=True)
+    found = sweep.candidates(
+        spark.createDataFrame(records, RECORDS), spark.createDataFrame(prompts, "prompt string, project string, ancestors array<string>, embedding array<double>"),
+        spark.createDataFrame(wanted, "prompt string, needle string, entity boolean"), {"a": base},
+    )
+    got = sorted((r["prompt"], r["id"]) for r in found.where("keyword_match").collect())
+    for pid, project, ancestors, _ in prompts:
+        mine = [r[0] for r in records if not r[7] and r[0] != pid and (r[1] in {project, *(ancestors or [])} or r[2] == "global")]
+        assert [i for p, i in got if p == pid] == mine[:12]
+    assert sum(rows) < 600 * 50 / 4
